@@ -23,7 +23,7 @@ fields AS (
     list_sort(list_transform(list_filter(json_keys(item), lambda k: json_type(item, '$."' || k || '"') <> 'NULL'),
       lambda k: k || '=' || CASE WHEN json_type(item, '$."' || k || '"') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST(item ->> ('$."' || k || '"') AS DOUBLE) AS VARCHAR)
         WHEN json_type(item, '$."' || k || '"') = 'VARCHAR' THEN 's' || (item ->> ('$."' || k || '"'))
-        WHEN json_type(item, '$."' || k || '"') = 'ARRAY' THEN CAST(json_extract_string(item, '$."' || k || '"[*]') AS VARCHAR) ELSE CAST(item -> ('$."' || k || '"') AS VARCHAR) END)) AS body
+        WHEN json_type(item, '$."' || k || '"') = 'ARRAY' THEN CAST(CAST(item -> ('$."' || k || '"') AS VARCHAR[]) AS VARCHAR) ELSE CAST(item -> ('$."' || k || '"') AS VARCHAR) END)) AS body
   FROM lists WHERE json_type(item, '$.key') = 'VARCHAR'),
 states AS (SELECT DISTINCT project_id, seq, section, item_key, body FROM fields),
 pairs AS (
