@@ -15,17 +15,17 @@ WITH readable AS (
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at NULLS FIRST, snapshot_id) AS seq FROM readable),
 lists AS (
-  SELECT project_id, seq, 'finding' AS section, unnest(json_extract(data_json, '$.quality.findings[*]')) AS item FROM numbered
-  UNION ALL SELECT project_id, seq, 'parse_issue', unnest(json_extract(data_json, '$.parse_issues[*]')) FROM numbered
-  UNION ALL SELECT project_id, seq, 'cycle', unnest(json_extract(data_json, '$.dependency.cycles[*]')) FROM numbered),
+  SELECT project_id, seq, 'finding' AS section, unnest(json_extract(data_json, '$.quality.findings[*]')) AS item, generate_subscripts(json_extract(data_json, '$.quality.findings[*]'), 1) AS place FROM numbered
+  UNION ALL SELECT project_id, seq, 'parse_issue', unnest(json_extract(data_json, '$.parse_issues[*]')), generate_subscripts(json_extract(data_json, '$.parse_issues[*]'), 1) FROM numbered
+  UNION ALL SELECT project_id, seq, 'cycle', unnest(json_extract(data_json, '$.dependency.cycles[*]')), generate_subscripts(json_extract(data_json, '$.dependency.cycles[*]'), 1) FROM numbered),
 fields AS (
-  SELECT project_id, seq, section, item ->> '$.key' AS item_key,
+  SELECT project_id, seq, section, place, item ->> '$.key' AS item_key,
     list_sort(list_transform(list_filter(json_keys(item), lambda k: json_type(item, '$."' || k || '"') <> 'NULL'),
       lambda k: k || '=' || CASE WHEN json_type(item, '$."' || k || '"') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST(item ->> ('$."' || k || '"') AS DOUBLE) AS VARCHAR)
         WHEN json_type(item, '$."' || k || '"') = 'VARCHAR' THEN 's' || (item ->> ('$."' || k || '"'))
         WHEN json_type(item, '$."' || k || '"') = 'ARRAY' THEN CAST(CAST(item -> ('$."' || k || '"') AS VARCHAR[]) AS VARCHAR) ELSE CAST(item -> ('$."' || k || '"') AS VARCHAR) END)) AS body
   FROM lists WHERE json_type(item, '$.key') = 'VARCHAR'),
-states AS (SELECT DISTINCT project_id, seq, section, item_key, body FROM fields),
+states AS (SELECT project_id, seq, section, item_key, max_by(body, place) AS body FROM fields GROUP BY ALL),
 pairs AS (
   SELECT coalesce(b.project_id, a.project_id) AS project_id, coalesce(b.seq, a.seq + 1) AS seq,
     coalesce(b.section, a.section) AS section, coalesce(b.item_key, a.item_key) AS item_key,
