@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm import packing, tokenizer
+from repolith.llm import credentials, packing, tokenizer
 from repolith.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.credential_lines(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "files"))
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.redacted_chunks(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "files"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.token_ids(read_table(spark, sf_dir, "documents"))
 
@@ -25,7 +33,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report}
 
 
 def oracle_sql() -> dict[str, str]:
