@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.runtime import materialise, number_in_groups, spread
+from repolith.runtime import materialise, number_in_groups, shared_table, spread
 
 #: section name -> where its list is found in a payload
 SECTIONS = {"finding": ("quality", "findings"), "parse_issue": ("parse_issues",), "cycle": ("dependency", "cycles")}
@@ -121,23 +121,31 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def numbered_snapshots(snapshots: DataFrame) -> DataFrame:
-    """One row per readable snapshot: project_id, snapshot_id, created_at, items, seq (from 1)."""
+def readable_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Every readable delivery: project_id, snapshot_id, created_at, content, items."""
     raw = snapshots.select(
         F.col("project_id").cast("long"), F.col("snapshot_id").cast("long"), F.col("created_at").cast("timestamp"), F.col("data_json").cast("string")
     ).where("project_id is not null and snapshot_id is not null and data_json is not null")
-    parsed = spread(raw, "snapshot_id").mapInArrow(_parse, _DDL)
-    first = F.struct(F.col("created_at"), F.col("content"))
-    once = parsed.groupBy("project_id", "snapshot_id").agg(F.min("created_at").alias("created_at"), F.min_by("items", first).alias("items"))
+    return spread(raw, "snapshot_id").mapInArrow(_parse, _DDL)
+
+
+def numbered_snapshots(readable: DataFrame) -> DataFrame:
+    """One row per snapshot: project_id, snapshot_id, created_at, content (of the delivery that counts), seq (from 1)."""
+    first = F.min(F.struct("created_at", "content")).alias("first")
+    once = readable.groupBy("project_id", "snapshot_id").agg(first).select("project_id", "snapshot_id", "first.created_at", "first.content")
     numbered = number_in_groups(once, ["project_id"], [F.col("created_at").asc_nulls_first(), F.col("snapshot_id")], "n")
     return numbered.withColumn("seq", F.col("n") + 1).drop("n")
 
 
-def validity_intervals(numbered: DataFrame) -> DataFrame:
+def validity_intervals(readable: DataFrame, numbered: DataFrame) -> DataFrame:
     """Gaps and islands: project_id, section, item_key, digest, from_seq, to_seq."""
-    states = numbered.select("project_id", "seq", F.explode("items").alias("i")).select("project_id", "seq", "i.section", "i.item_key", "i.digest")
+    keys = ["project_id", "snapshot_id", "content"]
+    states = readable.join(numbered.select(*keys, "seq"), keys).select("project_id", "seq", F.explode("items").alias("i"))
+    # Deliveries of one snapshot with one content hold the same items.
+    states = states.select("project_id", "seq", "i.section", "i.item_key", "i.digest")
     line = Window.partitionBy("project_id", "section", "item_key").orderBy("seq")
-    breaks = (F.col("seq") != F.lag("seq").over(line) + 1) | (F.col("digest") != F.lag("digest").over(line))
+    gap = F.col("seq") - F.lag("seq").over(line)
+    breaks = (gap > 1) | (F.col("digest") != F.lag("digest").over(line))
     islands = states.withColumn("island", F.sum(F.coalesce(breaks, F.lit(True)).cast("int")).over(line))
     return islands.groupBy("project_id", "section", "item_key", "island").agg(
         F.first("digest").alias("digest"), F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq")
@@ -146,9 +154,10 @@ def validity_intervals(numbered: DataFrame) -> DataFrame:
 
 def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     """project_id, snapshot_id, section, item_key, change_kind; see the module text."""
-    numbered = materialise(numbered_snapshots(snapshots))
+    readable = shared_table(readable_snapshots(snapshots))
+    numbered = materialise(numbered_snapshots(readable))
     line = Window.partitionBy("project_id", "section", "item_key").orderBy("from_seq")
-    spans = validity_intervals(numbered).select(
+    spans = validity_intervals(readable, numbered).select(
         "*", F.lag("to_seq").over(line).alias("prev_to"), F.lead("from_seq").over(line).alias("next_from")
     )
     starts = F.when(F.col("from_seq") > 1, F.struct(F.col("from_seq").alias("seq"), F.when(F.col("prev_to") == F.col("from_seq") - 1, "changed").otherwise("added").alias("change_kind")))
