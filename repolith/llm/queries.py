@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm import credentials, packing, tokenizer
+from repolith.llm import credentials, packing, syntax_check, tokenizer
 from repolith.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,18 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redacted_chunks(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "files"))
 
 
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax_check.check_files(read_table(spark, sf_dir, "files"), read_table(spark, sf_dir, "sources"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax_check.broken_files(p3_files(spark, sf_dir))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax_check.error_rates(p3_files(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.token_ids(read_table(spark, sf_dir, "documents"))
 
@@ -33,7 +45,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -471,6 +471,9 @@ _MODIFIERS = frozenset("static public private protected readonly abstract declar
 _ENDS_OPERAND = frozenset(KINDS[k] for k in ("IDENT", "NUM", "STR", "TEMPLATE", "TTAIL", "REGEX", ")", "]", "}", "this", "null", "true", "false", "super", "IDARROW"))
 
 
+_BEFORE_LABEL = frozenset((-1, KINDS[";"], KINDS["{"], KINDS["}"], KINDS[":"]))
+
+
 def _contextual(kinds: list[int], words: list[str], breaks: list[bool], pairs: dict[int, int], typed: bool) -> None:
     """Second pass: contextual words and arrow parentheses, from their neighbours."""
     K = _K
@@ -496,7 +499,7 @@ def _contextual(kinds: list[int], words: list[str], breaks: list[bool], pairs: d
                     kinds[i - 1] = K["ASYNCARROW"]
                 continue
             if word not in _CONTEXT:
-                if follow == colon and previous in (K[";"], K["{"], K["}"]) and original[i + 2] in (K["for"], K["while"], K["do"]):
+                if follow == colon and (previous in _BEFORE_LABEL or breaks[i]):
                     kinds[i] = K["LABEL"]
                 continue
             starts_name = follow in _NAME_START
