@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm import credentials, packing, syntax_check, tokenizer
+from repolith.llm import credentials, packing, splitting, syntax_check, tokenizer
 from repolith.runtime import read_table
 
+#: Which chunks are above a limit; how they are cut is tested by exact round trips.
+P5_SQL = """
+SELECT DISTINCT chunk_id FROM chunks
+WHERE length(content) > 16000
+   OR length(content) - length(replace(content, chr(10), '')) + CASE WHEN content = '' OR right(content, 1) = chr(10) THEN 0 ELSE 1 END > 80"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -32,6 +38,14 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax_check.error_rates(p3_files(spark, sf_dir))
 
 
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_chunks(read_table(spark, sf_dir, "chunks"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized_chunks(p5_pieces(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.token_ids(read_table(spark, sf_dir, "documents"))
 
@@ -45,8 +59,8 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": P5_SQL}
