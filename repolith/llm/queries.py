@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm import credentials, packing, splitting, syntax_check, tokenizer
+from repolith.llm import credentials, packing, provenance, splitting, syntax_check, tokenizer
 from repolith.runtime import read_table
 
 #: Which chunks are above a limit; how they are cut is tested by exact round trips.
@@ -38,6 +38,14 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax_check.error_rates(p3_files(spark, sf_dir))
 
 
+def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.judged_files(read_table(spark, sf_dir, "files"), read_table(spark, sf_dir, "sources"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.flagged_files(p4_files(spark, sf_dir))
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_chunks(read_table(spark, sf_dir, "chunks"))
 
@@ -59,7 +67,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p4_files": p4_files, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report}
 
 
 def oracle_sql() -> dict[str, str]:
