@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm import credentials, packing, provenance, splitting, syntax_check, tokenizer
+from repolith.llm import abuse, credentials, packing, provenance, splitting, syntax_check, tokenizer
 from repolith.runtime import read_table
 
 #: Which chunks are above a limit; how they are cut is tested by exact round trips.
@@ -66,8 +66,20 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_report(p7_containers(spark, sf_dir))
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "review_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.flagged(p8_scores(spark, sf_dir))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(p8_scores(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p4_files": p4_files, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p4_files": p4_files, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
