@@ -12,14 +12,16 @@ def classify_changes(known: DataFrame, scanned: DataFrame, key: list[str]) -> Da
     A key that occurs twice on a side counts once (smallest hash); null keys are
     compared like values.
     """
-    fold = lambda df, n: df.groupBy(*key).agg(F.min("content_hash").alias(n), F.lit(True).alias(f"in_{n}"))
+    def fold(df: DataFrame, side: str) -> DataFrame:
+        return df.groupBy(*[F.col(k).alias(f"{side}_{k}") for k in key]).agg(F.min("content_hash").alias(side), F.lit(True).alias(f"in_{side}"))
+
     old, new = fold(known, "old"), fold(scanned, "new")
-    match = [old[k].eqNullSafe(new[k]) for k in key]
+    match = [F.col(f"old_{k}").eqNullSafe(F.col(f"new_{k}")) for k in key]
     both = old.join(new, match, "full")
     state = (
         F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "deleted").when(F.col("old").eqNullSafe(F.col("new")), "unchanged").otherwise("changed")
     )
-    return both.select(*[F.coalesce(old[k], new[k]).alias(k) for k in key], state.alias("state"))
+    return both.select(*[F.coalesce(f"old_{k}", f"new_{k}").alias(k) for k in key], state.alias("state"))
 
 
 def rewrite(table: DataFrame, fresh: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:

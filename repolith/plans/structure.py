@@ -90,11 +90,11 @@ def src14(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("src18_project_upsert", """
-SELECT project_id, trim(name) AS name, status, primary_language, updated_at FROM (
+SELECT project_id, trim(name) AS name, status, primary_language, strftime(updated_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS updated_at FROM (
   SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY updated_at DESC NULLS LAST, name, status) AS rn FROM projects) WHERE rn = 1""")
 def src18(spark: SparkSession, d: str) -> DataFrame:
     rows = T.newest(read_table(spark, d, "projects"), ["project_id"], F.col("updated_at").desc_nulls_last(), "name", "status")
-    return rows.select("project_id", F.trim("name").alias("name"), "status", "primary_language", "updated_at")
+    return rows.select("project_id", F.trim("name").alias("name"), "status", "primary_language", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
 @register("prs03_imports", with_views("m", "SELECT project_id, file_id, target_module, CAST(line_number AS BIGINT) AS line_number FROM m"))
