@@ -358,3 +358,21 @@ def cal02(spark: SparkSession, d: str) -> DataFrame:
     calls = T.chunks(spark, d).where("content is not null and kind in ('function', 'method')").select(F.col("chunk_id").alias("caller_id"), "project_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b([A-Za-z_]\w*)\("), F.lit(1)))).alias("name"))
     unique = T.symbols(spark, d).groupBy("project_id", "name").agg(F.min("symbol_id").alias("callee_id"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
     return calls.join(unique, ["project_id", "name"]).where("callee_id <> caller_id").select("caller_id", "callee_id").distinct()
+
+
+@register("prs01_parse")
+def prs01(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols, imports, calls and issues of every source file."""
+    from repolith.operators.parsing import parse_files
+
+    files = T.files(spark, d).select("project_id", "file_id", "suffix").join(T.sources(spark, d), "file_id")
+    return parse_files(files).groupBy("row_type", "kind").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("file_id").alias("files"))
+
+
+@register("cal04_bound_calls")
+def cal04(spark: SparkSession, d: str) -> DataFrame:
+    from repolith.operators.parsing import bound_calls, parse_files
+
+    files = T.files(spark, d)
+    parsed = parse_files(files.select("project_id", "file_id", "suffix").join(T.sources(spark, d), "file_id"))
+    return bound_calls(parsed, files, O.python_module_index(files))
