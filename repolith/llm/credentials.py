@@ -88,12 +88,6 @@ SET_NAME = re.compile(r"""[ \t]*(?:export[ \t]+|-[ \t]+)?["']?[\w.\-]*\Z""")
 CONFIG_PATH = re.compile(r"(?i)(?:\.(?:env|ya?ml|toml|ini|cfg|conf|properties|json|txt|md|sh)|(?:^|/)\.env[^/]*)$")
 PROSE_PATH = re.compile(r"(?i)\.(?:md|txt|rst|adoc)$")
 FALLBACK = re.compile(rf"""(?i)env(?:iron)?(?:\.get)?(?:\s*[(\[]\s*["'](?P<env>[\w\-]+)["']\s*[)\]]?\s*(?:,|\bor\b|\|\||\?\?)|\.(?P<dot>\w+)\s*(?:\|\||\?\?))\s*(?P<value>{_JOINED})""")
-SIGNED = re.compile(rf"""[_\-]?\d*(?![A-Za-z0-9_\-])["'`]?\]?{_TYPED}\s*(?:=>|:=|[:=])\s*\(?\s*(?P<value>{_JOINED})""")
-SET = re.compile(r"""[_\-]?\d*["']?[ \t]*[:=][ \t]*(?P<value>[^\s"'`#][^\s#]*)[ \t]*(?:\#.*)?\r?(?:\n|\Z)""")
-SET_NAME = re.compile(r"""[ \t]*(?:export[ \t]+|-[ \t]+)?["']?[\w.\-]*\Z""")
-CONFIG_PATH = re.compile(r"(?i)(?:\.(?:env|ya?ml|toml|ini|cfg|conf|properties|json|txt|md|sh)|(?:^|/)\.env[^/]*)$")
-PROSE_PATH = re.compile(r"(?i)\.(?:md|txt|rst|adoc)$")
-FALLBACK = re.compile(rf"""(?i)env[\w.]*\s*(?:\(|\[)?\s*(?:["'](?P<env>[\w\-]+)["']\s*,|\.?(?P<dot>\w+)\s*(?:\|\||\?\?))\s*(?P<value>{_JOINED})""")
 SIGNED = re.compile(r"""(?i)(?:hmac(?:\.new|\.digest)?|jwt\.(?:sign|encode|verify|decode)|fernet|aes\.new|hmacsha\d+)\s*\((?P<args>[^\n]{0,400})""")
 URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://(?P<user>[^\s:/@"'`<>]*):(?P<value>[^\s/@"'`<>]+)@[A-Za-z0-9\[]""")
 HEADER = re.compile(r"""(?i)\b(?P<scheme>bearer|basic|token)[ \t]+(?P<value>[A-Za-z0-9+/_\-.=~!*#$%]{6,})""")
@@ -311,7 +305,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for chunk_id, content_hash, project_id, path, content in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+        for chunk_id, content_hash, project_id, path, content in zip(*[batch.column(n).to_pylist() for n in ("chunk_id", "content_hash", "project_id", "relative_path", "content")]):
             for value, start, spans, sure in find_literals(content, path):
                 rows.append((chunk_id, content_hash, project_id, content.count("\n", 0, start) + 1, value, sure, [x for span in spans for x in span]))
         yield _batch(rows, list(_KINDS))

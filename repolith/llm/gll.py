@@ -13,8 +13,9 @@ UPPER names are terminals, ``X?``, ``X*`` and ``X+`` and groups in parentheses a
 allowed. Alternatives of several dialects stand in one grammar: one that starts
 with ``@ts`` belongs to that dialect only (``@-jsx``: to all without that mark).
 Repetitions and options take what fits the next token (longest match) unless the
-rule's name is followed by ``~``: then leaving them out is tried as well. ``SEMI`` and ``SEP``
-are statement and member ends that a line end may stand for.
+rule's name is followed by ``~``: then leaving them out is tried as well. Behind
+``!`` only the first alternative that fits the next token counts. ``SEMI`` and
+``SEP`` are statement and member ends that a line end may stand for.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 import re
 
 END, SEMI, SEP = -1, -2, -3
-_SYMBOL = re.compile(r"\s*('[^']+'|@-?\w+|[A-Za-z_]\w*|[()|?*+~])")
+_SYMBOL = re.compile(r"\s*('[^']+'|@-?\w+|[A-Za-z_]\w*|[()|?*+~!])")
 
 
 class Grammar:
@@ -33,15 +34,16 @@ class Grammar:
         self.marks = marks
         self.rules: dict[str, list[list[str]]] = {}
         self.doubtful: set[str] = set()
+        self.ordered: set[str] = set()
         self._helpers = 0
         for line in re.sub(r"\n[ \t]+", " ", text).splitlines():
             line = line.partition("##")[0].strip()
             if line:
                 name, _, body = line.partition(" = ")
                 name = name.strip()
-                if name.endswith("~"):
+                if name.endswith(("~", "!")):
+                    (self.doubtful if name[-1] == "~" else self.ordered).add(name[:-1])
                     name = name[:-1]
-                    self.doubtful.add(name)
                 tokens = _SYMBOL.findall(body)
                 self.rules[name], rest = self._alternatives(tokens, name in self.doubtful)
                 assert not rest, (name, rest)
@@ -89,6 +91,8 @@ class Grammar:
         return name
 
     def _terminal(self, symbol: str) -> int | None:
+        if symbol in self.rules:
+            return None
         if symbol[0] == "'":
             return self.kinds[symbol[1:-1]]
         if symbol == "SEMI":
@@ -152,6 +156,8 @@ class Grammar:
                 blank = [entries[name][i] for i, (_, e) in enumerate(firsts) if e and entries[name][i] not in fits]
                 if not fits or name in self.doubtful:
                     fits = fits + blank
+                if name in self.ordered:
+                    fits = fits[:1]
                 row[kind] = None if not fits else fits[0] if len(fits) == 1 else tuple(fits)
             self.table.append(row)
         self.number = number

@@ -35,7 +35,7 @@ KINDS = {name: i for i, name in enumerate([*_NAMES, *RESERVED, *PUNCTUATORS])}
 GRAMMAR = """
 Program = Statement* END
 StatementOnly = Statement END
-Statement = STATEMENT | Block | 'var' Declarators SEMI | 'let' Declarators SEMI | 'const' ConstDeclarators SEMI | Function | ASYNCFN Function | Class | 'if' '(' Expr Close Statement ('else' Statement)? | 'for' 'await'? Paren ForHead Close Statement | 'while' '(' Expr Close Statement | 'do' Statement 'while' '(' Expr Close ';'? | 'return' Expr? SEMI | 'break' Id? SEMI | 'continue' Id? SEMI | 'throw' Expr SEMI | 'try' Block TryRest | 'switch' '(' Expr Close '{' CaseClause* '}' | 'debugger' SEMI | Import | Export | LABEL ':' Statement | ';' | ExprStatement | Decorated | @ts Typed
+Statement! = STATEMENT | Block | 'var' Declarators SEMI | 'let' Declarators SEMI | 'const' ConstDeclarators SEMI | NamedFunction | ASYNCFN NamedFunction | NamedClass | 'if' '(' Expr Close Statement ('else' Statement)? | 'for' 'await'? Paren ForHead Close Statement | 'while' '(' Expr Close Statement | 'do' Statement 'while' '(' Expr Close ';'? | 'return' Expr? SEMI | 'break' Id? SEMI | 'continue' Id? SEMI | 'throw' Expr SEMI | 'try' Block TryRest | 'switch' '(' Expr Close '{' CaseClause* '}' | 'debugger' SEMI | Import | Export | LABEL ':' Statement | ';' | Decorated | @ts Typed | ExprStatement
 Close = ')'
 Paren = '(' | LPMAYBE
 Block = '{' Statement* '}'
@@ -44,7 +44,7 @@ Typed = INTERFACE Id TypeParams? ('extends' TypeList)? ObjectType | TYPE Id Type
 Enum = ('enum' | CONSTENUM 'enum') Id '{' (EnumItem (',' EnumItem?)*)? '}'
 EnumItem = PropName ('=' Assign)?
 ModuleName = STR | Id ('.' AnyName)*
-ModuleBody = Block | SEMI
+ModuleBody! = Block | SEMI
 Ambient = ('var' | 'let' | 'const') AmbientVar (',' AmbientVar)* SEMI | Function | ASYNCFN Function | Class | ABSTRACT Class | Typed | 'import' ImportRest
 AmbientVar = Binding TypeNote? ('=' Assign)?
 Decorated = Decorator+ (ABSTRACT? Class | Export)
@@ -57,7 +57,8 @@ Declarators = Declarator (',' Declarator)*
 Declarator = Id Bang? TypeNote? ('=' Assign)? | Pattern TypeNote? '=' Assign
 Bang = @ts '!'
 ConstDeclarators = ConstDeclarator (',' ConstDeclarator)*
-ConstDeclarator = Binding TypeNote? '=' Assign
+ConstDeclarator = Binding ConstValue
+ConstValue~ = '=' Assign | @ts ':' Type ('=' Assign)?
 ForHead = ('var' | 'let' | 'const') Binding TypeNote? ForRest | ';' Expr? ';' Expr? | Expr ForExprRest
 ForRest = OF Assign | 'in' Expr | ('=' Assign)? (',' Declarator)* ';' Expr? ';' Expr?
 ForExprRest = ';' Expr? ';' Expr? | OF Assign |
@@ -73,9 +74,10 @@ Export = 'export' ExportRest
 ExportRest = 'default' ExportDefault | '*' (AS ModName)? FROM STR Attributes? SEMI | Named (FROM STR Attributes?)? SEMI | 'var' Declarators SEMI | 'let' Declarators SEMI | 'const' ConstDeclarators SEMI | Function | ASYNCFN Function | Class | Decorated | @ts TYPE ExportTyped | @ts ExportOther
 ExportTyped = Named (FROM STR)? SEMI | '*' (AS ModName)? FROM STR SEMI | Id TypeParams? '=' Type SEMI
 ExportOther = INTERFACE Id TypeParams? ('extends' TypeList)? ObjectType | Enum | NAMESPACE ModuleName ModuleBody | DECLARE Ambient | ABSTRACT Class | '=' Expr SEMI | AS NAMESPACE Id SEMI | 'import' ImportRest
-ExportDefault = Function | ASYNCFN Function | Class | Decorated | @ts ABSTRACT Class | @ts INTERFACE Id TypeParams? ('extends' TypeList)? ObjectType | Assign SEMI
+ExportDefault! = Function | ASYNCFN Function | Class | Decorated | @ts ABSTRACT Class | @ts INTERFACE Id TypeParams? ('extends' TypeList)? ObjectType | Assign SEMI
 Function = 'function' '*'? Id? TypeParams? Params ReturnType? FunctionBody
-FunctionBody = Block | @ts SEMI
+NamedFunction = 'function' '*'? Id TypeParams? Params ReturnType? FunctionBody
+FunctionBody! = Block | @ts SEMI
 Params = ParamOpen (Param (',' Param?)*)? ')'
 ParamOpen = '(' | LPMAYBE
 Param = Decorator* ParamMod* '...'? ParamTarget Optional? TypeNote? ('=' Assign)?
@@ -92,6 +94,7 @@ BindName = Keyword | STR | NUM | '[' Assign ']'
 TypeNote = @ts ':' Type
 ReturnType = @ts ':' TypeOrPredicate
 Class = 'class' Id? TypeParams? ('extends' Postfix)? Implements? '{' ClassMember* '}'
+NamedClass = 'class' Id TypeParams? ('extends' Postfix)? Implements? '{' ClassMember* '}'
 Implements = @ts IMPLEMENTS TypeList
 TypeList = TypeRef (',' TypeRef)*
 ClassMember = ';' | STATICBLOCK Block | Decorator* MOD* Member
@@ -103,13 +106,14 @@ MemberRest = TypeParams? Params ReturnType? FunctionBody | TypeNote? ('=' Assign
 IndexSignature = @ts '[' Id ':' Type ']' TypeNote
 PropName = AnyName | STR | NUM | '[' Assign ']'
 Expr = Assign (',' Assign)*
-Assign~ = Arrow | Yield | Operation
+Assign! = Arrow | Yield | Doubtful
+Doubtful~ = @ts TypedArrow | Operation
 Yield = 'yield' YieldRest
 YieldRest = '*' Assign | Assign |
-Arrow = IDARROW '=>' ArrowBody | LPARROW ParamList ReturnType? '=>' ArrowBody | ASYNCARROW (IDARROW | LPARROW ParamList ReturnType?) '=>' ArrowBody | @ts TypedArrow
-TypedArrow = LPMAYBE ParamList ReturnType '=>' ArrowBody | ASYNCMAYBE LPMAYBE ParamList ReturnType '=>' ArrowBody | TypeParams (LPARROW | LPMAYBE) ParamList ReturnType? '=>' ArrowBody | ASYNCARROW TypeParams (LPARROW | LPMAYBE) ParamList ReturnType? '=>' ArrowBody
+Arrow = IDARROW '=>' ArrowBody | LPARROW ParamList ReturnType? '=>' ArrowBody | ASYNCARROW (IDARROW | LPARROW ParamList ReturnType?) '=>' ArrowBody | @ts ASYNCARROW TypeParams (LPARROW | LPMAYBE) ParamList ReturnType? '=>' ArrowBody
+TypedArrow = LPMAYBE ParamList ReturnType '=>' ArrowBody | ASYNCMAYBE LPMAYBE ParamList ReturnType '=>' ArrowBody | TypeParams (LPARROW | LPMAYBE) ParamList ReturnType? '=>' ArrowBody 
 ParamList = (Param (',' Param?)*)? ')'
-ArrowBody = Block | Assign
+ArrowBody! = Block | Assign
 Operation = Unit OperationRest
 OperationRest = AssignOp Assign | OperationTail* ('?' Assign ':' Assign)?
 AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
@@ -119,8 +123,9 @@ Unit~ = Prefix Unit | 'new' NewRest | Postfix | @ts @-jsx '<' (Type | 'const') '
 Prefix = '!' | '~' | '+' | '-' | 'typeof' | 'void' | 'delete' | '++' | '--' | 'await'
 NewRest = '.' AnyName Tails | Unit
 Postfix = Primary Tails
-Tails~ = Tail Tails |
-Tail = '.' (AnyName | PRIVATE) | '?.' ChainRest | '[' Expr ']' | Args | Template | '++' | '--' | @ts '!' | @ts TypeArgs
+Tails! = Tail Tails | MaybeTyped |
+MaybeTyped~ = @ts TypeArgs Tails |
+Tail = '.' (AnyName | PRIVATE) | '?.' ChainRest | '[' Expr ']' | Args | Template | '++' | '--' | @ts '!'
 ChainRest = AnyName | PRIVATE | '[' Expr ']' | Args | Template | @ts TypeArgs Args
 Args = ('(' | LPMAYBE) ('...'? Assign (',' ('...'? Assign)?)*)? ')'
 Primary = Id | NUM | STR | REGEX | Template | 'this' | 'super' | 'null' | 'true' | 'false' | PRIVATE | ('(' | LPMAYBE) Expr ')' | Array | Object | Function | ASYNCFN Function | Decorator* Class | IMPORTEXPR ImportCall | @jsx Markup
@@ -582,6 +587,8 @@ def _reduce(kinds: list[int], breaks: list[bool], spans: list[tuple[int, int]],
     origin: list[int] = []
     at = 0
     for start, end in spans:
+        if kinds[end] == _K["else"]:
+            continue  # the end of a branch, not of the statement
         part = tuple(kinds[start:end])
         key = (dialect, part)
         good = _memo.get(key)
