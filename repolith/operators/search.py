@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions.scalars import bm25, code_scope, code_tokens, dot, unit_vector
+from repolith.runtime import materialise
 
 CHUNK_LINES, CHUNK_STEP, CONTAINER_LINES, CHUNK_CHARS = 80, 68, 40, 16_000
 TEST_WORDS = ["test", "tests", "spec", "coverage", "测试", "用例", "覆盖率"]
@@ -60,9 +61,12 @@ def search(passages: DataFrame, query: str, *, test_focused: bool | None = None)
     spark = passages.sparkSession
     terms = [r.t for r in spark.range(1).select(F.explode(F.array_distinct(code_tokens(F.lit(query)))).alias("t")).collect()]  # of one query
     wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    sized = passages.select("project_id", "chunk_id", "path", "symbol_name", code_tokens(F.col("text")).alias("tokens")).withColumn("doc_len", F.size("tokens"))
+    tokens = passages.select("project_id", "chunk_id", "path", "symbol_name", code_tokens(F.col("text")).alias("tokens"))
+    hit = F.filter("tokens", lambda t: F.array_contains(wanted, t))
+    # Texts are tokenised once; what is kept of a passage is its length and its query terms.
+    sized = materialise(tokens.select("project_id", "chunk_id", "path", "symbol_name", F.size("tokens").alias("doc_len"), hit.alias("t")))
     corpus = sized.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    hits = sized.select("project_id", "chunk_id", "path", "symbol_name", "doc_len", F.filter("tokens", lambda t: F.array_contains(wanted, t)).alias("t")).where(F.size("t") > 0)
+    hits = sized.where(F.size("t") > 0)
     counted = hits.select("*", F.explode("t").alias("term")).groupBy("project_id", "chunk_id", "path", "symbol_name", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequency = counted.groupBy("project_id", "term").agg(F.count(F.lit(1)).alias("df"))
     scored = counted.join(frequency, ["project_id", "term"]).join(corpus, "project_id")

@@ -65,16 +65,28 @@ def parallel_slots(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def cpu_partitions(spark: SparkSession) -> int:
+    """Partitions for a step that is bound by computing, not by bytes."""
+    return max(parallel_slots(spark) * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_SHUFFLING = ("Join", "Aggregate", "Window", "Repartition", "Sort", "Distinct")
+
+
 def spread(df: DataFrame, key: str, *, factor: int = 4) -> DataFrame:
     """Give a CPU-bound step enough partitions; a wide scan is left as it is.
 
-    A table of one small file arrives as one partition and would keep one core
-    busy. Only then are rows hash-distributed by ``key`` (a unique id, so a hot
-    value cannot gather rows); otherwise no shuffle is added.
+    A table of one small file arrives as one partition, and what comes out of a
+    shuffle may be coalesced by its bytes; either would keep few cores busy. Only
+    then are rows hash-distributed by ``key`` (a unique id, so a hot value cannot
+    gather rows). Partitions are counted on plain scans only: asking a plan with
+    shuffles would run them.
     """
     want = parallel_slots(df.sparkSession) * factor
-    have = df.rdd.getNumPartitions()
-    return df if have >= want // 2 else df.repartition(want, F.xxhash64(key))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if not any(word in plan for word in _SHUFFLING) and df.rdd.getNumPartitions() >= want // 2:
+        return df
+    return df.repartition(want, F.xxhash64(key))
 
 
 def number_in_groups(df: DataFrame, group: list[str], order: list, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repolith.functions.paths import suffix, unix_path
-from repolith.runtime import read_table
+from repolith.runtime import cpu_partitions, read_table
 
 
 def newest(df: DataFrame, key: list[str], *order) -> DataFrame:
@@ -36,7 +36,8 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = read_table(spark, sf_dir, "chunks")
     columns = ["project_id", "chunk_id", "file_id", "symbol_name", "kind", "start_line", "end_line", "content"]
-    return newest(raw.select(*columns), ["chunk_id"], *[F.col(c).asc_nulls_last() for c in columns[2:]])
+    placed = raw.select(*columns).repartition(cpu_partitions(spark), "chunk_id")  # texts are tokenised next: not to be coalesced by bytes
+    return newest(placed, ["chunk_id"], *[F.col(c).asc_nulls_last() for c in columns[2:]])
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
