@@ -248,6 +248,13 @@ class BiGRU:
         return g, d_x, logits
 
 
+def _groups(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that brings equal ids together, where each group starts, and its id."""
+    order = np.argsort(ids, kind="stable")
+    unique, starts = np.unique(ids[order], return_index=True)
+    return order, starts, unique
+
+
 class _Table:
     """Inputs of the distinct tokens of the training texts."""
 
@@ -264,17 +271,18 @@ class _Table:
         self.flat = np.concatenate([np.array(g) for g in grams])
         self.owner = np.repeat(np.arange(len(words)), [len(g) for g in grams])
         self.classes = np.stack([classes(w) for w in words])
+        self.starts = np.concatenate([[0], np.cumsum([len(g) for g in grams])[:-1]])
+        self.by_word, self.by_gram = _groups(self.words), _groups(self.flat)
 
     def inputs(self, p: dict[str, np.ndarray]) -> np.ndarray:
-        chars = np.zeros((len(self.words), CHAR_DIMS), np.float32)
-        np.add.at(chars, self.owner, p["char"][self.flat])
+        chars = np.add.reduceat(p["char"][self.flat], self.starts, axis=0)
         return np.concatenate([p["word"][self.words], chars / self.counts[:, None], self.classes], axis=1)
 
     def spread(self, d: np.ndarray, g: dict[str, np.ndarray], p: dict[str, np.ndarray]) -> None:
         """Gradients of the embeddings from those of the tokens' inputs."""
         g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(g["word"], self.words, d[:, :WORD_DIMS])
-        np.add.at(g["char"], self.flat, (d[:, WORD_DIMS : WORD_DIMS + CHAR_DIMS] / self.counts[:, None])[self.owner])
+        for name, (order, starts, ids), rows in (("word", self.by_word, d[:, :WORD_DIMS]), ("char", self.by_gram, (d[:, WORD_DIMS : WORD_DIMS + CHAR_DIMS] / self.counts[:, None])[self.owner])):
+            g[name][ids] = np.add.reduceat(rows[order], starts, axis=0)
 
     def touched(self) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.words), np.unique(self.flat)
@@ -335,7 +343,8 @@ def _fit(coded: list[tuple[np.ndarray, int]], table: _Table, epochs: int, seed:
 
             g, d_x, _ = model.gradients(x, mask, grad_of)
             d_tokens = np.zeros((len(table.words), INPUT), np.float32)
-            np.add.at(d_tokens, ids.reshape(-1), (d_x * keep * mask[..., None]).reshape(-1, INPUT))
+            by_token, begins, seen = _groups(ids.reshape(-1))
+            d_tokens[seen] = np.add.reduceat((d_x * keep * mask[..., None]).reshape(-1, INPUT)[by_token], begins, axis=0)
             table.spread(d_tokens, g, model.p)
             step += 1
             rate = RATE * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.05)

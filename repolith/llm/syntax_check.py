@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.llm import python_syntax, script_syntax
-from repolith.runtime import spread
+from repolith.runtime import cpu_partitions
 
 #: suffix -> (dialect, language)
 DIALECTS = {".py": ("py", "Python"), ".js": ("js", "JavaScript"), ".jsx": ("jsx", "JavaScript"), ".ts": ("ts", "TypeScript"), ".tsx": ("tsx", "TypeScript")}
@@ -84,8 +84,10 @@ def check_files(files: DataFrame, sources: DataFrame) -> DataFrame:
     dialect = F.create_map(*[x for suffix, (d, _) in DIALECTS.items() for x in (F.lit(suffix), F.lit(d))])
     wanted = latest_files(files).where(F.col("suffix").isin(list(DIALECTS))).select("project_id", "file_id", "relative_path", dialect[F.col("suffix")].alias("dialect"))
     texts = sources.where("file_id is not null").select(F.col("file_id").cast("long").alias("file_id"), F.col("content").cast("string").alias("content"))
-    joined = wanted.join(texts, "file_id").select("project_id", "file_id", "relative_path", "dialect", "content")
-    checked = spread(joined, "file_id").mapInArrow(_check, _DDL)
+    # Both sides are placed by the join key once, in as many partitions as parsing wants.
+    n = cpu_partitions(files.sparkSession)
+    joined = wanted.repartition(n, "file_id").join(texts.repartition(n, "file_id").hint("merge"), "file_id").select("project_id", "file_id", "relative_path", "dialect", "content")
+    checked = joined.mapInArrow(_check, _DDL)
     # Repeated rows of a file stand in one partition already; a refusal wins over an acceptance, that over null.
     order = Window.partitionBy("file_id").orderBy(F.col("has_syntax_errors").desc_nulls_last(), "error_line")
     return checked.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
