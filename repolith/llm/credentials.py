@@ -146,7 +146,6 @@ def _pieces(source: str, offset: int) -> tuple[str, int, list[tuple[int, int]]]:
     value, spans, first = "", [], -1
     for m in re.finditer(_LITERAL, source):
         text = m.group()
-        quote = max(text.find(q) for q in "\"'`") if text[0] not in "\"'`" else 0
         quote = min(i for i in (text.find(q) for q in "\"'`") if i >= 0)
         inner = text[quote + 1 : -1]
         spans.append((offset + m.start() + quote + 1, offset + m.end() - 1))
