@@ -35,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = getattr(context, "_repolith_folder", None)
         if folder is None:
-            if not context.master.startswith("local["):
+            if context.master.split("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="repolith-")
             context._repolith_folder = folder
