@@ -10,7 +10,7 @@ never parsed twice at one place and the work stays polynomial for any grammar.
 
 Grammar text, one rule a line:  ``Name = alternative | alternative``; ``'x'`` and
 UPPER names are terminals, ``X?``, ``X*`` and ``X+`` and groups in parentheses are
-allowed. Alternatives of several dialects stand in one grammar: one that starts
+allowed; ``X%`` is one or more X with commas between them and perhaps one behind. Alternatives of several dialects stand in one grammar: one that starts
 with ``@ts`` belongs to that dialect only (``@-jsx``: to all without that mark).
 Repetitions and options take what fits the next token (longest match) unless the
 rule's name is followed by ``~``: then leaving them out is tried as well. Behind
@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 
 END, SEMI, SEP = -1, -2, -3
-_SYMBOL = re.compile(r"\s*('[^']+'|@-?\w+|[A-Za-z_]\w*|[()|?*+~!])")
+_SYMBOL = re.compile(r"\s*('[^']+'|@-?\w+|[A-Za-z_]\w*|[()|?*+%~!])")
 
 
 class Grammar:
@@ -68,10 +68,15 @@ class Grammar:
                 inner, tokens = self._alternatives(tokens, doubtful)
                 tokens = tokens[1:]
                 token = self._helper(inner, doubtful)
-            while tokens and tokens[0] in "?*+":
+            while tokens and tokens[0] in "?*+%":
                 mark, tokens = tokens[0], tokens[1:]
                 if mark == "?":
                     token = self._helper([[token], []], doubtful)
+                elif mark == "%":
+                    more, following = self._helper([], doubtful), self._helper([], doubtful)
+                    self.rules[more] = [["','", following], []]
+                    self.rules[following] = [[token, more], []]
+                    token = self._helper([[token, more]], doubtful)
                 else:
                     loop = self._helper([], doubtful)
                     self.rules[loop] = [[token, loop], []]

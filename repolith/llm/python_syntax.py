@@ -9,6 +9,7 @@ comes down to a short sequence of line kinds.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 from repolith.llm.gll import Grammar
@@ -34,7 +35,7 @@ Simple~ = TypeAlias | Plain
 TypeAlias = 'type' Name TypeParams? '=' Expr
 Plain = 'pass' | 'break' | 'continue' | 'return' Stars? | 'raise' (Expr ('from' Expr)?)? | ('global' | 'nonlocal') Name (',' Name)* | 'del' Stars | 'assert' Expr (',' Expr)? | 'import' Dotted ('as' Name)? (',' Dotted ('as' Name)?)* | 'from' From 'import' Imported | ExprStatement
 From = ('.' | '...')+ Dotted? | Dotted
-Imported = '*' | '(' Name ('as' Name)? (',' ImportMore?)* ')' | Name ('as' Name)? (',' Name ('as' Name)?)*
+Imported = '*' | '(' ImportMore% ')' | Name ('as' Name)? (',' Name ('as' Name)?)*
 ImportMore = Name ('as' Name)?
 Dotted = Name ('.' Name)*
 Name = NAME | 'match' | 'case' | 'type'
@@ -44,7 +45,7 @@ Augment = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' |
 Value = Yield | Stars
 Yield = 'yield' YieldRest
 YieldRest = 'from' Expr | Stars |
-Stars = Star (',' Star?)*
+Stars = Star%
 Star = '*' Expr | Named
 Named = Expr (':=' Expr)?
 Expr = 'lambda' LambdaParams? ':' Expr | Binary ('if' Binary 'else' Expr)?
@@ -52,27 +53,32 @@ Binary = Unary (BinaryOp Unary)*
 BinaryOp = 'or' | 'and' | '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' 'not'? | '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**'
 Unary = ('not' | '-' | '+' | '~' | 'await')* Primary
 Primary = Atom Trailer*
-Trailer = '.' Name | '(' (Arg (',' Arg?)*)? ')' | '[' Slice (',' Slice?)* ']'
+Trailer = '.' Name | '(' Arg%? ')' | '[' Slice% ']'
 Atom = Name | NUMBER | STRING+ | '...' | 'None' | 'True' | 'False' | '(' ParenBody ')' | '[' ListBody ']' | '{' Braced '}'
 ParenBody = Yield | ListBody
 ListBody = (Star ListRest)?
-ListRest = CompFor | (',' Star?)*
-Braced = ('**' Expr (',' DictItem?)* | Star BracedRest)?
-BracedRest = ':' Expr DictRest | CompFor | (',' Star?)*
-DictRest = CompFor | (',' DictItem?)*
+ListRest = CompFor | ListMore
+ListMore = ',' ListNext |
+ListNext = Star ListMore |
+Braced = ('**' Expr DictMore | Star BracedRest)?
+BracedRest = ':' Expr DictRest | CompFor | ListMore
+DictRest = CompFor | DictMore
+DictMore = ',' DictNext |
+DictNext = DictItem DictMore |
 DictItem = '**' Expr | Expr ':' Expr
 CompFor = 'async'? 'for' Targets 'in' Binary CompNext*
 CompNext = 'async'? 'for' Targets 'in' Binary | 'if' Condition
 Condition = Binary (':=' Binary)?
-Targets = '*'? Primary (',' ('*'? Primary)?)*
+Targets = Target%
+Target = '*'? Primary
 Arg = '*' Expr | '**' Expr | Expr ArgRest
 ArgRest = '=' Expr | ':=' Expr | CompFor |
 Slice = '*' Expr | ':' Expr? (':' Expr?)? | Named (':' Expr? (':' Expr?)?)?
-LambdaParams = LambdaParam (',' LambdaParam?)*
+LambdaParams = LambdaParam%
 LambdaParam = '/' | '*' Name? | '**' Name | Name ('=' Expr)?
-Params = Param (',' Param?)*
+Params = Param%
 Param = '/' | '*' (Name (':' Star)?)? | '**' Name (':' Expr)? | Name (':' Expr)? ('=' Expr)?
-TypeParams = '[' TypeParam (',' TypeParam?)* ']'
+TypeParams = '[' TypeParam% ']'
 TypeParam = ('*' | '**')? Name (':' Expr)? ('=' Star)?
 Compound = If | Loop | Try | Plainly | Decorated
 If = IfHead Block ElifPart* ElsePart?
@@ -89,17 +95,17 @@ ExceptPart = 'except' '*'? (Expr (',' Expr)* ('as' Name)?)? ':' Block | HEAD_EXC
 FinallyPart = 'finally' ':' Block | HEAD_FINALLY Body
 Plainly = HEAD_PLAIN Body | PlainHead Block | HEAD_IF Body ElifPart* ElsePart? | 'async' AsyncRest
 AsyncRest = PlainHead Block | LoopHead Block ElsePart? | HEAD_LOOP Body ElsePart?
-PlainHead = 'def' Name TypeParams? '(' Params? ')' ('->' Expr)? ':' | 'class' Name TypeParams? ('(' (Arg (',' Arg?)*)? ')')? ':' | 'with' WithItems ':'
+PlainHead = 'def' Name TypeParams? '(' Params? ')' ('->' Expr)? ':' | 'class' Name TypeParams? ('(' Arg%? ')')? ':' | 'with' WithItems ':'
 WithItems~ = '(' WithItem (',' WithItem)* ','? ')' | WithItem (',' WithItem)*
 WithItem = Expr ('as' '*'? Primary)?
 Decorated = DecoratorLine+ DecoratedRest
 DecoratorLine = '@' Named NEWLINE | DECORATOR
 DecoratedRest = PlainHead Block | HEAD_PLAIN Body | 'async' PlainHead Block
 MatchStatement = 'match' Stars ':' NEWLINE INDENT CasePart+ DEDENT
-CasePart = 'case' Pattern (',' Pattern?)* ('if' Named)? ':' Block
+CasePart = 'case' Pattern% ('if' Named)? ':' Block
 Pattern = '*'? PatternOr ('as' Name)?
 PatternOr = PatternAtom ('|' PatternAtom)*
-PatternAtom = '-'? NUMBER (('+' | '-') NUMBER)? | STRING+ | 'None' | 'True' | 'False' | Dotted ('(' (PatternArg (',' PatternArg?)*)? ')')? | '(' (Pattern (',' Pattern?)*)? ')' | '[' (Pattern (',' Pattern?)*)? ']' | '{' (PatternItem (',' PatternItem?)*)? '}'
+PatternAtom = '-'? NUMBER (('+' | '-') NUMBER)? | STRING+ | 'None' | 'True' | 'False' | Dotted ('(' PatternArg%? ')')? | '(' Pattern%? ')' | '[' Pattern%? ']' | '{' PatternItem%? '}'
 PatternArg = Pattern ('=' Pattern)?
 PatternItem = '**' Name | Pattern ':' Pattern
 HeadIf = 'if' Named ':' END
@@ -151,10 +157,195 @@ def _derives(rule: str, kinds: bytes) -> bool:
     if known is None:
         if len(_memo) >= MEMO_LINES:
             _memo.clear()
-        known = _memo[key] = grammar().accepts(rule, kinds + b"\0")[0]
+        known = _memo[key] = (not rule or grammar().accepts(rule, kinds + b"\0")[0]) and _well_placed(kinds)
     return known
 
 
+_NAMELIKE = frozenset(KINDS[k] for k in ("NAME", "match", "case", "type"))
+_LPAR, _LBRACKET, _COMMA, _COLON, _EQUALS, _STAR, _TWO_STARS, _SLASH, _DOT, _WALRUS = (KINDS[k] for k in "( [ , : = * ** / . :=".split())
+_LAMBDA, _FOR, _IN, _DEF, _WITH, _AS, _DEL, _TYPE = (KINDS[k] for k in "lambda for in def with as del type".split())
+_BRACKETS = {KINDS[a]: KINDS[b] for a, b in _OPEN.items()}
+_AUGMENTED = frozenset(KINDS[k] for k in OPERATORS if len(k) > 1 and k[-1] == "=" and k not in (":=", "<=", ">=", "==", "!="))
+_PRIMARY = _NAMELIKE | _BRACKETS.keys() | frozenset(KINDS[k] for k in ("NUMBER", "STRING", "...", "None", "True", "False", "."))
+_NAMED_HEADS = frozenset(KINDS[k] for k in ("if", "elif", "while", "match", "case", "@"))
+_BEFORE_NAMED = frozenset(KINDS[k] for k in "( [ { , if elif while match @".split())
+#: Behind ``match`` or ``case`` these make the word a name.
+_MAKES_NAME = _AUGMENTED | {KINDS[k] for k in ("=", ".", ",", ":", ";", "NEWLINE")}
+_STOPS = frozenset(KINDS[k] for k in (";", "NEWLINE"))
+
+
+def _at_level(line: bytes, pairs: dict[int, int], a: int, b: int) -> Iterator[int]:
+    """Places between a and b outside of brackets, of the parameters of lambdas and of the targets of loops."""
+    while a < b:
+        yield a
+        if line[a] == _LAMBDA:
+            a = _lambda_end(line, pairs, a)
+        elif line[a] == _FOR:
+            while a + 1 < b and line[a + 1] != _IN:
+                a = pairs.get(a + 1, a + 1)
+        else:
+            a = pairs.get(a, a)
+        a += 1
+
+
+def _lambda_end(line: bytes, pairs: dict[int, int], at: int) -> int:
+    open_, i = 1, at + 1
+    while i < len(line):
+        open_ += (line[i] == _LAMBDA) - (line[i] == _COLON)
+        if not open_:
+            break
+        i = pairs.get(i, i) + 1
+    return i
+
+
+def _pieces(line: bytes, pairs: dict[int, int], a: int, b: int) -> list[tuple[int, int]]:
+    """Spans between the commas of a list; a comma at its end adds none."""
+    out = []
+    for i in _at_level(line, pairs, a, b):
+        if line[i] == _COMMA:
+            out.append((a, i))
+            a = i + 1
+    return [*out, (a, b)] if a < b else out
+
+
+def _targets(line: bytes, pairs: dict[int, int], a: int, b: int, *, single: bool = False, stars: bool = True) -> bool:
+    """Whether what stands between a and b can be assigned to (``single``: by an augmented or annotated assignment)."""
+    pieces = _pieces(line, pairs, a, b)
+    if single and (len(pieces) != 1 or pieces[0][1] != b):
+        return False
+    for p, q in pieces:
+        if line[p] == _STAR:
+            if not stars or single:
+                return False
+            p += 1
+        if q - p == 1 and line[p] in _NAMELIKE:
+            continue
+        if p < q and pairs.get(p) == q - 1 and (line[p] == _LPAR or line[p] == _LBRACKET and not single):
+            if not _targets(line, pairs, p + 1, q - 1, single=single, stars=stars):
+                return False
+            continue
+        places = list(_at_level(line, pairs, p, q))
+        if len(places) < 2 or any(line[i] not in _PRIMARY for i in places):
+            return False
+        last = places[-1]
+        if not (line[last] == _LBRACKET or line[last] in _NAMELIKE and line[places[-2]] == _DOT):
+            return False
+    return True
+
+
+def _arguments(line: bytes, pairs: dict[int, int], a: int, b: int) -> bool:
+    pieces = _pieces(line, pairs, a, b)
+    named = doubled = False
+    for p, q in pieces:
+        if line[p] == _TWO_STARS:
+            doubled = True
+        elif line[p] == _STAR:
+            if doubled:
+                return False
+        else:
+            level = list(_at_level(line, pairs, p, q))
+            if any(line[i] == _EQUALS for i in level):
+                if line[p] not in _NAMELIKE or line[p + 1] != _EQUALS:
+                    return False
+                named = True
+            elif named or doubled or any(line[i] == _FOR for i in level) and q != b or len(pieces) > 1 and any(line[i] == _FOR for i in level):
+                return False
+    return True
+
+
+def _parameters(line: bytes, pairs: dict[int, int], a: int, b: int) -> bool:
+    slash = star = bare = default = last = False
+    for k, (p, q) in enumerate(_pieces(line, pairs, a, b)):
+        if last:
+            return False
+        if line[p] == _SLASH:
+            if slash or star or not k:
+                return False
+            slash = True
+        elif line[p] == _STAR:
+            if star:
+                return False
+            star, bare = True, q - p == 1
+        elif line[p] == _TWO_STARS:
+            if bare:
+                return False
+            last = True
+        else:
+            has = any(line[i] == _EQUALS for i in _at_level(line, pairs, p, q))
+            if default and not has and not star:
+                return False
+            default |= has
+            bare = False
+    return not bare
+
+
+def _well_placed(line: bytes) -> bool:
+    """What the grammar leaves open about a line: targets, and the order of arguments and parameters."""
+    pairs: dict[int, int] = {}
+    opened: list[int] = []
+    for i, kind in enumerate(line):
+        if kind in _BRACKETS:
+            opened.append(i)
+        elif opened and kind == _BRACKETS[line[opened[-1]]]:
+            pairs[opened.pop()] = i
+        elif kind == _WALRUS and (i < 2 or line[i - 1] not in _NAMELIKE or line[i - 2] not in _BEFORE_NAMED or not opened and line[0] not in _NAMED_HEADS):
+            return False
+    first = 1 if line[0] == _ASYNC and len(line) > 1 else 0
+    parameters = -1
+    if line[first] == _DEF:
+        parameters = next((i for i in _at_level(line, pairs, first, len(line)) if line[i] == _LPAR), -1)
+    for i, kind in enumerate(line):
+        if kind == _LPAR:
+            if not (_parameters if i == parameters else _arguments)(line, pairs, i + 1, pairs[i]):
+                return False
+        elif kind == _LAMBDA:
+            if not _parameters(line, pairs, i + 1, _lambda_end(line, pairs, i)):
+                return False
+        elif kind == _FOR:
+            end = next((j for j in _at_level(line, pairs, i + 1, len(line)) if line[j] == _IN), i)
+            if not _targets(line, pairs, i + 1, end):
+                return False
+    start = first
+    while start < len(line):
+        kind = line[start]
+        soft = kind in _SOFT and start + 1 < len(line) and line[start + 1] not in _MAKES_NAME
+        if kind in _HEAD_BY_KIND or soft:
+            colon = next((i for i in _at_level(line, pairs, start, len(line)) if line[i] == _COLON), len(line))
+            if kind == _WITH and not _with_targets(line, pairs, start + 1, colon):
+                return False
+            if soft and (colon == len(line) or line[start + 1] in (_LPAR, _LBRACKET)):
+                return True  # may be a call or a subscript of that name
+            start = colon + 1
+            continue
+        end = next((i for i in _at_level(line, pairs, start, len(line)) if line[i] in _STOPS), len(line))
+        if kind == _DEL:
+            if not _targets(line, pairs, start + 1, end, stars=False):
+                return False
+        elif not (kind == _TYPE and start + 1 < end and line[start + 1] in _NAMELIKE):
+            a = start
+            for i in _at_level(line, pairs, start, end):
+                if line[i] == _EQUALS:
+                    if not _targets(line, pairs, a, i):
+                        return False
+                    a = i + 1
+                elif line[i] in _AUGMENTED or line[i] == _COLON and not any(line[j] == _LAMBDA for j in _at_level(line, pairs, a, i)):
+                    if not _targets(line, pairs, a, i, single=True):
+                        return False
+                    break
+        start = end + 1
+    return True
+
+
+def _with_targets(line: bytes, pairs: dict[int, int], a: int, b: int) -> bool:
+    if pairs.get(a) == b - 1 and line[a] == _LPAR:
+        a, b = a + 1, b - 1
+    for p, q in _pieces(line, pairs, a, b):
+        at = next((i for i in _at_level(line, pairs, p, q) if line[i] == _AS), None)
+        if at is not None and not _targets(line, pairs, at + 1, q):
+            return False
+    return True
+
+
 def lines_of(text: str) -> tuple[list, list[bytes]]:
     """Layout entries (INDENT / DEDENT kinds as int, lines as index) and the lines' kinds."""
     layout: list = []
@@ -342,6 +533,8 @@ def parses(text: str) -> bool:
         if kind == _ASYNC and len(line) > 1 and line[1] in _HEAD_BY_KIND:
             kind = line[1]
         if kind in _SOFT:
+            if not _derives("", line):
+                return _nested_quotes(text)
             stream += line
             continue
         head = _HEAD_BY_KIND.get(kind)
@@ -351,6 +544,8 @@ def parses(text: str) -> bool:
                     return _nested_quotes(text)
                 stream.append(head[1])
             else:
+                if not _derives("", line):
+                    return _nested_quotes(text)
                 stream += line
         elif kind == _AT:
             if not _derives("HeadDecorator", line):

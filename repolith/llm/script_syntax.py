@@ -41,7 +41,7 @@ Paren = '(' | LPMAYBE
 Block = '{' Statement* '}'
 ExprStatement = Expr SEMI
 Typed = INTERFACE Id TypeParams? ('extends' TypeList)? ObjectType | TYPE Id TypeParams? '=' Type SEMI | Enum | NAMESPACE ModuleName ModuleBody | DECLARE Ambient | ABSTRACT Class
-Enum = ('enum' | CONSTENUM 'enum') Id '{' (EnumItem (',' EnumItem?)*)? '}'
+Enum = ('enum' | CONSTENUM 'enum') Id '{' EnumItem%? '}'
 EnumItem = PropName ('=' Assign)?
 ModuleName = STR | Id ('.' AnyName)*
 ModuleBody! = Block | SEMI
@@ -67,7 +67,7 @@ ImportRest = STR Attributes? SEMI | TYPE? ImportClause ImportFrom
 ImportFrom = FROM STR Attributes? SEMI | @ts '=' Assign SEMI
 ImportClause = Id (',' (Named | '*' AS Id))? | Named | '*' AS Id
 Attributes = WITHATTR Object
-Named = '{' (Specifier (',' Specifier?)*)? '}'
+Named = '{' Specifier%? '}'
 Specifier = TYPE? ModName (AS ModName)?
 ModName = AnyName | STR
 Export = 'export' ExportRest
@@ -78,15 +78,16 @@ ExportDefault! = Function | ASYNCFN Function | Class | Decorated | @ts ABSTRACT
 Function = 'function' '*'? Id? TypeParams? Params ReturnType? FunctionBody
 NamedFunction = 'function' '*'? Id TypeParams? Params ReturnType? FunctionBody
 FunctionBody! = Block | @ts SEMI
-Params = ParamOpen (Param (',' Param?)*)? ')'
+Params = ParamOpen Param%? ')'
 ParamOpen = '(' | LPMAYBE
 Param = Decorator* ParamMod* '...'? ParamTarget Optional? TypeNote? ('=' Assign)?
 ParamMod = @ts MOD
 ParamTarget = Binding | @ts 'this'
 Optional = @ts '?'
 Binding = Id | Pattern
-Pattern = '[' (ArrayHole | ArrayTarget)* ']' | '{' (BindProp (',' BindProp?)*)? '}'
-ArrayHole = ','
+Pattern = '[' ArrayTargets ']' | '{' BindProp%? '}'
+ArrayTargets = ',' ArrayTargets | ArrayTarget MoreTargets |
+MoreTargets = ',' ArrayTargets |
 ArrayTarget = '...'? Binding ('=' Assign)?
 BindProp = '...' Binding | Id BindRest | BindName ':' Binding ('=' Assign)?
 BindRest = ':' Binding ('=' Assign)? | ('=' Assign)?
@@ -112,7 +113,7 @@ Yield = 'yield' YieldRest
 YieldRest = '*' Assign | Assign |
 Arrow = IDARROW '=>' ArrowBody | LPARROW ParamList ReturnType? '=>' ArrowBody | ASYNCARROW (IDARROW | LPARROW ParamList ReturnType?) '=>' ArrowBody | @ts ASYNCARROW TypeParams (LPARROW | LPMAYBE) ParamList ReturnType? '=>' ArrowBody
 TypedArrow = LPMAYBE ParamList ReturnType '=>' ArrowBody | ASYNCMAYBE LPMAYBE ParamList ReturnType '=>' ArrowBody | TypeParams (LPARROW | LPMAYBE) ParamList ReturnType? '=>' ArrowBody 
-ParamList = (Param (',' Param?)*)? ')'
+ParamList = Param%? ')'
 ArrowBody! = Block | Assign
 Operation = Unit OperationRest
 OperationRest = AssignOp Assign | OperationTail* ('?' Assign ':' Assign)?
@@ -127,13 +128,15 @@ Tails! = Tail Tails | MaybeTyped |
 MaybeTyped~ = @ts TypeArgs Tails |
 Tail = '.' (AnyName | PRIVATE) | '?.' ChainRest | '[' Expr ']' | Args | Template | '++' | '--' | @ts '!'
 ChainRest = AnyName | PRIVATE | '[' Expr ']' | Args | Template | @ts TypeArgs Args
-Args = ('(' | LPMAYBE) ('...'? Assign (',' ('...'? Assign)?)*)? ')'
+Args = ('(' | LPMAYBE) Element%? ')'
+Element = '...'? Assign
 Primary = Id | NUM | STR | REGEX | Template | 'this' | 'super' | 'null' | 'true' | 'false' | PRIVATE | ('(' | LPMAYBE) Expr ')' | Array | Object | Function | ASYNCFN Function | Decorator* Class | IMPORTEXPR ImportCall | @jsx Markup
-ImportCall = ('(' | LPMAYBE) Assign (',' Assign?)* ')' | '.' AnyName
+ImportCall = ('(' | LPMAYBE) Assign% ')' | '.' AnyName
 Template = TEMPLATE | THEAD Expr (TMID Expr)* TTAIL
-Array = '[' (',' | '...'? Assign ArrayNext)* ']'
-ArrayNext = ',' |
-Object = '{' (Property (',' Property?)*)? '}'
+Array = '[' Elements ']'
+Elements = ',' Elements | Element MoreElements |
+MoreElements = ',' Elements |
+Object = '{' Property%? '}'
 Property = '...' Assign | GETTER PropName Params ReturnType? Block | SETTER PropName Params ReturnType? Block | MOD '*'? PropName Method | '*' PropName Method | Id IdProperty | LiteralName LiteralProperty
 LiteralName = Keyword | STR | NUM | '[' Assign ']'
 IdProperty = LiteralProperty | ('=' Assign)?
@@ -148,7 +151,7 @@ MarkupEnd = JSELF | JGT MarkupChild* JCLOSE JNAME JGT
 Attribute = JNAME (JEQ AttributeValue)? | '{' '...' Assign '}'
 AttributeValue = JSTR | '{' Assign '}' | Markup
 MarkupChild = JTEXT | Markup | '{' ('...'? Expr)? '}'
-TypeParams = @ts '<' TypeParam (',' TypeParam?)* '>'
+TypeParams = @ts '<' TypeParam% '>'
 TypeParam = ('const' | MOD)* TypeParamName ('extends' Type)? ('=' Type)?
 TypeParamName = Id | 'in' Id | 'in'
 TypeArgs = '<' Type (',' Type)* '>'
@@ -159,7 +162,7 @@ FunctionType = TypeParams? LPARROW ParamList '=>' TypeOrPredicate
 UnionType = ('|' | '&')? TypeUnit (('|' | '&') TypeUnit)*
 TypeUnit = (TYPEOP | MOD)* TypePrimary TypeTail*
 TypeTail = '[' Type? ']'
-TypePrimary = TypeRef | 'void' | 'null' | 'this' | 'true' | 'false' | STR | NUM | '-' NUM | TypeTemplate | ObjectType | '[' (TupleItem (',' TupleItem?)*)? ']' | ('(' | LPMAYBE) Type ')' | 'typeof' TypeQuery | IMPORTEXPR ('(' | LPMAYBE) Type (',' Object)? ')' ('.' AnyName)* TypeArgs?
+TypePrimary = TypeRef | 'void' | 'null' | 'this' | 'true' | 'false' | STR | NUM | '-' NUM | TypeTemplate | ObjectType | '[' TupleItem%? ']' | ('(' | LPMAYBE) Type ')' | 'typeof' TypeQuery | IMPORTEXPR ('(' | LPMAYBE) Type (',' Object)? ')' ('.' AnyName)* TypeArgs?
 TypeTemplate = TEMPLATE | THEAD Type (TMID Type)* TTAIL
 TypeQuery = (Id | 'this') ('.' (AnyName | PRIVATE))* TypeArgs? | IMPORTEXPR '(' Type ')' ('.' AnyName)*
 TypeRef = Id ('.' AnyName)* TypeArgs?

@@ -83,6 +83,29 @@ def test_bad_scripts(dialect, text):
     assert not script_syntax.parses(text, dialect)
 
 
+PLACED = [
+    "f(a,,b)", "[1,,2]", "{1: 2,,3: 4}", "{1,,2}", "{**a,,'b': 1}", "def f(a,,b): pass", "x[1,,2]", "from a import (b,,c)", "lambda a,,b: 0", "for a,,b in c: pass", "return_ = 1,,2", "class A(B,,C): pass",
+    "f(a, b,)", "[1, 2,]", "{1: 2,}", "{1, 2,}", "def f(a, b,): pass", "x[1, 2,]", "from a import (b, c,)", "x = 1,", "f(,a)", "[,]", "f(,)",
+    "f(a=1, b)", "f(**k, b)", "f(**k, *a)", "f(a=1, *b, c=2, **d)", "f(*a, b, **c, d=1)", "f(a.b=1)", "f(1=2)", "f(x for x in y)", "f(x for x in y, 1)", "f(1, x for x in y)", "f(x for x, (y, z) in w)", "f(x for x, y in z, 1)", "x = (a async for a, b in c)", "f(x for x in y,)", "f(lambda a=1: a, b)", "class A(m=1, B): pass",
+    "def f(a=1, b): pass", "def f(a=1, *, b): pass", "def f(*): pass", "def f(*, **k): pass", "def f(**k, a): pass", "def f(/, a): pass", "def f(a, /, b, /): pass", "def f(*a, *b): pass", "def f(a: int = 1, b: str = lambda x=2: x): pass", "lambda a=1, b: a", "lambda *, a: a", "def f[T = int](a, b=1): pass",
+    "1 + 2 = x", "for 1 in x: pass", "f() = 1", "f().a = 1", "a[1], (b, *c), [d.e] = x", "a = 1 = b", "(a, 1) = x", "a, b += 1", "(a) += 1", "f() += 1", "a.b: int = 1", "f(): int = 1", "a, b: int", "del a, b[0], c.d", "del f()", "del (a, [b])", "x = lambda a=1: a", "lambda: x = 1", "'a' = x", "None = 1", "a if b else c = 1", "await_ = [x for f() in y]",
+    "[x for x, (y, z) in y]", "with a as f(): pass", "with a as b.c, d as (e, f): pass", "with (a as b, c as 1): pass", "if x: y + 1 = 2", "if x: y = 2; z = 3", "x := 1", "(x := 1)", "(1 := 2)", "if x := f(): pass", "f(x := 1)", "type X = int", "type = 1", "match x:\n    case 1: y = 2\n", "match x:\n    case 1: 1 = 2\n", "async def f(a=1, b): pass", "a = yield = 1",
+]
+
+
+@pytest.mark.parametrize("text", PLACED)
+def test_lists_targets_and_order(text):
+    test_python(text + "\n")
+
+
+@pytest.mark.parametrize("dialect,good,bad", [
+    ("js", "f(a, b,)", "f(a,,b)"), ("js", "x = {a, b,}", "x = {a,,b}"), ("js", "import {a, b,} from 'c'", "import {a,,b} from 'c'"), ("js", "x = [1, 2]", "x = [1 2]"), ("js", "x = [,1,,2,]", "x = ['a' 'b']"), ("js", "[a, , b] = c; let [, d,, e,] = f", "let [a b] = c"), ("js", "function f(a, b,) {}", "function f(a,,b) {}"), ("js", "let {a, b,} = c", "let {a,,b} = c"),
+    ("js", "x = (a, b,) => a", "x = (a,,b) => a"), ("ts", "enum E { A, B, }", "enum E { A,,B }"), ("ts", "type X<A, B,> = [a: A, b?: B,]", "type X = [A,,B]"),
+])
+def test_commas_of_scripts(dialect, good, bad):
+    assert script_syntax.parses(good, dialect) and not script_syntax.parses(bad, dialect)
+
+
 def test_deep_nesting_is_no_problem():
     assert script_syntax.parses("x = " + "(" * 3000 + "1" + ")" * 3000, "js") and not script_syntax.parses("x = " + "(" * 3000, "js")
     assert script_syntax.parses("a = " + " + ".join(f"f(b{i})" for i in range(4000)) + ";", "ts")
