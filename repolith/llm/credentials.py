@@ -8,8 +8,9 @@ Four steps, each over the whole of ``chunks``:
    calls, and values named in comments and prose. Literals joined with ``+`` are
    one value.
 2. *Suppress.* Values are indexed corpus-wide with the number of their owners
-   (projects). A value that is no unmistakable token format and that more than
-   ``max_owners`` projects hold is a placeholder, whatever it looks like.
+   (projects). A value that more than ``max_owners`` projects hold and that
+   has a word of placeholders in it is one, unless its token format is
+   unmistakable; any other value stays, however many projects hold it.
 3. *Confirm.* What is left must be structured: no placeholder or mask, no name
    of a secret, no path, no label, no checksum.
 4. *Re-scan.* Every text is scanned again for all confirmed values by an
@@ -99,6 +100,8 @@ PLACEHOLDER = re.compile(
       |your[\-_ .].*|my[\-_ ].*|insert[\-_ ].*|replace[\-_ ].*|enter[\-_ ].*|set[\-_ ]?me.*|test(?:ing|er)?|default|n/?a|undefined|unknown|string|foo(?:bar)?|bar|baz|admin|root|user|guest|demo
       |.*(?:example|placeholder|changeme|change-me|redacted|your[\-_]).*|\(.*\)|<.*>?|\$.*|%.*%?|\{.*|\[.*|!.*|@.*|&.*|vault:.*|enc\[.*|op://.*|arn:.*|env:.*|ref[+:].*|file:.*)$"""
 )
+#: Words that make a value a placeholder once many projects hold it (for Spark and Python alike).
+SHARED_WORDS = r"(?:^|[^A-Za-z]|(?<=[a-z])(?=[A-Z]))(?i:sample|example|shared|demo|dummy|fake|mock|test(?:ing)?|default|placeholder|change|your|my|insert|replace|enter|todo|fixme|temp|tmp|local(?:host)?|dev|foo|bar|baz|secret|password|passwd|token|qwerty|admin|guest)(?:$|[^A-Za-z]|(?<=[a-z])(?=[A-Z]))"
 HASH_WORDS = re.compile(r"(?i)checksum|sha-?\d|digest|integrity|revision|commit|md5|etag|request[_ \-]?id|trace[_ \-]?id|uuid|fingerprint|build|version|hash|image|pixel|public")
 ENDS_AS_NAME = re.compile(rf"(?i)(?:^|[_\-./ ])(?:{_NOUN}|api[_\-]?key|password|tokens?|secrets?|header)$")
 WORDS = re.compile(r"[A-Za-z]+")
@@ -323,11 +326,11 @@ def index_literals(texts: DataFrame) -> DataFrame:
 
 
 def confirmed_values(literals: DataFrame, *, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """value, owners, sure of every value that is no widely shared placeholder."""
+    """value, owners, sure of every value; those that many projects hold only if they do not read like a placeholder."""
     # One row per (value, project) first: a value that a third of all rows hold meets few rows per owner.
     pairs = literals.where("value <> ''").groupBy("value", F.coalesce("project_id", F.lit(-1)).alias("owner")).agg(F.max("sure").alias("sure"))
     owners = pairs.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.max("sure").alias("sure"))
-    return owners.where(F.col("sure") | (F.col("owners") <= max_owners))
+    return owners.where(F.col("sure") | (F.col("owners") <= max_owners) | ~F.col("value").rlike(SHARED_WORDS))
 
 
 def _automaton(path: str, block: int, blocks: int) -> ahocorasick.Automaton:

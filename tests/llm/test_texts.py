@@ -41,6 +41,12 @@ def test_credentials_end_to_end(spark):
     assert credentials.credential_lines(chunks.limit(0), files).count() == 0
 
 
+def test_a_value_that_many_projects_hold_stays(spark):
+    texts = [f'password = "{v}"' for v in ("q7Zx1kP93vLm", "Sample-77-xk", "demoPass-9x1")]
+    rows = spark.createDataFrame([(100 * k + i, i, None, t, 7) for k, t in enumerate(texts) for i in range(9)], "chunk_id long, project_id long, relative_path string, content string, content_hash long")
+    assert {r.chunk_id for r in credentials.locate(rows).select("chunk_id").collect()} == set(range(9))
+
+
 def test_blocks_of_the_automaton_find_the_same(spark, monkeypatch):
     texts = spark.createDataFrame([(i, i, None, f'token = "q7Zx{i}kP93vLm{i}"', i) for i in range(30)], "chunk_id long, project_id long, relative_path string, content string, content_hash long")
     whole = credentials.locate(texts).select("chunk_id").distinct().count()
