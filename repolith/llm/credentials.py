@@ -84,12 +84,12 @@ _LITERAL = r"""(?:[rRbBuUfF]{0,2}(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:
 _JOINED = rf"{_LITERAL}(?:\s*\+\s*{_LITERAL}|[ \t]*\\?\n[ \t]*{_LITERAL})*"
 _TYPED = r"(?:\s*:\s*[A-Za-z_][\w.<>\[\]|? ]{0,40})?"
 ASSIGNED = re.compile(rf"""[_\-]?\d*(?![A-Za-z0-9_\-])["'`]?\]?{_TYPED}\s*(?:=>|:=|[:=])\s*\(?\s*(?P<value>{_JOINED})""")
-SET = re.compile(r"""[_\-]?\d*["']?[ \t]*[:=][ \t]*(?P<value>[^\s"'`#][^\s#]*)[ \t]*(?:\#.*)?\r?(?:\n|\Z)""")
+SET = re.compile(r"""[_\-]?\d*["']?[ \t]*[:=][ \t]*(?P<value>[^\s"'`#]\S*)(?:[ \t]+\#.*|[ \t]*)\r?(?:\n|\Z)""")
 SET_NAME = re.compile(r"""[ \t]*(?:export[ \t]+|-[ \t]+)?["']?[\w.\-]*\Z""")
 CONFIG_PATH = re.compile(r"(?i)(?:\.(?:env|ya?ml|toml|ini|cfg|conf|properties|json|txt|md|sh)|(?:^|/)\.env[^/]*)$")
 PROSE_PATH = re.compile(r"(?i)\.(?:md|txt|rst|adoc)$")
 FALLBACK = re.compile(rf"""(?i)env(?:iron)?(?:\.get)?(?:\s*[(\[]\s*["'](?P<env>[\w\-]+)["']\s*[)\]]?\s*(?:,|\bor\b|\|\||\?\?)|\.(?P<dot>\w+)\s*(?:\|\||\?\?))\s*(?P<value>{_JOINED})""")
-SIGNED = re.compile(r"""(?i)(?:hmac(?:\.new|\.digest)?|jwt\.(?:sign|encode|verify|decode)|fernet|aes\.new|hmacsha\d+)\s*\((?P<args>[^\n]{0,400})""")
+SIGNED = re.compile(r"""(?i)(?:hmac(?:\.new|\.digest)?|jwt\.(?:sign|encode|verify|decode)|fernet|aes\.new|hmacsha\d+)\s*\((?P<args>[^\n]*)""")
 URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://(?P<user>[^\s:/@"'`<>]*):(?P<value>[^\s/@"'`<>]+)@[A-Za-z0-9\[]""")
 HEADER = re.compile(r"""(?i)\b(?P<scheme>bearer|basic|token)[ \t]+(?P<value>[A-Za-z0-9+/_\-.=~!*#$%]{6,})""")
 USERPASS = re.compile(r"""(?:\s-u|--user)[ =]["']?(?P<user>[A-Za-z0-9_.\-]+):(?P<value>[^\s"'`]+)""")
@@ -144,6 +144,43 @@ def structured(value: str, *, spoken: bool = False) -> bool:
     return (symbol and len(value) >= 8) or value.count("-") >= 2 or len(value) >= 20 and entropy(value) > 3.6
 
 
+_SENTENCE = re.compile(r"(?i)\b(?:the|an?|is|are|was|be|to|of|for|in|on|at|and|or|not|no|your|you|please|enter|must|should|can|cannot|invalid|missing|wrong|required|with|from|has|have|this|that|it|if|when|error|failed|expired|password|passphrase|secret|token|key|login|user)\b")
+_PASS = re.compile(r"pass|pwd|secret|contrase|mot de passe|密码|口令")
+_REFERENCE = re.compile(r"\$[A-Za-z_{(]\w*[})]?$|[!&@][A-Za-z_]+$|%\w*%$|%[sdr(]|[$%]?\{|\(.*\)$|\[.*\]$|!(?:vault|secret|ref|env)\b|@[\w.\-/]+(?:/|$)")
+
+
+def granting(value: str, noun: str) -> bool:
+    """Whether a quoted value under a strong noun could grant access although ``structured`` refuses its form."""
+    if structured(value):
+        return True
+    if masked(value) or noun in WEAK and value[:1] != "/":
+        return False
+    password = _PASS.match(noun) is not None
+    if " " in value:  # a passphrase of several words
+        words = value.split(" ")
+        return password and 3 <= len(words) <= 12 and all(re.fullmatch(r"[A-Za-z0-9\-]{2,}", w) for w in words) and value[1:] == value[1:].lower() and not _SENTENCE.search(value)
+    if value.isdigit():
+        return password and len(value) >= 6 and value not in "01234567890123456789" and value not in "98765432109876543210"
+    if re.search(r"\s|\$\{|\{\{|%\(", value):
+        return False
+    digit, lower, upper = (re.search(p, value) is not None for p in (r"\d", r"[a-z]", r"[A-Z]"))
+    if value[0] == "/":  # base64 text may begin so
+        return len(value) >= 24 and digit and lower and upper and re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", value) is not None and entropy(value) >= 4 and value.count("/") <= len(value) // 8
+    if value[0] in "$!@&%([{~.":
+        return len(value) >= 6 and digit and (lower or upper) and not _REFERENCE.match(value) and not re.match(r"[~.]{1,2}/|\.\w+$", value) and structured(value.lstrip("$!@&%([{~."))
+    return password and 4 <= len(value) < 6 and digit and (lower or upper) and re.search(r"[^A-Za-z0-9_\-.]", value) is not None and not PLACEHOLDER.match(value)
+
+
+_HASH_NEXT = re.compile(r"(?i)(?:checksum|sha-?\d*|digest|integrity|md5|etag|uuid|fingerprint|hash|public|pixel)[_\-. ]?$")
+
+
+def _hash_named(before: str, value: str) -> bool:
+    """Whether the words before a noun say that the value is no secret: the last of them does, or the value looks like a hash."""
+    if _HASH_NEXT.search(before):
+        return True
+    return HASH_WORDS.search(before) is not None and re.fullmatch(r"(?i)(?:sha\d+[:\-].*|(?:0x)?[0-9a-f\-]{7,}|v?\d[\w.\-+]*|\S+:[\w.\-]+|\S+@sha\d+:\S+)", value) is not None
+
+
 def _pieces(source: str, offset: int) -> tuple[str, int, list[tuple[int, int]]]:
     """Joined value, start of its first literal and the spans of its literals' insides."""
     value, spans, first = "", [], -1
@@ -233,7 +270,7 @@ def _at_noun(content: str, hit: re.Match, config: bool, prose: bool, add) -> Non
         if m is not None:
             value, start, spans = _pieces(m.group("value"), m.start("value"))
             name = content[max(0, at - 24) : at]
-            if structured(value) and _strong(noun, value) and not HASH_WORDS.search(re.split(r"[^\w\-.]", name)[-1]):
+            if granting(value, noun) and _strong(noun, value) and not _hash_named(re.split(r"[^\w\-.]", name)[-1], value):
                 add(value, start, spans, False)
             return
         if config:
@@ -242,7 +279,7 @@ def _at_noun(content: str, hit: re.Match, config: bool, prose: bool, add) -> Non
                 m = SET.match(content, end)
                 if m is not None:
                     value = m.group("value").rstrip(",;")
-                    if structured(value) and _strong(noun, value) and not HASH_WORDS.search(content[line_start:at]):
+                    if structured(value) and _strong(noun, value) and not _hash_named(content[line_start:at], value):
                         add(value, m.start("value"), [(m.start("value"), m.start("value") + len(value))], False)
                         return
     if follow.isalnum() or follow in "_-":
@@ -257,7 +294,7 @@ def _at_noun(content: str, hit: re.Match, config: bool, prose: bool, add) -> Non
         at_value = m.start("value") + raw.find(value)
         value = value.rstrip(".,;:!`'\"")
         head = content[line_start:at_value]
-        if structured(value, spoken=True) and "://" not in head and not HASH_WORDS.search(head):
+        if structured(value, spoken=True) and "://" not in head and not _hash_named(content[line_start:at], value) and not HASH_WORDS.search(content[end:at_value]):
             add(value, at_value, [(at_value, at_value + len(value))], False)
             return
         following = _NEXT.match(content, m.end())

@@ -31,6 +31,15 @@ def test_others_are_not(path, text):
     assert credentials.find_literals(text, path) == []
 
 
+@pytest.mark.parametrize("path,text,found", [
+    ("a.py", 'passphrase = "copper lantern orbit maple"', 1), ("a.py", 'password = "Invalid password for this user"', 0), ("a.py", 'password = "48151623"', 1), ("a.py", 'password = "12345678"', 0), ("a.py", 'password = "$tr0ng-Pa55"', 1), ("a.py", 'password = "$DB_PASSWORD"', 0), ("a.py", 'password = "k7#Qz"', 1),
+    ("a.py", 'secret_key = "/9j3Kd8sLq0ZxV5tY2wRb7NfUe4HgMcA="', 1), ("a.py", 'secret = "/run/secrets/db-password-1"', 0), (".env", "BUILD_TOKEN=Zk3vQ9sL2mN8pR4t", 1), (".env", "BUILD_TOKEN=31ef939f87e2c1fd36fcca47", 0), ("a.yaml", 'image_pull_secret: "q7Zx1kP93vLm"', 1), (".env", "DB_PASSWORD=ember#stone-42", 1),
+    ("a.py", 'public_key = "Zk3vQ9sL2mN8pR4tAb5x"', 0), ("a.py", "jwt.encode(" + "x, " * 150 + '"662e405dad3b15af83c4a35fc3251f11")', 1), ("a.py", 'token = "!vault x1"', 0),
+])
+def test_forms_of_values(path, text, found):
+    assert len(credentials.find_literals(text, path)) == found
+
+
 def test_credentials_end_to_end(spark):
     rows = [(1, 1, 1, 'x\npassword = "tr0ub4dor-3x9"\ny'), (1, 1, 1, 'x\npassword = "tr0ub4dor-3x9"\ny'), (2, 2, 2, "see tr0ub4dor-3x9 there, not tr0ub4dor-3x9a"), (3, 3, 3, None), (4, 3, None, "")] + [(10 + i, 10 + i, 2, "password = 'shared-Sample-77'") for i in range(9)]
     chunks = spark.createDataFrame([(c, p, f, t, "clash") for c, p, f, t in rows], "chunk_id long, project_id long, file_id long, content string, relative_path string")
