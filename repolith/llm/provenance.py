@@ -113,6 +113,29 @@ def leading_comment(text: str) -> list[str]:
     return out
 
 
+_ASSIGNED_DATA = re.compile(r"(?s)(?:(?:export\s+)?(?:default\s+|(?:const|let|var)\s+\w+(?:\s*:[^=]+)?\s*=\s*)|module\.exports\s*=\s*|[A-Za-z_]\w*(?:\s*:[^=]+)?\s*=\s*)?(?P<data>[\[{].*[\]}])\s*;?\s*\Z")
+_CONSTANTS = {"true", "false", "null", "True", "False", "None"}
+
+
+def only_data(body: str) -> bool:
+    """Whether the whole of a text is one collection of literals, perhaps with a name."""
+    m = _ASSIGNED_DATA.match(body.strip())
+    if m is None:
+        return False
+    bare = LITERAL.sub("0", m.group("data"))
+    if "0" not in bare or not set(NAME.findall(bare)) <= _CONSTANTS:
+        return False
+    bare = NAME.sub("0", bare)
+    if re.search(r"[^\s\[\]{}:,0]", bare):
+        return False
+    depth = 0
+    for i, c in enumerate(bare := re.sub(r"[\s0:,]+", "", bare)):
+        depth += (c in "[{") - (c in "]}")
+        if depth == 0 and i < len(bare) - 1 or depth < 0:
+            return False
+    return depth == 0
+
+
 def folded(name: str) -> str:
     return _FOLD_NUMBER.sub("0", name)
 
@@ -173,6 +196,7 @@ def features(path: str, suffix: str, text: str) -> dict:
         "literals": literals,
         "literal_share": (literal_chars + min(blanks, literals * 4)) / max(1, len(body)),
         "work": len(WORK.findall(bare)),
+        "only_data": suffix not in (".css", ".sql") and only_data(body),
         "inserts": inserts / len(statements) if statements else 0.0,
         "identifiers": "\0".join(sorted(distinct)) + "\0" if distinct else "",
     }
@@ -181,7 +205,7 @@ def features(path: str, suffix: str, text: str) -> dict:
 _KINDS = {
     "tool": pa.bool_(), "notice": pa.string(), "package": pa.string(), "in_folder": pa.bool_(), "versioned": pa.bool_(), "built_name": pa.bool_(), "source_map": pa.bool_(), "n_chars": pa.int32(), "n_lines": pa.int32(),
     "longest": pa.int32(), "mean_line": pa.float64(), "spaces": pa.float64(), "names": pa.int32(), "short_names": pa.float64(), "series": pa.float64(), "padded": pa.int32(), "repeated": pa.float64(), "rows": pa.float64(), "literals": pa.int32(),
-    "literal_share": pa.float64(), "work": pa.int32(), "inserts": pa.float64(), "identifiers": pa.string(),
+    "literal_share": pa.float64(), "work": pa.int32(), "only_data": pa.bool_(), "inserts": pa.float64(), "identifiers": pa.string(),
 }
 _SPARK = {pa.bool_(): "boolean", pa.string(): "string", pa.int32(): "int", pa.float64(): "double"}
 _KEYS = ["project_id", "file_id", "relative_path", "suffix", "content_hash"]
@@ -251,7 +275,7 @@ def judge(f: dict, entropy: float, copies: int, package_owners: int) -> str | No
         return "minified"
     if f["built_name"] and f["source_map"] and f["mean_line"] > 100:
         return "minified"
-    if f["inserts"] >= 0.9 and f["literals"] >= 20 or (literal_bound and f["work"] == 0 and (f["literals"] >= 30 or f["n_chars"] >= 1500 and f["longest"] >= 800)) and not css and not sql:
+    if f["only_data"] or f["inserts"] == 1.0 or f["inserts"] >= 0.9 and f["literals"] >= 20 or (literal_bound and f["work"] == 0 and (f["literals"] >= 30 or f["n_chars"] >= 1500 and f["longest"] >= 800)) and not css and not sql:
         return "data"
     if not css and f["n_lines"] >= 4:
         floor = 0.35 if f["built_name"] else 0.5

@@ -83,6 +83,15 @@ def test_provenance(path, text, kind):
     assert judged(path, text, entropy=4.9 if kind == "minified" else 2.5) == kind
 
 
+@pytest.mark.parametrize("path,text,kind", [
+    ("a.ts", '{\n  "name": "shuttle",\n  "ports": [80, 443],\n  "on": true\n}\n', "data"), ("a.py", "SIZES = [1, 2, 3]\n", "data"), ("a.js", 'module.exports = {"a": [1, -2.5], "b": null};\n', "data"), ("a.sql", "insert into t values (1, 'x');\n", "data"),
+    ("a.py", "SIZES = [1, f(2), 3]\n", None), ("a.js", "const a = { b: c };\n", None), ("a.py", "A = [1]\nB = [2]\n", None), ("a.py", "A = []\n", None),
+])
+def test_small_data_files(path, text, kind):
+    assert judged(path, text) == kind
+
+
+
 def test_trigrams_see_names_apart():
     codes = provenance.trigrams(b"ab\0c\0")
     a, b, c, n = 1, 2, 3, provenance.ALPHABET
