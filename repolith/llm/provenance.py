@@ -91,10 +91,14 @@ def trigrams(names: bytes) -> np.ndarray:
     return codes[~(ends[1:-1] & ends[2:])]
 
 
+_LINE = re.compile(r"[^\n]+")
+
+
 def leading_comment(text: str) -> list[str]:
     """The lines of the comment that opens a file, before any code."""
     out, block = [], ""
-    for line in text.lstrip("﻿").split("\n", 40)[:40]:
+    for match in _LINE.finditer(text.lstrip("﻿")):
+        line = match.group()
         bare = line.strip()
         if block:
             out.append(bare)

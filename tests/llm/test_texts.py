@@ -92,6 +92,12 @@ def test_small_data_files(path, text, kind):
 
 
 
+def test_a_long_licence_does_not_hide_a_tool():
+    licence = "".join(f"# Clause {i} of the terms.\n" for i in range(60))
+    assert judged("a.py", licence + "# Code generated by tool v1.2. DO NOT EDIT.\n" + HAND) == "generated" and judged("a.py", licence + HAND) is None
+
+
+
 def test_trigrams_see_names_apart():
     codes = provenance.trigrams(b"ab\0c\0")
     a, b, c, n = 1, 2, 3, provenance.ALPHABET
