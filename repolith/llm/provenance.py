@@ -140,6 +140,20 @@ def only_data(body: str) -> bool:
     return depth == 0
 
 
+#: Compound names a file, and the rest of its project, must have before their styles are compared.
+STYLE_NAMES, PROJECT_NAMES = 12, 60
+_SNAKE, _CAMEL = re.compile(r"_*[a-z][a-z0-9]*(?:_[a-z0-9]+)+_*"), re.compile(r"[a-z][a-z0-9]*(?:[A-Z][a-z0-9]*)+")
+
+
+def foreign(snake: int, camel: int, project_snake: int, project_camel: int) -> bool:
+    """Whether the compound names of a file are written in a style that the rest of its project (in its language) does not use."""
+    mine, rest_snake, rest_camel = snake + camel, project_snake - snake, project_camel - camel
+    rest = rest_snake + rest_camel
+    if mine < STYLE_NAMES or rest < PROJECT_NAMES:
+        return False
+    return snake >= 0.8 * mine and rest_snake <= 0.1 * rest or camel >= 0.8 * mine and rest_camel <= 0.1 * rest
+
+
 def folded(name: str) -> str:
     return _FOLD_NUMBER.sub("0", name)
 
@@ -202,6 +216,8 @@ def features(path: str, suffix: str, text: str) -> dict:
         "work": len(WORK.findall(bare)),
         "only_data": suffix not in (".css", ".sql") and only_data(body),
         "inserts": inserts / len(statements) if statements else 0.0,
+        "snake": sum(1 for x in distinct if _SNAKE.fullmatch(x)),
+        "camel": sum(1 for x in distinct if _CAMEL.fullmatch(x)),
         "identifiers": "\0".join(sorted(distinct)) + "\0" if distinct else "",
     }
 
@@ -209,7 +225,7 @@ def features(path: str, suffix: str, text: str) -> dict:
 _KINDS = {
     "tool": pa.bool_(), "notice": pa.string(), "package": pa.string(), "in_folder": pa.bool_(), "versioned": pa.bool_(), "built_name": pa.bool_(), "source_map": pa.bool_(), "n_chars": pa.int32(), "n_lines": pa.int32(),
     "longest": pa.int32(), "mean_line": pa.float64(), "spaces": pa.float64(), "names": pa.int32(), "short_names": pa.float64(), "series": pa.float64(), "padded": pa.int32(), "repeated": pa.float64(), "rows": pa.float64(), "literals": pa.int32(),
-    "literal_share": pa.float64(), "work": pa.int32(), "only_data": pa.bool_(), "inserts": pa.float64(), "identifiers": pa.string(),
+    "literal_share": pa.float64(), "work": pa.int32(), "only_data": pa.bool_(), "inserts": pa.float64(), "snake": pa.int32(), "camel": pa.int32(), "identifiers": pa.string(),
 }
 _SPARK = {pa.bool_(): "boolean", pa.string(): "string", pa.int32(): "int", pa.float64(): "double"}
 _KEYS = ["project_id", "file_id", "relative_path", "suffix", "content_hash"]
@@ -277,6 +293,9 @@ def judge(f: dict, entropy: float, copies: int, package_owners: int) -> str | No
     literal_bound = f["literal_share"] > 0.8
     if dense and not literal_bound and (css or entropy > MANGLED_BITS or f["short_names"] > 0.35 or f["built_name"] or f["source_map"]):
         return "minified"
+    # Mangled names tell by themselves, however the text is wrapped.
+    if not css and not sql and f["names"] >= 20 and entropy > MANGLED_BITS and f["short_names"] > 0.6 and f["spaces"] < 0.1 and not literal_bound:
+        return "minified"
     if f["built_name"] and f["source_map"] and f["mean_line"] > 100:
         return "minified"
     if f["only_data"] or f["inserts"] == 1.0 or f["inserts"] >= 0.9 and f["literals"] >= 20 or (literal_bound and f["work"] == 0 and (f["literals"] >= 30 or f["n_chars"] >= 1500 and f["longest"] >= 800)) and not css and not sql:
@@ -291,6 +310,8 @@ def judge(f: dict, entropy: float, copies: int, package_owners: int) -> str | No
         return "vendored"
     if f["n_chars"] >= 400 and (copies >= 3 or package_owners >= 2 and (copies >= 2 or f["package"] is not None)):
         return "vendored"
+    if f["n_chars"] >= 400 and not css and not sql and foreign(f["snake"], f["camel"], f.get("project_snake") or 0, f.get("project_camel") or 0):
+        return "vendored"
     return None
 
 
@@ -305,7 +326,10 @@ def judged_files(files: DataFrame, sources: DataFrame) -> DataFrame:
     # Owners: one row per (value, project) first, so that a hot content is folded before it meets.
     owners = table.select("content_hash", "project_id").distinct().groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"))
     packages = table.where("package is not null").select("package", "project_id").distinct().groupBy("package").agg(F.count(F.lit(1)).alias("package_owners"))
-    known = table.join(owners, "content_hash").join(packages, "package", "left")
+    language = F.element_at(F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair]), F.col("suffix")).alias("language")
+    styled = table.select("*", language)
+    styles = styled.groupBy("project_id", "language").agg(F.sum("snake").alias("project_snake"), F.sum("camel").alias("project_camel"))
+    known = styled.join(owners, "content_hash").join(packages, "package", "left").join(styles, ["project_id", "language"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -98,6 +98,24 @@ def test_a_long_licence_does_not_hide_a_tool():
 
 
 
+def test_foreign_styles_and_wrapped_mangled_names(spark):
+    def camel(k):
+        return "".join(f"var readItem{k}x{i}Name = openStore{i}Part(nextRow{i}Of);\n" for i in range(12))
+
+    words = ["lamp", "river", "stone", "cloud", "horse", "paper", "glass", "north", "tiger", "maple", "amber", "field", "ocean", "pilot"]
+    other = "".join(f"var {a}_{b} = {b}_{c}.{c}_{a}({a}_of_{c});\n" for a, b, c in zip(words, words[1:], words[2:]))
+    rows = [(1, k, f"{w}.js", camel(w)) for k, w in enumerate(words)] + [(1, 99, "other.js", other)]
+    files = spark.createDataFrame([(p, f, n, 1, 1) for p, f, n, _ in rows], "project_id long, file_id long, relative_path string, line_count int, modified_time_ns long")
+    sources = spark.createDataFrame([(f, c) for _, f, _, c in rows], "file_id long, content string")
+    assert {r.file_id: r.kind for r in provenance.judged_files(files, sources).collect()}[99] == "vendored"
+    alone = provenance.judged_files(files.where("file_id = 99"), sources)
+    assert alone.first().kind is None
+    wrapped = "\n".join("".join(f"var c{i}=t({i}),q{i}z=e.a{i}(c{i});" for i in range(k, k + 4)) for k in range(0, 40, 4))
+    wrapped = "\n".join(f"q{chr(97 + i)}=z{chr(97 + i)}(x{chr(97 + i)},j);if(q{chr(97 + i)}){{k=v{chr(97 + i)}}}" for i in range(26))
+    assert judged("a.js", wrapped, entropy=4.9) == "minified" and judged("a.js", wrapped, entropy=2.5) is None
+
+
+
 def test_trigrams_see_names_apart():
     codes = provenance.trigrams(b"ab\0c\0")
     a, b, c, n = 1, 2, 3, provenance.ALPHABET
