@@ -145,11 +145,11 @@ def classes(word: str) -> np.ndarray:
     return np.array([2.0 * (bits >> k & 1) for k in range(CLASS_DIMS)], np.float32)
 
 
-def windows(n: int) -> list[tuple[int, int]]:
-    """Overlapping windows that cover n tokens."""
+def windows(n: int, stride: int = STRIDE) -> list[tuple[int, int]]:
+    """Overlapping windows that cover n tokens; training takes every twelfth, scoring all of them."""
     if n <= WINDOW:
         return [(0, n)] if n else []
-    starts = list(range(0, n - WINDOW, STRIDE)) + [n - WINDOW]
+    starts = list(range(0, n - WINDOW, stride)) + [n - WINDOW]
     return [(s, s + WINDOW) for s in starts]
 
 
@@ -438,7 +438,7 @@ class Scorer:
         ids: list[np.ndarray] = []
         for i, tokens in pending:
             coded = np.fromiter((self.index[w] for w in tokens), np.int64, len(tokens))
-            for a, b in windows(len(coded)):
+            for a, b in windows(len(coded), 1):
                 owner.append(i)
                 ids.append(coded[a:b])
         for start in range(0, len(ids), self.CHUNK):

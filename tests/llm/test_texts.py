@@ -171,6 +171,14 @@ def test_windows_cover_everything():
         assert sorted({i for a, b in spans for i in range(a, b)}) == list(range(n)) and all(b - a <= abuse.WINDOW for a, b in spans)
 
 
+def test_every_window_is_scored():
+    model = abuse.train(corpus(60, 1), epochs=3, folds=0, members=1)
+    tokens = [w for t, _ in corpus(20, 4) for w in abuse.Tokens()(t)][:60]
+    scorer = abuse.Scorer(model)
+    parts = scorer([" ".join(tokens[k : k + abuse.WINDOW]) for k in range(len(tokens) - abuse.WINDOW + 1)])
+    assert abs(scorer([" ".join(tokens)])[0] - max(parts)) < 1e-5
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
     model = abuse.BiGRU(1)
