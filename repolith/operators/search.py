@@ -95,6 +95,15 @@ def cosine_hits(vectors: DataFrame, query: DataFrame, *, least: float = 0.22) ->
     return unit.crossJoin(F.broadcast(one)).withColumn("cosine", dot(F.col("u"), F.col("q"))).where(F.col("cosine") >= least).drop("u", "q")  # one query row
 
 
+def nearest(vectors: DataFrame, *, every: int = 50, k: int = 60) -> DataFrame:
+    """query_id, vec_id, cosine, rank: the k nearest of all vectors to every vector whose id is divisible by ``every``."""
+    unit = vectors.where("embedding is not null").select("vec_id", unit_vector(F.col("embedding")).alias("u"))
+    queries = unit.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
+    pairs = queries.crossJoin(unit).select("query_id", "vec_id", dot(F.col("u"), F.col("q")).alias("cosine"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def reciprocal_ranks(pools: DataFrame, *, constant: int = 60) -> DataFrame:
     """pools (pool, item, position) -> item, fused; a repeated item counts at its first place in a pool."""
     first = pools.groupBy("pool", "item").agg(F.min("position").alias("position"))

@@ -153,6 +153,13 @@ def vec03(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("vec_id", F.round(gain + F.lit(100.0) / (F.col("rn") + 9), 3).alias("score"))
 
 
+@register("vec06_rerank_all_queries")
+def vec06(spark: SparkSession, d: str) -> DataFrame:
+    """The re-ranking of ``vec03`` for every query, over the candidates of its search."""
+    gain = F.when(F.col("rank") <= 36, F.greatest(F.lit(0.0), F.col("cosine")) * 22).otherwise(0.0)
+    return R.nearest(T.vectors(spark, d)).select("query_id", "vec_id", F.round(gain + F.lit(100.0) / (F.col("rank") + 9), 3).alias("score"))
+
+
 @register("vec05_passage_signature", with_views("c", "SELECT project_id, count(*) AS passages, max(chunk_id) AS max_id, CAST(sum(length(substr(content, 1, 2400))) AS BIGINT) AS chars FROM c WHERE content IS NOT NULL GROUP BY project_id"))
 def vec05(spark: SparkSession, d: str) -> DataFrame:
     rows = T.chunks(spark, d).where("content is not null").groupBy("project_id")
