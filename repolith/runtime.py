@@ -7,16 +7,18 @@ groups without ever putting a whole group into one task.
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of one (group, range) cell when rows are numbered inside groups.
-RANK_CELL_ROWS = 200_000
+#: Bytes of input files that one task of a CPU-bound step gets at most.
+TASK_BYTES = 256 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors share, as named by ``spark.checkpoint.dir``.
 
     Only where the setting is absent (tests, local mode) is a folder of our
-    own chosen and set.
+    own chosen and set; it is removed when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -37,7 +39,9 @@ def shared_folder(spark: SparkSession) -> str:
         if folder is None:
             if context.master.split("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="repolith-")
+            own = tempfile.mkdtemp(prefix="repolith-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            folder = "file://" + own
             context._repolith_folder = folder
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -50,27 +54,70 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_shared(df: DataFrame, *, compression: str = "zstd", partition_by: str | None = None) -> str:
+    """Write ``df`` as Parquet into the shared folder; the path of what was written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    written = getattr(spark.sparkContext, "_repolith_tables", None)
+    if written is None:
+        written = spark.sparkContext._repolith_tables = []
+    written.append(path)
+    return path
+
+
 def shared_table(df: DataFrame, *, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the written table.
 
     Unlike a checkpoint the result keeps column pruning and statistics.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, compression=compression))
+
+
+def drop_shared(spark: SparkSession) -> None:
+    """Delete the tables written so far; for a caller that has consumed every result built on them."""
+    paths = getattr(spark.sparkContext, "_repolith_tables", [])
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parallel_slots(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def cpu_partitions(spark: SparkSession) -> int:
-    """Partitions for a step that is bound by computing, not by bytes."""
-    return max(parallel_slots(spark) * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def cpu_partitions(spark: SparkSession, size: int = 0) -> int:
+    """Partitions for a step that is bound by computing: some for every slot, and none above ``TASK_BYTES``."""
+    return max(parallel_slots(spark) * 4, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files that ``df`` reads, by the optimizer; rows that come from elsewhere count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = (leaves.apply(i) for i in range(leaves.size()))
+    return sum(int(str(leaf.stats().sizeInBytes())) for leaf in found if leaf.getClass().getSimpleName() == "LogicalRelation")
 
-_SHUFFLING = ("Join", "Aggregate", "Window", "Repartition", "Sort", "Distinct")
+
+#: Logical operators that keep the partitions of a file scan.
+_NARROW = {"Project", "Filter", "LogicalRelation", "SubqueryAlias", "MapInArrow"}
+
+
+def _is_narrow(plan) -> bool:
+    if plan.getClass().getSimpleName() not in _NARROW:
+        return False
+    below = plan.children()
+    return all(_is_narrow(below.apply(i)) for i in range(below.size()))
+
+
+def is_wide_scan(df: DataFrame, *, factor: int = 4) -> bool:
+    """Whether ``df`` is a plain scan whose files already give every slot enough tasks.
+
+    Partitions are counted on plain scans only: asking a plan with shuffles
+    would run them.
+    """
+    narrow = _is_narrow(df._jdf.queryExecution().optimizedPlan())
+    return narrow and df.rdd.getNumPartitions() >= parallel_slots(df.sparkSession) * factor // 2
 
 
 def spread(df: DataFrame, key: str, *, factor: int = 4) -> DataFrame:
@@ -79,13 +126,11 @@ def spread(df: DataFrame, key: str, *, factor: int = 4) -> DataFrame:
     A table of one small file arrives as one partition, and what comes out of a
     shuffle may be coalesced by its bytes; either would keep few cores busy. Only
     then are rows hash-distributed by ``key`` (a unique id, so a hot value cannot
-    gather rows). Partitions are counted on plain scans only: asking a plan with
-    shuffles would run them.
+    gather rows), into more partitions the more bytes there are.
     """
-    want = parallel_slots(df.sparkSession) * factor
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if not any(word in plan for word in _SHUFFLING) and df.rdd.getNumPartitions() >= want // 2:
+    if is_wide_scan(df, factor=factor):
         return df
+    want = max(parallel_slots(df.sparkSession) * factor, -(-input_bytes(df) // TASK_BYTES))
     return df.repartition(want, F.xxhash64(key))
 
 
@@ -100,7 +145,7 @@ def number_in_groups(df: DataFrame, group: list[str], order: list, name: str) ->
     order; rows that tie on all of it may take each other's numbers.
     """
     spark = df.sparkSession
-    cells = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // TASK_BYTES))
     ordered = [c if not isinstance(c, str) else F.col(c) for c in order]
     placed = materialise(
         df.repartitionByRange(cells, *[F.col(c) for c in group], *ordered).withColumn("__cell", F.spark_partition_id())
@@ -128,8 +173,6 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_repolith_shipped", False):
         return
-    import shutil
-
     base = os.path.join(tempfile.mkdtemp(prefix="repolith-src-"), "repolith")
     context.addPyFile(shutil.make_archive(base, "zip", package_root(), "repolith"))
     context._repolith_shipped = True
