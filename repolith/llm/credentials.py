@@ -3,22 +3,29 @@
 Four steps, each over the whole of ``chunks``:
 
 1. *Index.* One pass in Arrow batches cuts every literal that stands in a
-   credential position out of a text: values assigned to credential names, known
-   token formats, private keys, passwords in URLs, authorisation headers, signing
-   calls, and values named in comments and prose. Literals joined with ``+`` are
-   one value.
+   credential position out of a text, whatever it looks like: values assigned to
+   credential names, token formats, private keys, passwords in URLs,
+   authorisation headers, signing calls, and values named in comments and prose.
+   Literals joined with ``+`` are one value. Whether a place counts only in
+   configuration or prose is noted with the literal and decided when the literals
+   (not the texts) meet the paths of their files.
 2. *Suppress.* Values are indexed corpus-wide with the number of their owners
    (projects). A value that more than ``max_owners`` projects hold and that
    has a word of placeholders in it is one, unless its token format is
    unmistakable; any other value stays, however many projects hold it.
-3. *Confirm.* What is left must be structured: no placeholder or mask, no name
-   of a secret, no path, no label, no checksum.
+3. *Confirm.* Every distinct (value, kind of place) that is left must be
+   structured: no placeholder or mask, no name of a secret, no path, no label,
+   no checksum.
 4. *Re-scan.* Every text is scanned again for all confirmed values by an
    automaton (Aho-Corasick), so a value confirmed in one file is also found
-   where it stands bare. The confirmed values are written to the shared folder
-   and loaded by the workers in blocks of ``BLOCK_VALUES``, so the memory of an
-   automaton is bounded at any number of values; more blocks mean more passes,
-   never a dropped value.
+   where it stands bare; values of fewer than ``BARE_CHARS`` characters must
+   stand between quotes or blanks there. The confirmed values are written to the
+   shared folder, and every task loads them in blocks of ``BLOCK_VALUES``: the
+   memory of an automaton is bounded at any number of values, and the corpus is
+   still read once, as a task holds ``GROUP_CHARS`` of its texts against all blocks.
+
+Texts are never joined or shuffled: both passes run on the scan of ``chunks``; a
+table of too few files is distributed and written once for both.
 
 Redaction replaces exactly the characters of a value by ``*`` (as many), inside
 its quotes, so that lines, columns and the surrounding code stand as they were.
@@ -26,7 +33,7 @@ its quotes, so that lines, columns and the surrounding code stand as they were.
 Defined results: a null or empty content has no case; a chunk delivered twice
 counts once (rows of one chunk_id with different contents are all scanned);
 rows without project_id count as one owner; a chunk whose file is unknown is
-scanned like code. A private key is one case on its BEGIN line.
+scanned like prose. A private key is one case on its BEGIN line.
 """
 
 from __future__ import annotations
@@ -36,21 +43,23 @@ import binascii
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.runtime import blocks_for, shared_table, spread
+from repolith.runtime import blocks_for, is_wide_scan, shared_table, spread, write_shared
 
 MAX_OWNERS = 4
-BLOCK_VALUES = 100_000
-#: Shorter values are too common to be searched for outside their context.
-MIN_SCAN_CHARS = 8
+BLOCK_VALUES = 200_000
+#: Characters of text that a task holds while it goes through the blocks of values.
+GROUP_CHARS = 64 << 20
+#: Shorter values count outside their context only between quotes or blanks.
+BARE_CHARS = 8
 
 # Public formats of access tokens.
 FORMAT_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "AIza", "_live_", "_test_", "sk-", "npm_", "hf_", "SG.", "ya29.", "eyJ")
@@ -93,7 +102,8 @@ SIGNED = re.compile(r"""(?i)(?:hmac(?:\.new|\.digest)?|jwt\.(?:sign|encode|verif
 URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://(?P<user>[^\s:/@"'`<>]*):(?P<value>[^\s/@"'`<>]+)@[A-Za-z0-9\[]""")
 HEADER = re.compile(r"""(?i)\b(?P<scheme>bearer|basic|token)[ \t]+(?P<value>[A-Za-z0-9+/_\-.=~!*#$%]{6,})""")
 USERPASS = re.compile(r"""(?:\s-u|--user)[ =]["']?(?P<user>[A-Za-z0-9_.\-]+):(?P<value>[^\s"'`]+)""")
-SPOKEN = re.compile(r"""(?P<gap>(?![A-Za-z0-9_\-])[^\n]{0,48}?[\s:=/`"'(])(?P<value>[A-Za-z0-9+/_\-.=~!*\#$%@^&?]{8,})""")
+SPOKEN = re.compile(r"""(?<=[\s:=/`"'(])[A-Za-z0-9+/_\-.=~!*\#$%@^&?]{8,}""")
+_DIGIT = re.compile(r"\d")
 COMMENT = re.compile(r"(?://|#|/\*|\*|--|<!--)")
 PLACEHOLDER = re.compile(
     r"""(?ix)^(?:change[\-_ ]?(?:me|this|it)?.*|redacted|masked|hidden|none|null|nil|true|false|todo.*|tbd|fixme|dummy.*|placeholder.*|sample.*|example.*|secret|password|passwd|pass|pwd|token
@@ -181,127 +191,120 @@ def _hash_named(before: str, value: str) -> bool:
     return HASH_WORDS.search(before) is not None and re.fullmatch(r"(?i)(?:sha\d+[:\-].*|(?:0x)?[0-9a-f\-]{7,}|v?\d[\w.\-+]*|\S+:[\w.\-]+|\S+@sha\d+:\S+)", value) is not None
 
 
-def _pieces(source: str, offset: int) -> tuple[str, int, list[tuple[int, int]]]:
-    """Joined value, start of its first literal and the spans of its literals' insides."""
+def _pieces(source: str, offset: int) -> tuple[str, int, tuple[int, ...]]:
+    """Joined value, start of its first literal and the spans (start, end, ...) of its literals' insides."""
     value, spans, first = "", [], -1
     for m in re.finditer(_LITERAL, source):
         text = m.group()
         quote = min(i for i in (text.find(q) for q in "\"'`") if i >= 0)
-        inner = text[quote + 1 : -1]
-        spans.append((offset + m.start() + quote + 1, offset + m.end() - 1))
+        spans += [offset + m.start() + quote + 1, offset + m.end() - 1]
         first = offset + m.start() if first < 0 else first
-        value += inner
-    return value, first, spans
+        value += text[quote + 1 : -1]
+    return value, first, tuple(spans)
+
+
+class Literal(NamedTuple):
+    """A literal in a credential position; of those of one anchor the confirmed one of the lowest rank counts."""
 
+    value: str
+    start: int
+    spans: tuple[int, ...]
+    kind: str
+    noun: str = ""
+    named: bool = False
+    scope: str = ""
+    anchor: int = -1
+    rank: int = 0
 
-def find_literals(content: str, path: str | None) -> list[tuple[str, int, list[tuple[int, int]], bool]]:
-    """(value, start, spans, unmistakable) of everything that stands in a credential position."""
-    found: dict[int, tuple[str, int, list[tuple[int, int]], bool]] = {}
+
+def literals_of(content: str) -> list[Literal]:
+    """Every literal that stands in a credential position of ``content``, confirmed or not."""
     low = content.lower()
     if len(low) != len(content):  # a few letters change their length
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in content)
-
-    def add(value: str, start: int, spans: list[tuple[int, int]], sure: bool) -> None:
-        old = found.get(spans[0][0])
-        if old is None or len(value) > len(old[0]) or sure and not old[3]:
-            found[spans[0][0]] = (value, start, spans, sure)
-
-    if any(x in content for x in FORMAT_STARTS):
-        for m in FORMATS.finditer(content):
-            if not masked(m.group()) and "EXAMPLE" not in m.group():
-                add(m.group(), m.start(), [m.span()], True)
+    found: list[Literal] = []
+    keys: list[tuple[int, int]] = []
     if "PRIVATE KEY" in content:
         for m in PRIVATE_KEY.finditer(content):
             end = KEY_END.search(content, m.end())
             body = content[m.end() : end.start() if end else len(content)]
-            if len(re.sub(r"\\n|\s", "", body)) >= 20 and not masked(re.sub(r"\s", "", body)[:64]):
-                add("", m.start(), [(m.end(), m.end() + len(body))], True)
-    config = path is not None and CONFIG_PATH.search(path) is not None
-    prose = path is None or PROSE_PATH.search(path) is not None
-    for hit in NOUN.finditer(low):
-        _at_noun(content, hit, config, prose, add)
+            if len(re.sub(r"\\n|\s", "", body)) >= 20 and not _masked_key(body):
+                found.append(Literal("", m.start(), (m.end(), m.end() + len(body)), "private"))
+                keys.append((m.end(), m.end() + len(body)))
+    if any(x in content for x in FORMAT_STARTS):
+        found += [Literal(m.group(), m.start(), m.span(), "format") for m in FORMATS.finditer(content)]
+    hits = list(NOUN.finditer(low))
+    for hit, after in zip(hits, [*hits[1:], None]):
+        found += _at_noun(content, hit, after.start() if after else len(content))
     if "env" in low:
         for m in FALLBACK.finditer(content):
-            name = m.group("env") or m.group("dot") or ""
-            value, start, spans = _pieces(m.group("value"), m.start("value"))
-            if re.search(rf"(?i){_NOUN}\d*$", name) and structured(value):
-                add(value, start, spans, False)
+            if re.search(rf"(?i){_NOUN}\d*$", m.group("env") or m.group("dot") or ""):
+                found.append(Literal(*_pieces(m.group("value"), m.start("value")), "plain"))
     if "hmac" in low or "jwt." in low or "fernet" in low or "aes.new" in low:
         for m in SIGNED.finditer(content):
-            for lit in re.finditer(_LITERAL, m.group("args")):
-                value, start, spans = _pieces(lit.group(), m.start("args") + lit.start())
-                if len(value) >= 12 and structured(value) and not re.match(r"(?i)sha|md5|hs\d|rs\d", value):
-                    add(value, start, spans, False)
+            found += [Literal(*_pieces(lit.group(), m.start("args") + lit.start()), "signing") for lit in re.finditer(_LITERAL, m.group("args"))]
     if "://" in content and "@" in content:
-        for m in URL.finditer(content):
-            value = m.group("value")
-            if not PLACEHOLDER.match(value) and not masked(value) and len(value) >= 4 and "{" not in value:
-                add(value, m.start(), [m.span("value")], False)
+        found += [Literal(m.group("value"), m.start(), m.span("value"), "url") for m in URL.finditer(content)]
     if "bearer" in low or "basic" in low:
         for m in HEADER.finditer(content):
-            value = m.group("value").rstrip(".")
-            if m.group("scheme").lower() == "basic":
-                value = m.group("value")
-                good = _basic(value)
-            else:
-                good = structured(value) and re.search(r"\d|[a-z][A-Z]|[+/=]", value) is not None
-            if good:
-                add(value, m.start("value"), [(m.start("value"), m.start("value") + len(value))], False)
+            basic = m.group("scheme").lower() == "basic"
+            value = m.group("value") if basic else m.group("value").rstrip(".")
+            found.append(Literal(value, m.start("value"), (m.start("value"), m.start("value") + len(value)), "basic" if basic else "header"))
     if " -u" in content or "--user" in content:
-        for m in USERPASS.finditer(content):
-            if structured(m.group("value")):
-                add(m.group("value"), m.start("value"), [m.span("value")], False)
-    return _outermost(list(found.values()))
+        found += [Literal(m.group("value"), m.start("value"), m.span("value"), "plain") for m in USERPASS.finditer(content)]
+    return [x for x in found if x.kind == "private" or x.value and not any(a <= x.spans[0] < b for a, b in keys)]
 
 
-def _at_noun(content: str, hit: re.Match, config: bool, prose: bool, add) -> None:
-    """Looks for the value that a credential noun at ``hit`` names."""
+def _masked_key(body: str) -> bool:
+    text = re.sub(r"\\n|\s", "", body)
+    return "***" in text or "..." in text or "…" in text or len(set(text)) < 12 or max(text.count(c) for c in "*xX") > len(text) // 4
+
+
+def _at_noun(content: str, hit: re.Match, until: int) -> list[Literal]:
+    """The literals that a credential noun at ``hit`` may name; in prose, those up to the next noun or line end."""
     at, end, noun = hit.start(), hit.end(), hit.group()
     if end >= len(content):
-        return
+        return []
     before = content[at - 1] if at else " "
     if before.isalpha():  # inside a word unless a hump starts here
         first = content[at]
         if not first.isupper() or before.isupper() and not content[at + 1 : at + 2].islower():
-            return
+            return []
     follow = content[end]
+    line_start = content.rfind("\n", 0, at) + 1
+    out: list[Literal] = []
     if not (follow.isalpha() or noun == "login"):
         m = ASSIGNED.match(content, end)
         if m is not None:
             value, start, spans = _pieces(m.group("value"), m.start("value"))
-            name = content[max(0, at - 24) : at]
-            if granting(value, noun) and _strong(noun, value) and not _hash_named(re.split(r"[^\w\-.]", name)[-1], value):
-                add(value, start, spans, False)
-            return
-        if config:
-            line_start = content.rfind("\n", 0, at) + 1
-            if SET_NAME.match(content, line_start, at):
-                m = SET.match(content, end)
-                if m is not None:
-                    value = m.group("value").rstrip(",;")
-                    if structured(value) and _strong(noun, value) and not _hash_named(content[line_start:at], value):
-                        add(value, m.start("value"), [(m.start("value"), m.start("value") + len(value))], False)
-                        return
+            name = re.split(r"[^\w\-.]", content[max(line_start, at - 64) : at])[-1]
+            return [Literal(value, start, spans, "named", noun, _hash_named(name, value), "", at)]
+        if SET_NAME.match(content, line_start, at):
+            m = SET.match(content, end)
+            if m is not None:
+                value = m.group("value").rstrip(",;")
+                out.append(Literal(value, m.start("value"), (m.start("value"), m.start("value") + len(value)), "set", noun, _hash_named(content[line_start:at], value), "config", at))
     if follow.isalnum() or follow in "_-":
-        return
-    line_start = content.rfind("\n", 0, at) + 1
-    if not prose and not COMMENT.search(content, line_start, at):
-        return
-    m = SPOKEN.match(content, end)
-    while m is not None:
-        raw = m.group("value")
-        value = raw.rstrip("=").rpartition("=")[2] + raw[len(raw.rstrip("=")) :] if "=" in raw.rstrip("=") else raw
-        at_value = m.start("value") + raw.find(value)
+        return out
+    scope = "" if COMMENT.search(content, line_start, at) else "prose"
+    line_end = content.find("\n", end)
+    line_end = min(until, len(content) if line_end < 0 else line_end)
+    if "://" in content[line_start:end]:
+        return out
+    for rank, m in enumerate(SPOKEN.finditer(content, end, line_end), 1):
+        raw = m.group()
+        bare = raw.rstrip("=")
+        value = bare.rpartition("=")[2] + raw[len(bare) :] if "=" in bare else raw
+        at_value = m.start() + raw.find(value)
         value = value.rstrip(".,;:!`'\"")
-        head = content[line_start:at_value]
-        if structured(value, spoken=True) and "://" not in head and not _hash_named(content[line_start:at], value) and not HASH_WORDS.search(content[end:at_value]):
-            add(value, at_value, [(at_value, at_value + len(value))], False)
-            return
-        following = _NEXT.match(content, m.end())
-        m = following if following is not None and following.end() - end < 90 else None
-
-
-_NEXT = re.compile(r"""(?P<gap>[^\n]{0,48}?[\s:=/`"'(])(?P<value>[A-Za-z0-9+/_\-.=~!*\#$%@^&?]{8,})""")
+        between = content[end:at_value]
+        if "://" in between:
+            break
+        if value.isalpha() or not _DIGIT.search(value):
+            continue  # a word, not a literal
+        named = _hash_named(content[line_start:at], value) or HASH_WORDS.search(between) is not None
+        out.append(Literal(value, at_value, (at_value, at_value + len(value)), "spoken", noun, named, scope, at, rank))
+    return out
 
 
 def _strong(noun: str, value: str) -> bool:
@@ -310,19 +313,6 @@ def _strong(noun: str, value: str) -> bool:
     return len(value) >= 16 and entropy(value) >= 3.3 and re.search(r"\d", value) is not None and re.search(r"[A-Za-z]", value) is not None
 
 
-def _outermost(found: list) -> list:
-    """Drops what lies inside another find, so that a redaction never overlaps."""
-    found.sort(key=lambda f: (f[2][0][0], -f[2][-1][1]))
-    out: list = []
-    for f in found:
-        if out and f[2][0][0] < out[-1][2][-1][1]:
-            if f[3] and not out[-1][3]:
-                out[-1] = (out[-1][0], min(out[-1][1], f[1]), out[-1][2], True)
-            continue
-        out.append(f)
-    return out
-
-
 def _basic(value: str) -> bool:
     try:
         user, colon, password = base64.b64decode(value, validate=True).decode("utf-8").partition(":")
@@ -331,9 +321,61 @@ def _basic(value: str) -> bool:
     return bool(colon) and len(password) >= 4 and not PLACEHOLDER.match(password) and not masked(password)
 
 
-_KINDS = {"chunk_id": pa.int64(), "content_hash": pa.int64(), "project_id": pa.int64(), "line_no": pa.int32(), "value": pa.string(), "sure": pa.bool_(), "spans": pa.list_(pa.int32())}
-_FOUND = "chunk_id bigint, content_hash bigint, project_id bigint, line_no int, value string, sure boolean, spans array<int>"
+def confirms(value: str, kind: str, noun: str, named: bool) -> bool:
+    """Whether a value in a place of this kind would grant access."""
+    if kind == "private":
+        return True
+    if not value or named:
+        return False
+    if kind == "format":
+        return not masked(value) and "EXAMPLE" not in value
+    if kind == "named":
+        return granting(value, noun) and _strong(noun, value)
+    if kind == "set":
+        return structured(value) and _strong(noun, value)
+    if kind == "spoken":
+        return structured(value, spoken=True)
+    if kind == "signing":
+        return len(value) >= 12 and structured(value) and not re.match(r"(?i)sha|md5|hs\d|rs\d", value)
+    if kind == "url":
+        return not PLACEHOLDER.match(value) and not masked(value) and len(value) >= 4 and "{" not in value
+    if kind == "basic":
+        return _basic(value)
+    if kind == "header":
+        return structured(value) and re.search(r"\d|[a-z][A-Z]|[+/=]", value) is not None
+    return structured(value)
+
+
+def settled(found: list) -> list:
+    """Of confirmed literals of one text: the first of each anchor, without those that lie inside another."""
+    first: dict[int, int] = {}
+    for x in found:
+        if x.anchor >= 0:
+            first[x.anchor] = min(x.rank, first.get(x.anchor, x.rank))
+    kept = sorted((x for x in found if x.anchor < 0 or x.rank == first[x.anchor]), key=lambda x: (x.spans[0], -x.spans[-1], x.start))
+    out: list = []
+    for x in kept:
+        if not out or x.spans[0] >= out[-1].spans[-1]:
+            out.append(x)
+    return out
+
+
+def in_scope(scope: str, path: str | None) -> bool:
+    if scope == "config":
+        return path is not None and CONFIG_PATH.search(path) is not None
+    return scope == "" or path is None or PROSE_PATH.search(path) is not None
+
+
+def find_literals(content: str, path: str | None) -> list[Literal]:
+    """What a single text gives, without the owners and the re-scan of the corpus."""
+    return settled([x for x in literals_of(content) if in_scope(x.scope, path) and confirms(x.value, x.kind, x.noun, x.named)])
+
+
+_ROW = "chunk_id bigint, content_hash bigint, project_id bigint, file_id bigint, line_no int, value string, start int, spans array<int>, kind string, noun string, named boolean, scope string, anchor int, rank int"
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+_KINDS = {n: _TYPES[t] for n, t in (c.split() for c in _ROW.split(", "))}
 _HITS = "chunk_id bigint, content_hash bigint, line_no int, spans array<int>"
+_FORM = ["value", "kind", "noun", "named"]
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -344,84 +386,127 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for chunk_id, content_hash, project_id, path, content in zip(*[batch.column(n).to_pylist() for n in ("chunk_id", "content_hash", "project_id", "relative_path", "content")]):
-            for value, start, spans, sure in find_literals(content, path):
-                rows.append((chunk_id, content_hash, project_id, content.count("\n", 0, start) + 1, value, sure, [x for span in spans for x in span]))
+        for chunk_id, content_hash, project_id, file_id, content in zip(*[batch.column(n).to_pylist() for n in ("chunk_id", "content_hash", "project_id", "file_id", "content")]):
+            for x in literals_of(content):
+                rows.append((chunk_id, content_hash, project_id, file_id, content.count("\n", 0, x.start) + 1, *x))
         yield _batch(rows, list(_KINDS))
 
 
-def texts_with_paths(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """chunk_id, content_hash, project_id, relative_path, content of every non-empty chunk."""
-    paths = files.where("file_id is not null").groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.max(F.translate("relative_path", "\\", "/")).alias("relative_path"))
-    rows = chunks.select(F.col("chunk_id").cast("long"), F.col("project_id").cast("long"), F.col("file_id").cast("long"), F.col("content").cast("string")).where("content is not null and content <> ''")
-    joined = rows.join(paths, "file_id", "left")
-    return joined.select("chunk_id", F.xxhash64("content").alias("content_hash"), "project_id", "relative_path", "content")
+def indexed_texts(chunks: DataFrame) -> DataFrame:
+    """chunk_id, content_hash, project_id, file_id, content of every non-empty chunk, in enough partitions for two passes."""
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("project_id").cast("long").alias("project_id"), F.col("file_id").cast("long").alias("file_id"), F.col("content").cast("string").alias("content")).where("content is not null and content <> ''")
+    rows = rows.select("chunk_id", F.xxhash64("content").alias("content_hash"), "project_id", "file_id", "content")
+    return rows if is_wide_scan(rows) else shared_table(spread(rows, "chunk_id"))
+
+
+def index_literals(texts: DataFrame, files: DataFrame) -> DataFrame:
+    """Every literal in a credential position that the path of its file admits."""
+    found = shared_table(texts.mapInArrow(_index, _ROW))
+    paths = files.where("file_id is not null").groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.max(F.translate("relative_path", "\\", "/")).alias("path"))
+    placed = found.where("scope <> ''").join(paths, "file_id", "left")
+    admitted = F.when(F.col("scope") == "config", F.coalesce(F.col("path").rlike(CONFIG_PATH.pattern), F.lit(False))).otherwise(F.coalesce(F.col("path").rlike(PROSE_PATH.pattern), F.lit(True)))
+    return found.where("scope = ''").unionByName(placed.where(admitted).select(*found.columns))
 
 
-def index_literals(texts: DataFrame) -> DataFrame:
-    return spread(texts, "chunk_id").mapInArrow(_index, _FOUND)
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*[batch.column(n).to_pylist() for n in _FORM])
+        yield batch.filter(pa.array([confirms(*r) for r in rows], pa.bool_()))
 
 
-def confirmed_values(literals: DataFrame, *, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """value, owners, sure of every value; those that many projects hold only if they do not read like a placeholder."""
+def confirmed_forms(literals: DataFrame, *, max_owners: int = MAX_OWNERS) -> DataFrame:
+    """The distinct (value, kind, noun, named) that are credentials; what many projects hold only if it does not read like a placeholder."""
     # One row per (value, project) first: a value that a third of all rows hold meets few rows per owner.
-    pairs = literals.where("value <> ''").groupBy("value", F.coalesce("project_id", F.lit(-1)).alias("owner")).agg(F.max("sure").alias("sure"))
-    owners = pairs.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.max("sure").alias("sure"))
-    return owners.where(F.col("sure") | (F.col("owners") <= max_owners) | ~F.col("value").rlike(SHARED_WORDS))
+    owners = literals.groupBy("value", F.coalesce("project_id", F.lit(-1)).alias("owner")).agg(F.max(F.col("kind") == "format").alias("sure"))
+    spread_out = owners.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.max("sure").alias("sure"))
+    shared = spread_out.where((F.col("owners") > max_owners) & ~F.col("sure") & F.col("value").rlike(SHARED_WORDS)).select("value")
+    forms = literals.select(*_FORM).distinct().join(shared, "value", "left_anti")
+    return forms.mapInArrow(_confirm, "value string, kind string, noun string, named boolean")
 
 
-def _automaton(path: str, block: int, blocks: int) -> ahocorasick.Automaton:
-    system, folder = pafs.FileSystem.from_uri(path)
-    machine = ahocorasick.Automaton()
-    for batch in ds.dataset(folder, filesystem=system, format="parquet").to_batches(columns=["value"]):
-        for value in batch.column(0).to_pylist():
-            if blocks == 1 or xxhash.xxh3_64_intdigest(value.encode()) % blocks == block:
-                machine.add_word(value, len(value))
-    if len(machine):
-        machine.make_automaton()
-    return machine
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for chunk_id, content_hash, found in zip(*[batch.column(n).to_pylist() for n in ("chunk_id", "content_hash", "found")]):
+            lines = {(f["start"], *f["spans"]): f["line_no"] for f in found}
+            for x in settled([Literal("", f["start"], tuple(f["spans"]), "", anchor=f["anchor"], rank=f["rank"]) for f in found]):
+                rows.append((chunk_id, content_hash, lines[(x.start, *x.spans)], list(x.spans)))
+        yield _batch(rows, ["chunk_id", "content_hash", "line_no", "spans"])
 
 
-def _scan(path: str, block: int, blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = None
+_MACHINE: dict[str, ahocorasick.Automaton] = {}  # the last one that this worker loaded
+
+
+def _automaton(path: str) -> ahocorasick.Automaton:
+    if path not in _MACHINE:
+        _MACHINE.clear()
+        system, folder = pafs.FileSystem.from_uri(path)
+        machine = ahocorasick.Automaton()
+        if system.get_file_info(folder).type != pafs.FileType.NotFound:
+            for batch in ds.dataset(folder, filesystem=system, format="parquet", schema=pa.schema([("value", pa.string())])).to_batches():
+                for value in batch.column(0).to_pylist():
+                    machine.add_word(value, len(value))
+        if len(machine):
+            machine.make_automaton()
+        _MACHINE[path] = machine
+    return _MACHINE[path]
+
+
+_DELIMITERS = frozenset(" \t\r\n\"'`")
+
+
+def _stands_alone(content: str, start: int, end: int) -> bool:
+    left, right = content[start - 1 : start] if start else "\n", content[end : end + 1] or "\n"
+    if end - start < BARE_CHARS:
+        return left in _DELIMITERS and right in _DELIMITERS and (left == right or left in " \t\n" and right in " \t\r\n") and not (content[start:end].isdigit() and left not in "\"'`")
+    return not (left.isalnum() or left == "_" or right.isalnum() or right == "_")
+
+
+def _scan(paths: list[str]):
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        held, size = [], 0
         for batch in batches:
-            if machine is None:
-                machine = _automaton(path, block, blocks)
-            rows = []
-            if len(machine):
-                for chunk_id, content_hash, content in zip(*[batch.column(n).to_pylist() for n in ("chunk_id", "content_hash", "content")]):
-                    for last, size in machine.iter(content):
-                        start = last - size + 1
-                        left, right = content[start - 1 : start] if start else "", content[last + 1 : last + 2]
-                        if not (left.isalnum() or left == "_" or right.isalnum() or right == "_"):
-                            rows.append((chunk_id, content_hash, content.count("\n", 0, start) + 1, [start, last + 1]))
-            yield _batch(rows, ["chunk_id", "content_hash", "line_no", "spans"])
+            held.append(batch)
+            size += batch.nbytes
+            if len(paths) == 1 or size >= GROUP_CHARS:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches):
+            for path in paths:
+                machine = _automaton(path)
+                if not len(machine):
+                    continue
+                for batch in group:
+                    rows = []
+                    for chunk_id, content_hash, content in zip(*[batch.column(n).to_pylist() for n in ("chunk_id", "content_hash", "content")]):
+                        for last, size in machine.iter(content):
+                            start = last - size + 1
+                            if _stands_alone(content, start, last + 1):
+                                rows.append((chunk_id, content_hash, content.count("\n", 0, start) + 1, [start, last + 1]))
+                    yield _batch(rows, ["chunk_id", "content_hash", "line_no", "spans"])
 
     return run
 
 
-def locate(texts: DataFrame, *, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """chunk_id, content_hash, line_no, spans (pairs of start, end) of every credential; spans may repeat."""
-    spark = texts.sparkSession
-    literals = shared_table(index_literals(texts))
-    confirmed = confirmed_values(literals, max_owners=max_owners)
-    direct = literals.join(confirmed.select("value"), "value", "left_semi").unionByName(literals.where("value = ''"))
-    direct = direct.select("chunk_id", "content_hash", "line_no", "spans")
-    wanted = shared_table(confirmed.where(F.length("value") >= MIN_SCAN_CHARS).select("value"))
-    blocks = blocks_for(wanted.count(), BLOCK_VALUES)
-    [path] = {f.rpartition("/")[0] for f in wanted.inputFiles()} or {None}
-    if path is None:
-        return direct
-    rescanned = [spread(texts, "chunk_id").mapInArrow(_scan(path, b, blocks), _HITS) for b in range(blocks)]
-    for hits in rescanned:
-        direct = direct.unionByName(hits)
-    return direct
+def locate(texts: DataFrame, files: DataFrame, *, max_owners: int = MAX_OWNERS) -> DataFrame:
+    """chunk_id, content_hash, line_no, spans (start, end, ...) of every credential; spans may repeat."""
+    literals = index_literals(texts, files)
+    forms = shared_table(confirmed_forms(literals, max_owners=max_owners))
+    direct = literals.join(forms, _FORM, "left_semi").groupBy("chunk_id", "content_hash").agg(F.collect_set(F.struct("start", "spans", "anchor", "rank", "line_no")).alias("found")).mapInArrow(_settle, _HITS)  # bounded by one text
+    values = shared_table(forms.where("value <> ''").select("value").distinct())
+    blocks = blocks_for(values.count(), BLOCK_VALUES)
+    path = write_shared(values.select("value", F.pmod(F.xxhash64("value"), F.lit(blocks)).alias("block")).repartition(blocks, "block"), partition_by="block")
+    rescanned = texts.select("chunk_id", "content_hash", "content").mapInArrow(_scan([f"{path}/block={b}" for b in range(blocks)]), _HITS)
+    return direct.unionByName(rescanned)
 
 
 def credential_lines(chunks: DataFrame, files: DataFrame, *, max_owners: int = MAX_OWNERS) -> DataFrame:
     """chunk_id, line_no of every line on which a credential begins."""
-    return locate(texts_with_paths(chunks, files), max_owners=max_owners).select("chunk_id", "line_no").distinct()
+    return locate(indexed_texts(chunks), files, max_owners=max_owners).select("chunk_id", "line_no").distinct()
 
 
 def redact(content: str, spans: list[int]) -> str:
@@ -444,7 +529,7 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redacted_chunks(chunks: DataFrame, files: DataFrame, *, max_owners: int = MAX_OWNERS) -> DataFrame:
     """chunk_id, content, redactions of every chunk that holds a credential (one row per different content)."""
-    texts = texts_with_paths(chunks, files)
-    spans = locate(texts, max_owners=max_owners).groupBy("chunk_id", "content_hash").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    texts = indexed_texts(chunks)
+    spans = locate(texts, files, max_owners=max_owners).groupBy("chunk_id", "content_hash").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     rows = texts.select("chunk_id", "content_hash", "content").join(spans, ["chunk_id", "content_hash"]).dropDuplicates(["chunk_id", "content_hash"])
     return rows.mapInArrow(_redact, "chunk_id bigint, content string, redactions int")
