@@ -4,14 +4,25 @@ A bidirectional gated recurrent network with attention pooling, written and
 trained in numpy. Each token enters twice: as a word and as the mean of its
 character trigrams, both hashed, after spellings have been folded (letters of
 other scripts that look alike, zero-width characters, digits and signs for
-letters, spaced-out letters, repeated letters). A document is cut into
-overlapping windows over all of its tokens; its score is that of its worst
-window, so length does not dilute it.
+letters, spaced-out letters, repeated letters). No word list enters; what a word
+means is learned from the labelled texts.
+
+The network reads a whole document, in blocks that overlap by ``MARGIN`` tokens on
+either side, so that every token has a state that has seen its neighbours. The
+attention then pools every window of ``WINDOW`` consecutive tokens (all of them,
+one per token), and a document's score is that of its worst window: length does
+not dilute it, and the recurrent part runs once per token, not once per window.
 
 Training is multiple-instance: a labelled text answers for its worst window, so
 the neutral sentences around an insult are not taken for insults. The labelled
-table is bounded (``MAX_LABELS`` rows, chosen by a hash of sample_id where there
-are more); the documents are all scored, whole.
+texts say little about how code, logs and reports read, so that many texts are
+drawn from the documents themselves (``MAX_BACKGROUND``, none above
+``BACKGROUND_CHARS``, by a hash of doc_id) as presumably harmless; those that
+networks trained without them find harmful are left out again, as are labels
+that held-out networks contradict. The labelled table is bounded (``MAX_LABELS``
+rows, chosen by a hash of sample_id where there are more); the documents are all
+scored, whole. Networks are trained side by side in tasks and kept under a digest
+of what they were trained on.
 
 Defined results: null, empty and wordless texts score 0; rows with a null label
 or text are not trained on; without labels of both kinds every score is 0; of
@@ -20,6 +31,8 @@ several labels of one sample_id each counts.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 import unicodedata
 import zlib
@@ -27,49 +40,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.runtime import spread
 
-WINDOW, STRIDE = 24, 12
-HIDDEN, WORD_DIMS, CHAR_DIMS, BUCKETS = 16, 12, 16, 8192
-MAX_LABELS, EPOCHS, BATCH, RATE, FOLDS, MEMBERS = 20_000, 18, 48, 6e-3, 4, 4
-THRESHOLD = 0.7
+WINDOW, BLOCK, MARGIN = 24, 96, 16
+HIDDEN, WORD_DIMS, CHAR_DIMS, BUCKETS = 16, 16, 24, 8192
+INPUT = WORD_DIMS + CHAR_DIMS
+MAX_LABELS, MAX_BACKGROUND, BACKGROUND_CHARS = 20_000, 1_500, 3_000
+STEPS, BATCH, CROP, RATE, FOLDS, MEMBERS = 260, 64, 88, 6e-3, 4, 2
+THRESHOLD = 0.6
+#: What held-out networks must say of a positive label, or those that know it, and from where on a background text counts as harmful.
+HELD, LEARNED, HARMFUL = 0.25, 0.8, 0.4
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 _LOOKALIKES = str.maketrans("аеорсухкмнтвіјѕԁɡһΑΒΕΖΗΙΚΜΝΟΡΤΥΧαεικνορτυχАВЕКМНОРСТУХ", "aeopcyxkmhtbijsdghabezhikmnoptyxaeiknoptuxabekmhopctyx")
-_INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD, 0x034F, 0x180E])
+_INVISIBLE = (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD, 0x034F, 0x180E)
 _SIGNS = str.maketrans("013457@$", "oieastas")
 _RUN = re.compile(r"([^\W\d])\1+")
 
-# Words (folded) whose class enters the network beside the hashed word; what they mean in a text is for the network to learn.
-LEXICON = {
-    "insult": "idiot idiots moron morons imbecile stupid dumb dumbass asshole assholes bastard bastards dipshit loser losers scumbag scum fool clown parasite pathetic worthless brainless jerk twat wanker prick cretin retard retarded douchebag bitch trash garbage pig vermin subhuman "
-    "vollidiot vollidiote trottel schwachkopf arschloch wichser versager penner hurensohn missgeburt depp abschaum dumm ungeziefer miststück "
-    "abruti crétin connard connasse salaud imbécile débile ordure vermine raclure con cons pauvre merdeux "
-    "gilipollas idiotas imbécil estúpido cabrón pendejo basura escoria inútil tonto subnormal payaso mierda "
-    "白痴 蠢货 废物 垃圾 笨蛋 傻逼 傻瓜 混蛋 人渣 害虫 蠢 太笨 畜生",
-    "profane": "fuck fucking fucked fucker shit piss crap damn hell fresse verpiss verdammter scheiße scheiss fick foutre gueule merde putain joder coño carajo 滚 闭嘴 王八 八蛋 他妈 操你 去死",
-    "sexual": "sex sexy porn porno nudes nude naked horny dick cock pussy tits boobs cam slut whore hardcore blowjob cum masturbate touching undress nacktbilder geile geil sau nackt hure ficken nues nue salope baise bite sexe puta desnuda desnudas desnudo sexo polla tetas caliente follar 裸照 色情 做爱 性感 骚 约炮 操",
-    "threat": "kill killed die dead drop beat bleed break fingers bones burn hang shoot stab suffer hurt find töten umbringen sterben stirb verrecke finde brechen tuer crever crève retrouver casser frapper matar matarte morir muérete romper partir encontrar encontraré 杀 杀了 打断 打死 弄死 该死 去死",
-    "group": "women woman girls men immigrants immigrant foreigners foreigner refugees gay gays lesbians queer trans jews jewish muslims muslim christians blacks black whites asians disabled old people nobody frauen ausländer flüchtlinge juden muslime schwule étrangers femmes immigrés juifs musulmans arabes mujeres extranjeros inmigrantes judíos musulmanes gais 女人 外地 移民 外国 同性",
-    "you": "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti eres vete tus usted 你 你们 你的 说的",
-}
-#: Words of programs and mark-up, for the harmless windows that are made up in training.
-CODE_WORDS = (
-    "and as assert async await break case catch class const continue default def del delete do elif else enum except export extends final finally for from func function global if implements import in instanceof int interface "
-    "is lambda let long new nil none not null object or package pass private public raise return self static string struct super switch table this throw true try type typeof undefined var void where while with yield false bool "
-    "select insert update create index values primary references order group by div span section button key row rows map item items value values onclick onselect disabled href src img body head html http https www error message result total limit len size count name path file line list dict"
-)
-_CLASSES: dict[str, int] = {}
-for _k, _words in enumerate(LEXICON.values()):
-    for _w in map(lambda w: _RUN.sub(r"\1", w), _words.split()):
-        _CLASSES[_w] = _CLASSES.get(_w, 0) | 1 << _k
-CLASS_DIMS = len(LEXICON)
-INPUT = WORD_DIMS + CHAR_DIMS + CLASS_DIMS
-
 _TOKEN = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-*_|][^\W\d_]){3,}(?!\w)|[^\W_](?:[^\W_]|[@$*'’]{1,7}(?=[^\W_])|[@$](?![^\W_]))*|[@$][^\W\d_]+")
+_HIDDEN = re.compile("[" + "".join(map(chr, _INVISIBLE)) + "]")
 _HAN_GAP = re.compile(r"(?<=[㐀-鿿])[ ·.\-*_|•]{1,3}(?=[㐀-鿿])")
 _HAN = re.compile(r"[㐀-鿿]+|[^㐀-鿿]+")
 _SPACED = re.compile(r"[ .\-*_|]")
@@ -112,7 +104,7 @@ class Tokens:
 
     def __call__(self, text: str) -> list[str]:
         if not text.isascii():
-            text = _HAN_GAP.sub("", text.translate(_INVISIBLE))
+            text = _HAN_GAP.sub("", _HIDDEN.sub("", text))
         known = self.known
         if len(known) > self.LIMIT:
             known.clear()
@@ -134,31 +126,24 @@ def gram_ids(word: str) -> list[int]:
     return [zlib.crc32(b"#" + marked[i : i + 3].encode()) % BUCKETS for i in range(max(1, len(marked) - 2))]
 
 
-def classes(word: str) -> np.ndarray:
-    """Lexicon classes of a token, as inputs."""
-    bits = _CLASSES.get(word, 0)
-    if "*" in word and len(word) <= 16:  # a starred word counts as what it may stand for
-        hidden = re.compile(re.sub(r"\\\*", ".", re.escape(word)))
-        for known, known_bits in _CLASSES.items():
-            if known_bits & 7 and hidden.fullmatch(known):
-                bits |= known_bits & 7
-    return np.array([2.0 * (bits >> k & 1) for k in range(CLASS_DIMS)], np.float32)
-
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-def windows(n: int, stride: int = STRIDE) -> list[tuple[int, int]]:
-    """Overlapping windows that cover n tokens; training takes every twelfth, scoring all of them."""
-    if n <= WINDOW:
-        return [(0, n)] if n else []
-    starts = list(range(0, n - WINDOW, stride)) + [n - WINDOW]
-    return [(s, s + WINDOW) for s in starts]
 
+def window_logits(value: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pooled logits of all windows of each row, and the weights of the tokens in them.
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    ``value`` and ``score`` are (B, T) with T >= WINDOW; a score of -1e9 marks padding.
+    """
+    v = np.lib.stride_tricks.sliding_window_view(value, WINDOW, axis=1)
+    s = np.lib.stride_tricks.sliding_window_view(score, WINDOW, axis=1)
+    w = np.exp(s - s.max(2, keepdims=True))
+    w /= w.sum(2, keepdims=True)
+    return (w * v).sum(2), w
 
 
 class BiGRU:
-    """Parameters and the two passes. Shapes: B windows, T steps, H hidden units per direction."""
+    """Parameters and the two passes. Shapes: B texts, T steps, H hidden units per direction."""
 
     def __init__(self, seed: int = 7) -> None:
         r = np.random.default_rng(seed)
@@ -178,73 +163,91 @@ class BiGRU:
     def project(self, x: np.ndarray, way: str) -> np.ndarray:
         return x @ self.p[f"W{way}"] + self.p[f"b{way}"]
 
-    def run(self, px: np.ndarray, mask: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
-        """States of one direction over projected inputs (B, T, 3H)."""
-        batch, steps, _ = px.shape
+    def run(self, px: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States (T, 2, B, H) of both directions side by side; projected inputs (T, 2, B, 3H), the second direction turned round, and mask (T, 2, B, 1).
+
+        sigmoid(x) = (1 + tanh(x / 2)) / 2: the gates (2H of 3H) take half inputs, half weights and one tanh.
+        """
+        steps, _, batch, _ = px.shape
         h = HIDDEN
-        u = self.p[f"U{way}"]
-        state = np.zeros((batch, h), np.float32)
-        out = np.zeros((batch, steps, h), np.float32)
-        for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
+        u = np.stack([self.p["Uf"], self.p["Ub"]])
+        gates, new = 0.5 * u[..., : 2 * h], u[..., 2 * h :]
+        state = np.zeros((2, batch, h), px.dtype)
+        out = np.empty((steps, 2, batch, h), px.dtype)
+        whole = mask.all(axis=(1, 2, 3)).tolist()
+        for t in range(steps):
             before = state
-            zr = _sigmoid(px[:, t, : 2 * h] + before @ u[:, : 2 * h])
-            z, reset = zr[:, :h], zr[:, h:]
-            candidate = np.tanh(px[:, t, 2 * h :] + (reset * before) @ u[:, 2 * h :])
-            m = mask[:, t : t + 1]
-            state = before + m * z * (candidate - before)
-            out[:, t] = state
+            zr = np.tanh(px[t, ..., : 2 * h] + before @ gates)
+            zr *= 0.5
+            zr += 0.5
+            z, reset = zr[..., :h], zr[..., h:]
+            candidate = np.tanh(px[t, ..., 2 * h :] + (reset * before) @ new)
+            m = 1 if whole[t] and keep is None else mask[t]
+            state = before + z * (candidate - before) * m
+            out[t] = state
             if keep is not None:
                 keep.append((t, before, z, reset, candidate, m))
         return out
 
-    def pool(self, states: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
+    def states(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States (B, T, 2H) of whole texts."""
+        px = np.stack([self.project(x, "f"), self.project(x, "b")[:, ::-1]]) * np.r_[np.full(2 * HIDDEN, 0.5, x.dtype), np.ones(HIDDEN, x.dtype)]
+        masks = np.stack([mask, mask[:, ::-1]]).astype(x.dtype)
+        both = self.run(np.ascontiguousarray(np.moveaxis(px, 2, 0)), np.ascontiguousarray(np.moveaxis(masks, 2, 0))[..., None], keep)
+        return np.moveaxis(np.concatenate([both[:, 0], both[::-1, 1]], axis=2), 0, 1)
+
+    def heads(self, states: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What each token says (logit), how much it is attended to, and the hidden layer of the attention."""
         hidden = np.tanh(states @ self.p["attend"])
         score = np.where(mask > 0, hidden @ self.p["attend_v"], -1e9)
-        weight = np.exp(score - score.max(1, keepdims=True))
-        weight /= weight.sum(1, keepdims=True)
-        pooled = (weight[..., None] * states).sum(1)
-        return pooled @ self.p["out"] + self.p["bias"][0], hidden, weight, pooled
-
-    def logits(self, pf: np.ndarray, pb: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        states = np.concatenate([self.run(pf, mask, "f"), self.run(pb, mask, "b")], axis=2)
-        return self.pool(states, mask)[0]
+        return states @ self.p["out"] + self.p["bias"][0], score, hidden
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, grad_of) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-        """Gradients of the parameters and of the inputs x (B, T, D); ``grad_of(logits)`` is d loss / d logits."""
+        """Gradients of the parameters and of the inputs x (B, T, D); ``grad_of(logits)`` is d loss / d window logits (B, T - WINDOW + 1)."""
         p, h = self.p, HIDDEN
-        kept: dict[str, list] = {"f": [], "b": []}
-        states = np.concatenate([self.run(self.project(x, way), mask, way, kept[way]) for way in "fb"], axis=2)
-        logits, hidden, weight, pooled = self.pool(states, mask)
-        d = grad_of(logits).astype(np.float32)
-        g = {"out": pooled.T @ d, "bias": np.array([d.sum()], np.float32)}
-        d_pooled = d[:, None] * p["out"]
-        d_states = weight[..., None] * d_pooled[:, None]
-        d_weight = (states * d_pooled[:, None]).sum(2)
-        d_score = weight * (d_weight - (weight * d_weight).sum(1, keepdims=True))
-        g["attend_v"] = (hidden * d_score[..., None]).sum((0, 1))
+        kept: list = []
+        states = self.states(x, mask, kept)
+        value, score, hidden = self.heads(states, mask)
+        logits, weight = window_logits(value, score)
+        d = grad_of(logits).astype(x.dtype)
+        d_value, d_score = np.zeros_like(value), np.zeros_like(value)
+        rows, starts = np.nonzero(d)
+        for k in range(WINDOW):  # windows that take part are few
+            w, at = weight[rows, starts, k] * d[rows, starts], (rows, starts + k)
+            np.add.at(d_value, at, w)
+            np.add.at(d_score, at, w * (value[at] - logits[rows, starts]))
+        g = {"out": np.tensordot(states, d_value, axes=((0, 1), (0, 1))), "bias": np.array([d_value.sum()], x.dtype)}
+        d_score = d_score * (mask > 0)
+        g["attend_v"] = np.tensordot(hidden, d_score, axes=((0, 1), (0, 1)))
         d_hidden = d_score[..., None] * p["attend_v"] * (1 - hidden**2)
-        g["attend"] = np.einsum("bti,btj->ij", states, d_hidden)
-        d_states = d_states + d_hidden @ p["attend"].T
+        g["attend"] = np.tensordot(states, d_hidden, axes=((0, 1), (0, 1)))
+        d_states = d_value[..., None] * p["out"] + d_hidden @ p["attend"].T
+        d_both = np.ascontiguousarray(np.moveaxis(np.stack([d_states[..., :h], d_states[:, ::-1, h:]]), 2, 0))
+        u = np.stack([p["Uf"], p["Ub"]])
+        gates, new = np.ascontiguousarray(np.swapaxes(u[..., : 2 * h], 1, 2)), np.ascontiguousarray(np.swapaxes(u[..., 2 * h :], 1, 2))
+        d_steps = np.empty((x.shape[1], 2, len(x), 3 * h), x.dtype)
+        carry = np.zeros((2, len(x), h), x.dtype)
+        for t, before, z, reset, candidate, m in reversed(kept):
+            ds = d_both[t] + carry
+            dm = ds * m
+            gain = dm * z
+            d = d_steps[t]
+            d[..., 2 * h :] = dc = gain * (1 - candidate * candidate)
+            back = dc @ new
+            d[..., :h] = (candidate - before) * gain * (1 - z)
+            d[..., h : 2 * h] = back * before * reset * (1 - reset)
+            carry = ds - gain + back * reset + d[..., : 2 * h] @ gates
+        before = np.stack([k[1] for k in kept])
+        gated = before * np.stack([k[3] for k in kept])
+        d_px = np.moveaxis(d_steps, 0, 2)
+        g_u = [np.concatenate([np.tensordot(before[:, k], d_steps[:, k, :, : 2 * h], axes=((0, 1), (0, 1))), np.tensordot(gated[:, k], d_steps[:, k, :, 2 * h :], axes=((0, 1), (0, 1)))], axis=1) for k in (0, 1)]
         d_x = np.zeros_like(x)
         for k, way in enumerate("fb"):
-            u, w = p[f"U{way}"], p[f"W{way}"]
-            g_u, d_px = np.zeros_like(u), np.zeros((*x.shape[:2], 3 * h), np.float32)
-            carry = np.zeros((len(x), h), np.float32)
-            for t, before, z, reset, candidate, m in reversed(kept[way]):
-                ds = d_states[:, t, k * h : (k + 1) * h] + carry
-                dz = ds * m * (candidate - before) * z * (1 - z)
-                dc = ds * m * z * (1 - candidate**2)
-                back = dc @ u[:, 2 * h :].T
-                dr = back * before * reset * (1 - reset)
-                dzr = np.concatenate([dz, dr], axis=1)
-                g_u[:, : 2 * h] += before.T @ dzr
-                g_u[:, 2 * h :] += (reset * before).T @ dc
-                d_px[:, t] = np.concatenate([dzr, dc], axis=1)
-                carry = ds * (1 - m * z) + back * reset + dzr @ u[:, : 2 * h].T
-            g[f"U{way}"] = g_u
-            g[f"W{way}"] = np.einsum("bti,btj->ij", x, d_px)
-            g[f"b{way}"] = d_px.sum((0, 1))
-            d_x += d_px @ w.T
+            d = d_px[k] if way == "f" else d_px[k][:, ::-1]
+            g[f"U{way}"] = g_u[k]
+            g[f"W{way}"] = np.tensordot(x, d, axes=((0, 1), (0, 1)))
+            g[f"b{way}"] = d.sum((0, 1))
+            d_x += d @ p[f"W{way}"].T
         return g, d_x, logits
 
 
@@ -256,137 +259,146 @@ def _groups(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Table:
-    """Inputs of the distinct tokens of the training texts."""
+    """Hashed words and trigrams of the distinct tokens of the training texts."""
 
     def __init__(self, texts: list[list[str]]) -> None:
         self.index = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
-        self.made = len(self.index)  # from here on made-up words
-        rng = np.random.default_rng(1)
-        letters = "".join(w for w in self.index if w.isascii() and w.isalpha())[:20_000] or "etaoin"
-        invented = ["".join(letters[i : i + rng.integers(2, 4)] for i in rng.integers(0, len(letters), rng.integers(1, 5))) for _ in range(1500)]
-        words = [*self.index, *CODE_WORDS.split(), *invented]
-        self.words = np.array([word_id(w) for w in words])
-        grams = [gram_ids(w) for w in words]
+        self.words = np.array([word_id(w) for w in self.index])
+        grams = [gram_ids(w) for w in self.index]
         self.counts = np.array([len(g) for g in grams], np.float32)
         self.flat = np.concatenate([np.array(g) for g in grams])
-        self.owner = np.repeat(np.arange(len(words)), [len(g) for g in grams])
-        self.classes = np.stack([classes(w) for w in words])
-        self.starts = np.concatenate([[0], np.cumsum([len(g) for g in grams])[:-1]])
-        self.by_word, self.by_gram = _groups(self.words), _groups(self.flat)
+        self.owner = np.repeat(np.arange(len(grams)), self.counts.astype(int))
+        self.starts = np.concatenate([[0], np.cumsum(self.counts.astype(int))[:-1]])
 
     def inputs(self, p: dict[str, np.ndarray]) -> np.ndarray:
         chars = np.add.reduceat(p["char"][self.flat], self.starts, axis=0)
-        return np.concatenate([p["word"][self.words], chars / self.counts[:, None], self.classes], axis=1)
-
-    def spread(self, d: np.ndarray, g: dict[str, np.ndarray], p: dict[str, np.ndarray]) -> None:
-        """Gradients of the embeddings from those of the tokens' inputs."""
-        g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        for name, (order, starts, ids), rows in (("word", self.by_word, d[:, :WORD_DIMS]), ("char", self.by_gram, (d[:, WORD_DIMS : WORD_DIMS + CHAR_DIMS] / self.counts[:, None])[self.owner])):
-            g[name][ids] = np.add.reduceat(rows[order], starts, axis=0)
-
-    def touched(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.words), np.unique(self.flat)
+        return np.concatenate([p["word"][self.words], chars / self.counts[:, None]], axis=1)
+
+    def spread(self, seen: np.ndarray, d: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Gradients of the embeddings from those of the inputs of the tokens ``seen``."""
+        out = {"word": np.zeros_like(p["word"]), "char": np.zeros_like(p["char"])}
+        np.add.at(out["word"], self.words[seen], d[:, :WORD_DIMS])
+        sizes = self.counts[seen].astype(int)
+        which = np.repeat(np.arange(len(seen)), sizes)
+        inside = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        grams = self.flat[self.starts[seen][which] + inside]
+        order, starts, ids = _groups(grams)
+        out["char"][ids] = np.add.reduceat((d[:, WORD_DIMS:] / self.counts[seen][:, None])[which][order], starts, axis=0)
+        return out
 
 
-def _fit(coded: list[tuple[np.ndarray, int]], table: _Table, epochs: int, seed: int) -> BiGRU:
+def _fit(labelled: list[tuple[np.ndarray, int]], background: list[np.ndarray], table: _Table, steps: int, seed: int) -> BiGRU:
+    """One network, trained on batches of half labelled and half background texts."""
     rng = np.random.default_rng(seed)
     model = BiGRU(seed)
-    calm = [c for c, y in coded if y == 0]
+    by_kind = [[c for c, y in labelled if y == k] for k in (0, 1)]
+    calm = by_kind[0] + background
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
-    step = 0
-    plain = np.array(sorted({int(i) for c in calm for i in c if not table.classes[i].any()}) or [0])
-    positives = max(1, sum(y for _, y in coded))
-    weight = {1: 0.5 * len(coded) / positives, 0: 0.5 * len(coded) / max(1, len(coded) - positives)}
-    for epoch in range(epochs):
-        order = rng.permutation(len(coded))
-        for start in range(0, len(order), BATCH):
-            rows, owner, target = [], [], []
-            for k, i in enumerate(order[start : start + BATCH]):
-                ids, y = coded[i]
-                if rng.random() < 0.6 and calm:  # the same words within other, harmless text
-                    around = np.concatenate([calm[k] for k in rng.integers(len(calm), size=rng.integers(1, 4))])
-                    cut = rng.integers(len(around) + 1)
-                    ids = np.concatenate([around[:cut], ids, around[cut:]])
-                rows += [ids[a:b] for a, b in windows(len(ids))]
-                owner += [k] * (len(rows) - len(owner))
-                target.append(y)
-            for _ in range(BATCH // 2):  # shuffled harmless words and words that mean nothing, as code has them
-                rows.append(np.where(rng.random(WINDOW) < rng.random(), rng.choice(plain, WINDOW), rng.integers(table.made, len(table.words), WINDOW)))
-                owner.append(len(target))
-                target.append(0)
-            mask = np.zeros((len(rows), WINDOW), np.float32)
-            ids = np.zeros((len(rows), WINDOW), np.int64)
-            for k, r in enumerate(rows):
-                ids[k, : len(r)] = r
-                mask[k, : len(r)] = 1
-            owner, target = np.array(owner), np.array(target, np.float32)
-            # Words, and now and then whole tokens, go missing, so that spelling and neighbours must do.
-            keep = np.ones((*ids.shape, INPUT), np.float32)
-            keep[..., :WORD_DIMS] *= rng.random((*ids.shape, 1)) > 0.35
-            keep[..., : WORD_DIMS + CHAR_DIMS] *= rng.random((*ids.shape, 1)) > np.where(table.classes[ids].any(-1, keepdims=True), 0.45, 0.15)
-            x = table.inputs(model.p)[ids] * keep
-
-            def grad_of(logits: np.ndarray) -> np.ndarray:
-                out = np.zeros_like(logits)
-                p = _sigmoid(logits)
-                for k, y in enumerate(target):
-                    mine = np.flatnonzero(owner == k)
-                    if y:
-                        worst = mine[np.argmax(logits[mine])]
-                        out[worst] = weight[1] * (p[worst] - 0.95)
-                        # What shares no token with the worst window is the harmless text around it.
-                        other = mine[np.abs(mine - worst) > WINDOW // STRIDE]
-                        out[other] = weight[0] * (p[other] - 0.03) / max(1, len(mine)) ** 0.5
-                    else:
-                        out[mine] = weight[0] * (p[mine] - 0.03) / len(mine) ** 0.5
-                return out / len(target)
-
-            g, d_x, _ = model.gradients(x, mask, grad_of)
-            d_tokens = np.zeros((len(table.words), INPUT), np.float32)
-            by_token, begins, seen = _groups(ids.reshape(-1))
-            d_tokens[seen] = np.add.reduceat((d_x * keep * mask[..., None]).reshape(-1, INPUT)[by_token], begins, axis=0)
-            table.spread(d_tokens, g, model.p)
-            step += 1
-            rate = RATE * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.05)
-            for k, v in model.p.items():
-                m1, m2 = moments[k]
-                gradient = g[k] + (1e-3 if k in ("word", "char") else 1e-3) * v * (g[k] != 0)
-                m1 += 0.1 * (gradient - m1)
-                m2 += 0.001 * (gradient**2 - m2)
-                v -= (rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
-    words, grams = table.touched()
-    for name, used in (("word", words), ("char", grams)):
+    for step in range(1, steps + 1):
+        texts, target = [], []
+        for k in range(BATCH):
+            y = 1 if k % 8 < 3 else 0
+            source = by_kind[y] if y or not background or k % 8 < 5 else background
+            ids = source[rng.integers(len(source))]
+            if y and rng.random() < 0.6:  # the same words within other, harmless text
+                around = calm[rng.integers(len(calm))]
+                cut = rng.integers(len(around) + 1)
+                ids = np.concatenate([around[max(0, cut - 30) : cut], ids, around[cut : cut + 30]])
+            if len(ids) > CROP and not y:  # another part of a long harmless text each time
+                cut = rng.integers(len(ids) - CROP)
+                ids = ids[cut : cut + CROP]
+            texts.append(ids)
+            target.append(y)
+        width = max(WINDOW, *map(len, texts))
+        ids, mask = np.zeros((BATCH, width), np.int64), np.zeros((BATCH, width), np.float32)
+        for k, t in enumerate(texts):
+            ids[k, : len(t)], mask[k, : len(t)] = t, 1
+        # Words, and now and then whole tokens, go missing, so that spelling and neighbours must do.
+        keep = np.ones((*ids.shape, INPUT), np.float32)
+        keep[..., :WORD_DIMS] *= rng.random((*ids.shape, 1)) > 0.4
+        keep *= rng.random((*ids.shape, 1)) > 0.12
+        x = table.inputs(model.p)[ids] * keep
+        target = np.array(target)
+
+        def grad_of(logits: np.ndarray) -> np.ndarray:
+            out = np.zeros_like(logits)
+            rows = np.arange(len(logits))
+            # Windows that end behind the text repeat what its last whole window has.
+            real = np.arange(logits.shape[1])[None] <= np.maximum(0, mask.sum(1).astype(int) - WINDOW)[:, None]
+            worst = np.where(real, logits, -np.inf).argmax(1)
+            p = _sigmoid(logits[rows, worst])
+            out[rows, worst] = np.where(target == 1, p - 0.95, p - 0.02)
+            some = rng.integers(0, np.maximum(1, mask.sum(1).astype(int) - WINDOW + 1))
+            far = (target == 1) & (np.abs(some - worst) > WINDOW)
+            # What shares no token with the worst window of an abusive text is the harmless text around it.
+            out[rows[far], some[far]] = 0.5 * (_sigmoid(logits[rows, some])[far] - 0.02)
+            return out / len(target)
+
+        g, d_x, _ = model.gradients(x, mask, grad_of)
+        by_token, begins, seen = _groups(ids.reshape(-1))
+        d_seen = np.add.reduceat((d_x * keep * mask[..., None]).reshape(-1, INPUT)[by_token], begins, axis=0)
+        g |= table.spread(seen, d_seen, model.p)
+        rate = RATE * (0.5 * (1 + np.cos(np.pi * step / steps)) + 0.03)
+        for k, v in model.p.items():
+            m1, m2 = moments[k]
+            gradient = g[k] + 1e-3 * v * (g[k] != 0)
+            m1 += 0.1 * (gradient - m1)
+            m2 += 0.001 * (gradient**2 - m2)
+            v -= (rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
+    for name, used in (("word", np.unique(table.words)), ("char", np.unique(table.flat))):
         blank = np.ones(BUCKETS, bool)
         blank[used] = False
         model.p[name][blank] = 0
     return model
 
 
-def train(labelled: list[tuple[str, int]], *, epochs: int = EPOCHS, folds: int = FOLDS, members: int = MEMBERS, seed: int = 7) -> list[BiGRU] | None:
-    """Fits the networks whose mean is the score; None without examples of both kinds."""
+def _here(jobs: list) -> list:
+    return [job() for job in jobs]
+
+
+def train(labelled: list[tuple[str, int]], background: list[str] = (), *, steps: int = STEPS, folds: int = FOLDS, members: int = MEMBERS, seed: int = 7, run=_here) -> list[BiGRU] | None:
+    """Fits the networks whose mean is the score; None without examples of both kinds. ``run`` runs independent fits."""
     split = Tokens()
-    examples = [(text, t, y) for text, y in labelled if (t := split(text))]
-    if len({y for _, _, y in examples}) < 2:
+    examples = [(t, y) for text, y in labelled if (t := split(text))]
+    others = [t for text in background if (t := split(text))]
+    if len({y for _, y in examples}) < 2:
         return None
-    table = _Table([t for _, t, _ in examples])
-    coded = [(np.array([table.index[w] for w in t]), y) for _, t, y in examples]
+    table = _Table([t for t, _ in examples] + others)
+
+    def code(tokens: list[str]) -> np.ndarray:
+        return np.array([table.index[w] for w in tokens])
+
+    coded, plain = [(code(t), y) for t, y in examples], [code(t) for t in others]
     if folds > 1 and len(coded) >= 20 * folds:
-        fold = np.random.default_rng(seed).permutation(len(coded)) % folds
-        doubt = np.zeros(len(coded))
-        for f in range(folds):
-            inside = [c for c, k in zip(coded, fold) if k != f]
-            model = _fit(inside, table, max(8, epochs // 2), seed + f + 1)
-            held = np.flatnonzero(fold == f)
-            guess = np.array(Scorer([model])([examples[i][0] for i in held]))
-            doubt[held] = np.abs(guess - [coded[i][1] for i in held])
-        coded = [c for c, d in zip(coded, doubt) if d < 0.7]
-    return [_fit(coded, table, epochs, seed + 100 * k) for k in range(members)]
+        # Each fold's network judges labels it has not seen; two more that know all labels judge the half of the background they have not seen.
+        rng = np.random.default_rng(seed)
+        fold, half = rng.permutation(len(coded)) % folds, rng.permutation(len(plain)) % 2
+        short = max(60, steps // 2)
+
+        def judge(f: int):
+            seen = [c for c, k in zip(coded, fold) if k != f]
+            return Scorer([_fit(seen, plain, table, short, seed + f + 1)]).coded([examples[i][0] for i in np.flatnonzero(fold == f)])
+
+        def look(f: int):
+            score = Scorer([_fit(coded, [c for c, k in zip(plain, half) if k != f], table, short, seed + 50 + f)])
+            return score.coded([t for t, _ in examples]), score.coded([others[i] for i in np.flatnonzero(half == f)])
+
+        *judged, (fit_a, harm_a), (fit_b, harm_b) = run([*(lambda f=f: judge(f) for f in range(folds)), lambda: look(0), lambda: look(1)])
+        held, harm = np.zeros(len(coded)), np.zeros(len(plain))
+        for f, found in enumerate(judged):
+            held[fold == f] = found
+        harm[half == 0], harm[half == 1] = harm_a, harm_b
+        learned = np.maximum(fit_a, fit_b)
+        # A harmful text unlike all others is doubted by networks that have not seen it, but learned by those that have; a wrong label is neither.
+        coded = [c for c, h, k in zip(coded, held, learned) if (h >= HELD or k >= LEARNED if c[1] else h < 1 - HELD)]
+        plain = [c for c, h in zip(plain, harm) if h < HARMFUL]
+    return run([lambda k=k: _fit(coded, plain, table, steps, seed + 100 * k) for k in range(members)])
 
 
 class Scorer:
-    """Scores texts with a trained network; projections of tokens are remembered up to a bound."""
+    """Scores texts with trained networks; projections of tokens are remembered up to a bound."""
 
-    LIMIT, CHUNK = 60_000, 2048
+    LIMIT, CHUNK = 60_000, 768
 
     def __init__(self, models: list[BiGRU]) -> None:
         self.models, self.split = models, Tokens()
@@ -394,74 +406,144 @@ class Scorer:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.f = [np.zeros((0, 3 * HIDDEN), np.float32) for _ in self.models]
-        self.b = [np.zeros((0, 3 * HIDDEN), np.float32) for _ in self.models]
+        self.size = 0
+        self.px = [np.zeros((2, 1024, 3 * HIDDEN), np.float32) for _ in self.models]
 
     def _learn(self, words: list[str]) -> None:
         fresh = [w for w in words if w not in self.index]
-        if len(self.index) + len(fresh) > self.LIMIT:
+        if self.size + len(fresh) > self.LIMIT:
             self._forget()
             fresh = words
         if not fresh:
             return
-        base = len(self.index)
         for k, w in enumerate(fresh):
-            self.index[w] = base + k
+            self.index[w] = self.size + k
         grams = [gram_ids(w) for w in fresh]
         counts = np.array([len(g) for g in grams])
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         flat = np.concatenate([np.array(g) for g in grams])
-        words_, known = [word_id(w) for w in fresh], np.array([classes(w) for w in fresh])
-        for k, model in enumerate(self.models):
+        words_ = [word_id(w) for w in fresh]
+        while self.px[0].shape[1] < self.size + len(fresh):
+            self.px = [np.concatenate([x, np.zeros_like(x)], axis=1) for x in self.px]
+        for px, model in zip(self.px, self.models):
             chars = np.add.reduceat(model.p["char"][flat], starts, axis=0) / counts[:, None]
-            x = np.concatenate([model.p["word"][words_], chars, known], axis=1).astype(np.float32)
-            self.f[k] = np.concatenate([self.f[k], model.project(x, "f")])
-            self.b[k] = np.concatenate([self.b[k], model.project(x, "b")])
+            x = np.concatenate([model.p["word"][words_], chars], axis=1).astype(np.float32)
+            px[:, self.size : self.size + len(fresh)] = np.stack([model.project(x, "f"), model.project(x, "b")])
+            px[:, self.size : self.size + len(fresh), : 2 * HIDDEN] *= 0.5
+        self.size += len(fresh)
 
     def __call__(self, texts: list[str | None]) -> list[float]:
-        scores = np.zeros(len(texts))
+        return self.coded(self.split(t) if t else [] for t in texts)
+
+    def coded(self, texts) -> list[float]:
+        """Scores of texts that are split already."""
+        scores: list[float] = []
         pending: list[tuple[int, list[str]]] = []
         count = 0
-        for i, text in enumerate(texts):
-            tokens = self.split(text) if text else []
+        for i, tokens in enumerate(texts):
+            scores.append(0.0)
             if tokens:
                 pending.append((i, tokens))
                 count += len(tokens)
-            if count > 40_000 or i == len(texts) - 1:
+            if count > 60_000:
                 self._score(pending, scores)
                 pending, count = [], 0
-        return scores.tolist()
+        if pending:
+            self._score(pending, scores)
+        return scores
 
-    def _score(self, pending: list[tuple[int, list[str]]], scores: np.ndarray) -> None:
+    def _score(self, pending: list[tuple[int, list[str]]], scores: list[float]) -> None:
         self._learn(list(dict.fromkeys(w for _, t in pending for w in t)))
-        owner: list[int] = []
-        ids: list[np.ndarray] = []
-        for i, tokens in pending:
-            coded = np.fromiter((self.index[w] for w in tokens), np.int64, len(tokens))
-            for a, b in windows(len(coded), 1):
-                owner.append(i)
-                ids.append(coded[a:b])
-        for start in range(0, len(ids), self.CHUNK):
-            part = ids[start : start + self.CHUNK]
-            table = np.zeros((len(part), WINDOW), np.int64)
-            mask = np.zeros((len(part), WINDOW), np.float32)
-            for k, r in enumerate(part):
-                table[k, : len(r)] = r
-                mask[k, : len(r)] = 1
-            p = np.mean([_sigmoid(model.logits(f[table], b[table], mask)) for model, f, b in zip(self.models, self.f, self.b)], axis=0)
-            np.maximum.at(scores, np.array(owner[start : start + self.CHUNK]), p)
-
-
-def fit(labels: DataFrame, *, max_labels: int = MAX_LABELS) -> list[BiGRU] | None:
-    """Trains on at most ``max_labels`` labelled rows (all of them as long as there are fewer)."""
+        lengths = [len(t) for _, t in pending]
+        ids = np.fromiter((self.index[w] for _, t in pending for w in t), np.int64, sum(lengths))
+        ends = np.cumsum(lengths)
+        # Blocks of all texts: (start, end, start and end of the text), by length, so that little is padded.
+        blocks = [(a, min(a + BLOCK, end), end - n, end) for n, end in zip(lengths, ends) for a in range(end - n, end, BLOCK)]
+        blocks.sort(key=lambda b: (b[1] - b[0], b[0] - b[2], b[3] - b[1]))
+        table = np.array(blocks)
+        total = np.zeros(len(lengths), np.float64)
+        for model, px in zip(self.models, self.px):
+            value, score = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
+            for at in range(0, len(blocks), self.CHUNK):
+                part = table[at : at + self.CHUNK]
+                core = part[:, 1] - part[:, 0]
+                width = int(core.max())
+                margin = int(np.minimum(MARGIN, np.maximum(part[:, 0] - part[:, 2], part[:, 3] - part[:, 1])).max())
+                steps = np.arange(-margin, width)[:, None]
+                places = np.stack([part[:, 0] + steps, part[:, 0] + (width - 1 - steps)], axis=1)
+                mask = (places >= part[:, 2]) & (places < part[:, 3])
+                tokens = ids[np.where(mask, places, 0)]
+                given = np.empty((*tokens.shape, 3 * HIDDEN), np.float32)
+                for way in (0, 1):
+                    np.take(px[way], tokens[:, way], axis=0, out=given[:, way])
+                both = model.run(given, mask.astype(np.float32)[..., None])[margin:]
+                v, s, _ = model.heads(np.concatenate([both[:, 0], both[::-1, 1]], axis=2), 1)
+                inside = np.arange(width)[:, None] < core
+                places = (part[:, 0] + np.arange(width)[:, None])[inside]
+                value[places], score[places] = v[inside], s[inside]
+            total += self._worst(value, score, lengths, ends)
+        for (i, _), p in zip(pending, total / len(self.models)):
+            scores[i] = float(p)
+
+    @staticmethod
+    def _worst(value: np.ndarray, score: np.ndarray, lengths: list[int], ends: np.ndarray) -> np.ndarray:
+        """The highest probability over all windows of each text."""
+        n = np.array(lengths)
+        # Every text is followed by padding, so that a window never reaches into the next.
+        pad = WINDOW - 1
+        at = np.arange(len(value)) + np.repeat(np.arange(len(n)) * pad, n)
+        weight, said = np.zeros(len(value) + pad * len(n) + 1), np.zeros(len(value) + pad * len(n) + 1)
+        weight[at + 1] = np.exp(np.clip(score, -20, 20).astype(np.float64))
+        said[at + 1] = weight[at + 1] * value
+        np.cumsum(weight, out=weight)
+        np.cumsum(said, out=said)
+        begins = ends - n + np.arange(len(n)) * pad
+        # Only windows that are whole, or that hold the whole text.
+        count = np.maximum(1, n - WINDOW + 1)
+        first = np.cumsum(count) - count
+        starts = np.repeat(begins - first, count) + np.arange(count.sum())
+        logits = (said[starts + WINDOW] - said[starts]) / (weight[starts + WINDOW] - weight[starts])
+        return _sigmoid(np.maximum.reduceat(logits, first))
+
+
+_KNOWN: dict[str, list[BiGRU] | None] = {}  # the last networks trained by this driver
+
+
+def fit(labels: DataFrame, documents: DataFrame, *, max_labels: int = MAX_LABELS, max_background: int = MAX_BACKGROUND) -> list[BiGRU] | None:
+    """Trains on at most ``max_labels`` labelled rows and ``max_background`` documents."""
     rows = labels.where("text is not null and abusive in (0, 1)").select("text", F.col("abusive").cast("int").alias("abusive"), "sample_id")
     bounded = rows.orderBy(F.xxhash64("sample_id"), "text").limit(max_labels).collect()
-    return train([(r["text"], r["abusive"]) for r in bounded])
+    labelled = [(r["text"], r["abusive"]) for r in bounded]
+    drawn = documents.where(F.length("text") <= BACKGROUND_CHARS).select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h", "text").limit(max_background).collect()
+    background = list(dict.fromkeys(r["text"] for r in drawn))
+    digest = hashlib.sha256(repr((labelled, background, STEPS, MEMBERS)).encode()).hexdigest()
+    if digest not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[digest] = train(labelled, background, run=lambda jobs: _in_tasks(labels.sparkSession, jobs))
+    return _KNOWN[digest]
+
+
+def _in_tasks(spark: SparkSession, jobs: list) -> list:
+    """Runs fits as Spark tasks side by side; their networks are small (3 MB each) and few."""
+    from pyspark import cloudpickle
+
+    packed = spark.sparkContext.broadcast([cloudpickle.dumps(job) for job in jobs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                result = pickle.dumps(pickle.loads(packed.value[k])())
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([result], pa.binary())], names=["id", "result"])
+
+    rows = spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, "id bigint, result binary").collect()
+    return [pickle.loads(r["result"]) for r in sorted(rows, key=lambda r: r["id"])]
 
 
 def scores(documents: DataFrame, labels: DataFrame, *, max_labels: int = MAX_LABELS) -> DataFrame:
     """doc_id, source (trimmed, lower case), score of every document."""
-    model = fit(labels, max_labels=max_labels)
+    source = F.nullif(F.lower(F.trim(F.col("source").cast("string"))), F.lit("")).alias("source")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source, F.col("text").cast("string").alias("text"))
+    model = fit(labels, rows, max_labels=max_labels)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # fixed size, about 3 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,8 +551,6 @@ def scores(documents: DataFrame, labels: DataFrame, *, max_labels: int = MAX_LAB
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(score(batch.column("text").to_pylist()), pa.float64())], names=["doc_id", "source", "score"])
 
-    source = F.nullif(F.lower(F.trim(F.col("source").cast("string"))), F.lit("")).alias("source")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source, F.col("text").cast("string").alias("text"))
     return spread(rows, "doc_id").mapInArrow(run, "doc_id bigint, source string, score double")
 
 

@@ -187,18 +187,20 @@ def test_folding_of_spellings():
     assert split("snake_case 42 数据库") == ["snake", "case", "0", "数据", "据库"] and split("") == []
 
 
-def test_windows_cover_everything():
-    for n in (0, 1, 23, 24, 25, 36, 37, 200):
-        spans = abuse.windows(n)
-        assert sorted({i for a, b in spans for i in range(a, b)}) == list(range(n)) and all(b - a <= abuse.WINDOW for a, b in spans)
-
-
 def test_every_window_is_scored():
-    model = abuse.train(corpus(60, 1), epochs=3, folds=0, members=1)
-    tokens = [w for t, _ in corpus(20, 4) for w in abuse.Tokens()(t)][:60]
-    scorer = abuse.Scorer(model)
-    parts = scorer([" ".join(tokens[k : k + abuse.WINDOW]) for k in range(len(tokens) - abuse.WINDOW + 1)])
-    assert abs(scorer([" ".join(tokens)])[0] - max(parts)) < 1e-5
+    """The score is the highest over all windows of the states of the whole text, wherever blocks begin."""
+    split = abuse.Tokens()
+    model = abuse.train(corpus(60, 1), steps=40, folds=0, members=1)
+    for n in (3, 24, 25, 95, 96, 97, 230):
+        tokens = [w for t, _ in corpus(40, 4) for w in split(t)][:n]
+        m = model[0]
+        x = np.stack([np.concatenate([m.p["word"][abuse.word_id(w)], np.mean([m.p["char"][g] for g in abuse.gram_ids(w)], axis=0)]) for w in tokens])[None]
+        pad = max(0, abuse.WINDOW - n)
+        x, mask = np.pad(x, ((0, 0), (0, pad), (0, 0))), np.pad(np.ones((1, n), np.float32), ((0, 0), (0, pad)))
+        value, score, _ = m.heads(m.states(x, mask), mask)
+        whole = abuse.window_logits(value, score)[0].max()
+        assert abs(abuse.Scorer(model)([" ".join(tokens)])[0] - 1 / (1 + np.exp(-whole))) < 0.02  # what lies further off than a margin is forgotten
+        assert abuse.Scorer(model)(["a b", " ".join(tokens), "c"])[1] == pytest.approx(abuse.Scorer(model)([" ".join(tokens)])[0], abs=1e-5)
 
 
 def test_gradients_of_the_network():
@@ -206,27 +208,26 @@ def test_gradients_of_the_network():
     model = abuse.BiGRU(1)
     for k in model.p:
         model.p[k] = model.p[k].astype(np.float64)
-    x = rng.normal(size=(3, 5, abuse.INPUT))
-    mask = np.ones((3, 5))
-    mask[1, 3:] = 0
-    target = np.array([1.0, 0.0, 1.0])
+    x = rng.normal(size=(3, 30, abuse.INPUT))
+    mask = np.ones((3, 30))
+    mask[1, 26:] = 0
+    target = rng.random((3, 30 - abuse.WINDOW + 1))
 
     def loss():
-        px = [model.project(x, w) for w in "fb"]
-        z = model.logits(*px, mask)
-        return float(np.sum((z - target) ** 2) / 2)
+        value, score, _ = model.heads(model.states(x, mask), mask)
+        return float(np.sum((abuse.window_logits(value, score)[0] - target) ** 2) / 2)
 
     grads, d_x, _ = model.gradients(x, mask, lambda z: z - target)
-    for name in ("Wf", "Uf", "Ub", "bb", "attend", "attend_v", "out", "bias"):
+    for name in ("Wf", "Wb", "Uf", "Ub", "bf", "bb", "attend", "attend_v", "out", "bias"):
         flat = model.p[name].reshape(-1)
         for i in rng.integers(len(flat), size=4):
             keep = flat[i]
-            flat[i] = keep + 1e-4
+            flat[i] = keep + 1e-5
             up = loss()
-            flat[i] = keep - 1e-4
+            flat[i] = keep - 1e-5
             down = loss()
             flat[i] = keep
-            assert abs((up - down) / 2e-4 - grads[name].reshape(-1)[i]) < 2e-2 * max(1, abs(grads[name].reshape(-1)[i]))
+            assert abs((up - down) / 2e-5 - grads[name].reshape(-1)[i]) < 1e-3 * max(1, abs(grads[name].reshape(-1)[i]))
 
 
 def corpus(n, seed):
@@ -244,14 +245,22 @@ def corpus(n, seed):
 
 
 def test_held_out_accuracy():
-    model = abuse.train(corpus(200, 1), epochs=12, folds=0, members=1)
+    model = abuse.train(corpus(200, 1), steps=150, folds=0, members=1)
     scores = abuse.Scorer(model)([t for t, _ in corpus(100, 2)])
     assert np.mean([(s >= 0.5) == bool(y) for s, (_, y) in zip(scores, corpus(100, 2))]) >= 0.95
     assert abuse.train([("a", 0), ("b", 0)]) is None and abuse.train([]) is None
 
 
+def test_background_and_wrong_labels():
+    """Harmful texts in the background and turned labels do not spoil what is learned."""
+    labelled = [(t, y if i % 20 else 1 - y) for i, (t, y) in enumerate(corpus(200, 1))]
+    model = abuse.train(labelled, [t for t, _ in corpus(120, 5)], steps=160, members=1)
+    scores = abuse.Scorer(model)([t for t, _ in corpus(100, 2)])
+    assert np.mean([(s >= 0.5) == bool(y) for s, (_, y) in zip(scores, corpus(100, 2))]) >= 0.95
+
+
 def test_length_does_not_dilute():
-    model = abuse.train(corpus(200, 1), epochs=12, folds=0, members=1)
+    model = abuse.train(corpus(200, 1), steps=150, folds=0, members=1)
     calm = "the report reads the wrong column. " * 200
     low, high = abuse.Scorer(model)([calm, calm + "you are a complete idiot. " + calm])
     assert low < 0.5 < high
