@@ -61,6 +61,11 @@ SOURCE_MAP = re.compile(r"(?m)^\s*(?://|/\*)[#@] sourceMappingURL=")
 COMMENT_LINE = re.compile(r"^\s*(?://|#(?!\w*[{;])|--|/\*|\*|<!--|\"\"\"|''')")
 NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<![\w$.])[+\-]?(?:0x[0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][+\-]?\d+)?)")
+_TRIPLE = r"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''"
+_REMARK = {".py": r"\#[^\n]*", ".sql": r"--[^\n]*|/\*(?s:.*?)\*/", ".css": r"/\*(?s:.*?)\*/"}
+#: What holds no names of the program: literals (also those of many lines) and comments, by suffix.
+NAMELESS = {suffix: re.compile("|".join([*([_TRIPLE] if suffix == ".py" else []), _REMARK.get(suffix, r"//[^\n]*|/\*(?s:.*?)\*/"), LITERAL.pattern])) for suffix in SUFFIXES}
+_DIGEST = re.compile(r"(?=\w*\d)[0-9a-f]{24,}")
 WORK = re.compile(r"\b(?:def|class|function|func|return|if|for|while|switch|case|try|import\s+\w+\s+from|select|create|update|delete|alter|throw|raise|new|interface|public|void)\b|=>", re.I)
 INSERT = re.compile(r"(?is)^\s*(?:insert\s+into\s+[\w.\"`]+\s*(?:\([^()]*\)\s*)?values\s*\(.*\)\s*(?:,\s*\(.*\)\s*)*)$")
 _FOLD_TEXT = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
@@ -177,8 +182,7 @@ def features(path: str, suffix: str, text: str) -> dict:
         literals += 1
         literal_chars += m.end() - m.start()
     bare = LITERAL.sub(" ", body)
-    names = NAME.findall(bare)
-    distinct = set(names)
+    distinct = {x for x in NAME.findall(NAMELESS[suffix].sub(" ", text)) if not _DIGEST.fullmatch(x)}
     quoted = set(_QUOTED_NAME.findall(body))
     everything = distinct | quoted
     templates = Counter(folded(x) for x in everything if any(c.isdigit() for c in x))
@@ -277,46 +281,56 @@ def train(table: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def cross_entropy(names: str, bits: np.ndarray) -> float:
-    """Mean bits per letter of the names of a file, each name once."""
+def cross_entropy(names: str, models: dict[str, np.ndarray]) -> float:
+    """Mean bits per letter of the names of a file, each name once, under the language that expects them most (a suffix may be wrong)."""
+    if not names:
+        return 0.0
     codes = trigrams(names.encode("ascii", "replace"))
-    return float(bits[codes].sum() / max(1, (codes % ALPHABET != 0).sum()))
+    return min(float(bits[codes].sum()) for bits in models.values()) / max(1, int((codes % ALPHABET != 0).sum()))
 
 
 def judge(f: dict, entropy: float, copies: int, package_owners: int) -> str | None:
-    """The kind of a file from its features; null for hand-written."""
+    """The kind of a file from its features; null for hand-written.
+
+    The names decide first: mangled by their cross-entropy, template-like by their
+    low diversity. The text decides where names cannot (style sheets, statements,
+    bundles that keep their names, a tool that says so), owners and foreign styles
+    what is a copy.
+    """
     css, sql = f["suffix"] == ".css", f["suffix"] == ".sql"
-    if f["tool"]:
-        return "generated"
-    # Dense text: whole programs on a line, hardly a blank, names without meaning.
-    dense = f["longest"] >= 400 and f["mean_line"] >= 150 and f["spaces"] < 0.1
     literal_bound = f["literal_share"] > 0.8
-    if dense and not literal_bound and (css or entropy > MANGLED_BITS or f["short_names"] > 0.35 or f["built_name"] or f["source_map"]):
+    # Names: mangled.
+    if not css and not sql and f["names"] >= MANGLED_NAMES and entropy > MANGLED_BITS and not literal_bound:
         return "minified"
-    # Mangled names tell by themselves, however the text is wrapped.
-    if not css and not sql and f["names"] >= 20 and entropy > MANGLED_BITS and f["short_names"] > 0.6 and f["spaces"] < 0.1 and not literal_bound:
+    # Names: template-like. A name that only tools give makes fewer of them suffice.
+    if not css and f["n_lines"] >= 4 and not f["only_data"] and not literal_bound:
+        if f["padded"] >= (2 if f["built_name"] else 3) and (f["built_name"] or f["series"] >= 0.25) or f["series"] >= (0.35 if f["built_name"] else 0.5):
+            return "generated"
+    # Text: dense style sheets and bundles.
+    dense = f["longest"] >= 400 and f["mean_line"] >= 150 and f["spaces"] < 0.1
+    if dense and not literal_bound and (css or f["names"] < MANGLED_NAMES and entropy > MANGLED_BITS or f["built_name"] or f["source_map"]):
         return "minified"
     if f["built_name"] and f["source_map"] and f["mean_line"] > 100:
         return "minified"
+    if f["tool"]:
+        return "generated"
     if f["only_data"] or f["inserts"] == 1.0 or f["inserts"] >= 0.9 and f["literals"] >= 20 or (literal_bound and f["work"] == 0 and (f["literals"] >= 30 or f["n_chars"] >= 1500 and f["longest"] >= 800)) and not css and not sql:
         return "data"
-    if not css and f["n_lines"] >= 4:
-        floor = 0.35 if f["built_name"] else 0.5
-        if f["padded"] >= (2 if f["built_name"] else 3) and (f["built_name"] or f["series"] >= 0.25):
-            return "generated"
-        if f["series"] >= floor or f["repeated"] >= 0.75 and (f["series"] >= 0.2 or f["rows"] >= 0.75) and f["n_lines"] >= 8:
-            return "generated"
-    if f["in_folder"] or f["notice"]:
+    # Text: lines of few shapes, with names or values in series.
+    if not css and f["n_lines"] >= 8 and f["repeated"] >= 0.75 and (f["series"] >= 0.2 or f["rows"] >= 0.75):
+        return "generated"
+    # Owners: a notice of a package, a folder of dependencies together with an owner elsewhere or a notice, or copies.
+    if f["notice"] or f["in_folder"] and (f["versioned"] or f["package"] is not None):
         return "vendored"
-    if f["n_chars"] >= 400 and (copies >= 3 or package_owners >= 2 and (copies >= 2 or f["package"] is not None)):
+    if f["work"] and (copies >= 3 or package_owners >= 2 and (copies >= 2 or f["package"] is not None)):
         return "vendored"
-    if f["n_chars"] >= 400 and not css and not sql and foreign(f["snake"], f["camel"], f.get("project_snake") or 0, f.get("project_camel") or 0):
+    if not css and not sql and foreign(f["snake"], f["camel"], f.get("project_snake") or 0, f.get("project_camel") or 0):
         return "vendored"
     return None
 
 
-#: Bits per letter above which the names of a file count as mangled.
-MANGLED_BITS = 4.2
+#: Bits per letter above which the names of a file (at least so many) count as mangled.
+MANGLED_BITS, MANGLED_NAMES = 4.2, 20
 
 
 def judged_files(files: DataFrame, sources: DataFrame) -> DataFrame:
@@ -335,7 +349,7 @@ def judged_files(files: DataFrame, sources: DataFrame) -> DataFrame:
         for batch in batches:
             kinds, entropies = [], []
             for f in batch.to_pylist():
-                entropy = cross_entropy(f["identifiers"], bits.value[SUFFIXES[f["suffix"]]]) if f["identifiers"] else 0.0
+                entropy = cross_entropy(f["identifiers"], bits.value)
                 kinds.append(judge(f, entropy, f["copies"] or 0, f["package_owners"] or 0))
                 entropies.append(entropy)
             yield pa.RecordBatch.from_arrays([batch.column("project_id"), batch.column("file_id"), batch.column("relative_path"), pa.array(kinds, pa.string()), pa.array(entropies, pa.float64())], names=["project_id", "file_id", "relative_path", "kind", "entropy"])

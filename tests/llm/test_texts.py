@@ -120,6 +120,20 @@ def test_a_long_licence_does_not_hide_a_tool():
 
 
 
+def test_a_notice_on_line_60_and_a_short_copy(spark):
+    licence = "".join(f"# Clause {i} of the terms.\n" for i in range(59))
+    assert judged("a.py", licence + "# Licensed under MIT; see LICENSE of left 8.1.6.\n" + HAND) == "vendored"
+    short = "export function left(a, n) {\n  return a << n;\n}\n"
+    assert judged("lib/a.js", short, copies=3) == "vendored" and judged("lib/a.js", short) is None
+    assert judged("lib/a.js", "<html><body>Not Found</body></html>\n", copies=9) is None  # a copy of no program
+
+
+def test_names_in_literals_and_comments_do_not_count():
+    text = 'KEY = """-----BEGIN PUBLIC KEY-----\nqBpLDhM71e3Zr7ygUyLkCDdYmqQPoOyq2v\n-----END PUBLIC KEY-----\n"""\nlimit = 3  # Zr7ygUyLkC\n'
+    assert provenance.features("a.py", ".py", text)["identifiers"] == "KEY\0limit\0"
+    assert provenance.features("a.js", ".js", "const a1 = `x\n--y ${z}`; // qq\n/* rr */ let b2 = 'it';\n")["identifiers"] == "a1\0b2\0const\0let\0"
+
+
 def test_foreign_styles_and_wrapped_mangled_names(spark):
     def camel(k):
         return "".join(f"var readItem{k}x{i}Name = openStore{i}Part(nextRow{i}Of);\n" for i in range(12))
