@@ -8,10 +8,14 @@ alternatives run as descriptors of their own, every caller waits at the node, an
 each end position found there is handed to all of them once. So a nonterminal is
 never parsed twice at one place and the work stays polynomial for any grammar.
 
+Dialects run together: a descriptor carries the set of dialects (a bit mask) for
+which it holds, an alternative lets through those that have it, and stack nodes and
+the ends found at them know theirs. Dialects part only where their grammars do.
+
 Grammar text, one rule a line:  ``Name = alternative | alternative``; ``'x'`` and
 UPPER names are terminals, ``X?``, ``X*`` and ``X+`` and groups in parentheses are
-allowed; ``X%`` is one or more X with commas between them and perhaps one behind. Alternatives of several dialects stand in one grammar: one that starts
-with ``@ts`` belongs to that dialect only (``@-jsx``: to all without that mark).
+allowed; ``X%`` is one or more X with commas between them and perhaps one behind. One that starts with ``@ts``
+belongs to the dialects with that mark only (``@-jsx``: to those without it).
 Repetitions and options take what fits the next token (longest match) unless the
 rule's name is followed by ``~``: then leaving them out is tried as well. Behind
 ``!`` only the first alternative that fits the next token counts. ``SEMI`` and
@@ -27,12 +31,13 @@ _SYMBOL = re.compile(r"\s*('[^']+'|@-?\w+|[A-Za-z_]\w*|[()|?*+%~!])")
 
 
 class Grammar:
-    """``marks``: the dialect marks that hold; ``kinds``: terminal name -> number."""
+    """``dialects``: the marks of each dialect, whose bit is its place; ``kinds``: terminal name -> number."""
 
-    def __init__(self, text: str, kinds: dict[str, int], marks: frozenset[str]) -> None:
+    def __init__(self, text: str, kinds: dict[str, int], dialects: list[frozenset[str]]) -> None:
         self.kinds = kinds
-        self.marks = marks
-        self.rules: dict[str, list[list[str]]] = {}
+        self.dialects = dialects
+        self.every = (1 << len(dialects)) - 1
+        self.rules: dict[str, list[tuple[int, list[str]]]] = {}
         self.doubtful: set[str] = set()
         self.ordered: set[str] = set()
         self._helpers = 0
@@ -49,20 +54,18 @@ class Grammar:
                 assert not rest, (name, rest)
         self._compile()
 
-    def _alternatives(self, tokens: list[str], doubtful: bool) -> tuple[list[list[str]], list[str]]:
-        out: list[list[str]] = []
-        current: list[str] | None = []
+    def _alternatives(self, tokens: list[str], doubtful: bool) -> tuple[list[tuple[int, list[str]]], list[str]]:
+        out: list[tuple[int, list[str]]] = []
+        current: list[str] = []
+        mask = self.every
         while tokens and tokens[0] != ")":
             token, tokens = tokens[0], tokens[1:]
             if token == "|":
-                if current is not None:
-                    out.append(current)
-                current = []
+                out.append((mask, current))
+                current, mask = [], self.every
                 continue
             if token.startswith("@"):
-                wanted = token[2:] not in self.marks if token[1] == "-" else token[1:] in self.marks
-                if not wanted:
-                    current = None
+                mask &= sum(1 << d for d, marks in enumerate(self.dialects) if (token[2:] not in marks if token[1] == "-" else token[1:] in marks))
                 continue
             if token == "(":
                 inner, tokens = self._alternatives(tokens, doubtful)
@@ -70,24 +73,23 @@ class Grammar:
                 token = self._helper(inner, doubtful)
             while tokens and tokens[0] in "?*+%":
                 mark, tokens = tokens[0], tokens[1:]
+                always = lambda *alts: [(self.every, list(x)) for x in alts]
                 if mark == "?":
-                    token = self._helper([[token], []], doubtful)
+                    token = self._helper(always([token], []), doubtful)
                 elif mark == "%":
                     more, following = self._helper([], doubtful), self._helper([], doubtful)
-                    self.rules[more] = [["','", following], []]
-                    self.rules[following] = [[token, more], []]
-                    token = self._helper([[token, more]], doubtful)
+                    self.rules[more] = always(["','", following], [])
+                    self.rules[following] = always([token, more], [])
+                    token = self._helper(always([token, more]), doubtful)
                 else:
                     loop = self._helper([], doubtful)
-                    self.rules[loop] = [[token, loop], []]
-                    token = loop if mark == "*" else self._helper([[token, loop]], doubtful)
-            if current is not None:
-                current.append(token)
-        if current is not None:
-            out.append(current)
+                    self.rules[loop] = always([token, loop], [])
+                    token = loop if mark == "*" else self._helper(always([token, loop]), doubtful)
+            current.append(token)
+        out.append((mask, current))
         return out, tokens
 
-    def _helper(self, alternatives: list[list[str]], doubtful: bool) -> str:
+    def _helper(self, alternatives: list[tuple[int, list[str]]], doubtful: bool) -> str:
         self._helpers += 1
         name = f"_{self._helpers}"
         self.rules[name] = alternatives
@@ -109,11 +111,35 @@ class Grammar:
         return None
 
     def _compile(self) -> None:
-        rules = {name: [[(t, None) if (t := self._terminal(s)) is not None else (None, s) for s in alt] for alt in alts] for name, alts in self.rules.items()}
+        rules = {name: [(mask, [(t, None) if (t := self._terminal(s)) is not None else (None, s) for s in alt]) for mask, alt in alts] for name, alts in self.rules.items()}
         for name, alts in rules.items():
-            for alt in alts:
+            for _, alt in alts:
                 for terminal, symbol in alt:
                     assert terminal is not None or symbol in rules, (name, symbol)
+        self.number = {name: i for i, name in enumerate(rules)}
+        self.ops: list[int] = []
+        entries: dict[str, list[int]] = {}
+        for name, alts in rules.items():
+            entries[name] = []
+            for _, alt in alts:
+                entries[name].append(len(self.ops))
+                self.ops += [terminal if terminal is not None else -10 - self.number[symbol] for terminal, symbol in alt]
+                self.ops.append(END)
+        rows = [self._predict({n: [(alt, e) for (mask, alt), e in zip(alts, entries[n]) if mask >> d & 1] for n, alts in rules.items()}) for d in range(len(self.dialects))]
+        self.table: list[list] = []
+        for name in rules:
+            row: list = []
+            for kind in range(max(self.kinds.values()) + 1):
+                masks: dict[int, int] = {}
+                for d, predicted in enumerate(rows):
+                    for e in predicted[name][kind]:
+                        masks[e] = masks.get(e, 0) | 1 << d
+                [alone] = masks if len(masks) == 1 else [None]
+                row.append(None if not masks else alone if alone is not None and masks[alone] == self.every else tuple(masks.items()))
+            self.table.append(row)
+
+    def _predict(self, rules: dict[str, list]) -> dict[str, list[list[int]]]:
+        """For one dialect: which alternatives of each nonterminal fit each token."""
         n_kinds = max(self.kinds.values()) + 1
         # A line end may stand for SEMI or SEP, so any token can follow there.
         anything = set(range(n_kinds))
@@ -135,101 +161,102 @@ class Grammar:
         while changed:
             changed = False
             for name, alts in rules.items():
-                for alt in alts:
+                for alt, _ in alts:
                     f, e = first_of(alt)
                     if not f <= first[name] or e and not empty[name]:
                         first[name] |= f
                         empty[name] = empty[name] or e
                         changed = True
-        self.ops: list[int] = []
-        number = {name: i for i, name in enumerate(rules)}
-        self.table: list[list] = []
-        entries: dict[str, list[int]] = {}
-        base = -10
-        for name, alts in rules.items():
-            entries[name] = []
-            for alt in alts:
-                entries[name].append(len(self.ops))
-                for terminal, symbol in alt:
-                    self.ops.append(terminal if terminal is not None else base - number[symbol])
-                self.ops.append(END)
+        out: dict[str, list[list[int]]] = {}
         for name, alts in rules.items():
-            row: list = [None] * n_kinds
-            firsts = [first_of(alt) for alt in alts]
+            firsts = [(e, *first_of(alt)) for alt, e in alts]
+            out[name] = []
             for kind in range(n_kinds):
-                fits = [entries[name][i] for i, (f, _) in enumerate(firsts) if kind in f]
-                blank = [entries[name][i] for i, (_, e) in enumerate(firsts) if e and entries[name][i] not in fits]
+                fits = [e for e, f, _ in firsts if kind in f]
                 if not fits or name in self.doubtful:
-                    fits = fits + blank
-                if name in self.ordered:
-                    fits = fits[:1]
-                row[kind] = None if not fits else fits[0] if len(fits) == 1 else tuple(fits)
-            self.table.append(row)
-        self.number = number
+                    fits = fits + [e for e, _, blank in firsts if blank and e not in fits]
+                out[name].append(fits[:1] if name in self.ordered else fits)
+        return out
 
-    def accepts(self, start: str, kinds, breaks=None) -> tuple[bool, int]:
-        """(whether ``start`` derives all of ``kinds`` up to its end mark, furthest position reached).
+    def accepts(self, start: str, kinds, breaks=None, *, mask: int = 1, wanted: int | None = None) -> tuple[int, int]:
+        """(the dialects of ``mask`` in which ``start`` derives all of ``kinds`` up to its end mark, furthest position reached).
 
         The last element of ``kinds`` must be the end mark (kind 0). ``breaks(i)``
-        tells whether a line ends before token i.
+        tells whether a line ends before token i. Once the dialects ``wanted``
+        (all of ``mask`` if not given) are accepted the rest is not looked at.
         """
         ops, table = self.ops, self.table
-        last = len(kinds) - 1
         semicolon, comma, brace = self.kinds.get(";", -9), self.kinds.get(",", -9), self.kinds.get("}", -9)
-        nodes: dict[tuple[int, int], tuple[set, list]] = {}
-        root: tuple[set, list] = (set(), [])
-        entry = table[self.number[start]][kinds[0]]
-        if entry is None:
-            return False, 0
-        work = [(e, 0, None, root) for e in (entry if type(entry) is tuple else (entry,))]
-        furthest = 0
+        wanted = mask if wanted is None else wanted
+        # A stack node: ends found (position -> dialects), waiting callers, dialects its alternatives run for.
+        nodes: dict[tuple[int, int], list] = {}
+        root: list = [{}, [], 0]
+        cell = table[self.number[start]][kinds[0]]
+        if cell is None:
+            return 0, 0
+        work = [(e, 0, None, root, m & mask) for e, m in (cell if type(cell) is tuple else ((cell, mask),)) if m & mask]
+        furthest = accepted = 0
         while work:
-            slot, at, stack, node = work.pop()
+            slot, at, stack, node, alive = work.pop()
             while True:
                 op = ops[slot]
                 if op >= 0:
                     if kinds[at] == op:
                         if op == 0:
-                            return True, at
+                            accepted |= alive
+                            if accepted & wanted == wanted:
+                                return accepted, at
+                            break
                         slot += 1
                         at += 1
                         continue
                     break
                 if op <= -10:
                     n = -10 - op
-                    entry = table[n][kinds[at]]
-                    if entry is None:
+                    cell = table[n][kinds[at]]
+                    if cell is None:
                         break
-                    if type(entry) is int:
-                        slot += 1
-                        if ops[slot] != END:
-                            stack = (slot, stack)
-                        slot = entry
-                        continue
-                    key = (n, at)
-                    known = nodes.get(key)
-                    waiter = (slot + 1, stack, node)
-                    if known is None:
-                        known = nodes[key] = (set(), [waiter])
-                        for e in entry:
-                            work.append((e, at, None, known))
-                    else:
-                        known[1].append(waiter)
-                        for end in known[0]:
-                            work.append((slot + 1, end, stack, node))
-                    break
+                    if type(cell) is tuple:
+                        live = [(e, m & alive) for e, m in cell if m & alive]
+                        if not live:
+                            break
+                        if len(live) > 1:
+                            if len(live) == 2 and not live[0][1] & live[1][1]:
+                                # Every dialect goes its own way: no stack node is needed.
+                                e, m = live[1]
+                                work.append((e, at, stack if ops[slot + 1] == END else (slot + 1, stack), node, m))
+                            else:
+                                key = (n, at)
+                                known = nodes.get(key)
+                                if known is None:
+                                    known = nodes[key] = [{}, [], 0]
+                                new = alive & ~known[2]
+                                if new:
+                                    known[2] |= new
+                                    for e, m in live:
+                                        if m & new:
+                                            work.append((e, at, None, known, m & new))
+                                known[1].append((slot + 1, stack, node, alive))
+                                for end, m in known[0].items():
+                                    if m & alive:
+                                        work.append((slot + 1, end, stack, node, m & alive))
+                                break
+                        cell, alive = live[0]
+                    slot += 1
+                    if ops[slot] != END:
+                        stack = (slot, stack)
+                    slot = cell
+                    continue
                 if op == END:
                     if stack is not None:
                         slot, stack = stack
                         continue
-                    if at not in node[0]:
-                        node[0].add(at)
-                        if node is root:
-                            if at == last:
-                                return True, at
-                        else:
-                            for s, st, owner in node[1]:
-                                work.append((s, at, st, owner))
+                    new = alive & ~node[0].get(at, 0)
+                    if new:
+                        node[0][at] = node[0].get(at, 0) | new
+                        for s, st, owner, m in node[1]:
+                            if m & new:
+                                work.append((s, at, st, owner, m & new))
                     break
                 kind = kinds[at]  # SEMI or SEP
                 if kind == semicolon or op == SEP and kind == comma:
@@ -241,4 +268,4 @@ class Grammar:
                     break
             if at > furthest:
                 furthest = at
-        return False, furthest
+        return accepted, furthest

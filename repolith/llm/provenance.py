@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolith.llm.syntax_check import latest_files
-from repolith.runtime import cpu_partitions, shared_table
+from repolith.runtime import cpu_partitions, input_bytes, shared_table
 
 SUFFIXES = {".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".go": "Go", ".java": "Java", ".sql": "SQL", ".css": "CSS"}
 LANGUAGES = sorted(set(SUFFIXES.values()))
@@ -246,7 +246,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def file_features(files: DataFrame, sources: DataFrame) -> DataFrame:
     wanted = latest_files(files).where(F.col("suffix").isin(list(SUFFIXES))).select("project_id", "file_id", "relative_path", "suffix")
     texts = sources.where("file_id is not null and content is not null and content <> ''").select(F.col("file_id").cast("long").alias("file_id"), F.col("content").cast("string").alias("content"))
-    n = cpu_partitions(files.sparkSession)
+    n = cpu_partitions(files.sparkSession, input_bytes(sources))
     joined = wanted.repartition(n, "file_id").join(texts.repartition(n, "file_id").hint("merge"), "file_id").select("project_id", "file_id", "relative_path", "suffix", F.xxhash64("content").alias("content_hash"), "content")
     return joined.mapInArrow(_features, _DDL)
 

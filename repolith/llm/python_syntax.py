@@ -122,8 +122,14 @@ Field = Value END
 
 _STRING = r"""(?:[rRbBuUfFtT]{0,2}(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'))"""
 _NUMBER = r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+\-]?\d(?:_?\d)*)?[jJ]?)"
+# A replacement field may hold strings with the quotes of the formatted string around it, and fields of its own.
+_INNER = r"""\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"""
+_FIELD = r"[^{}\"'\n]"
+for _ in range(4):
+    _FIELD = rf"\{{(?!\{{)(?:[^{{}}\"'\n]|{_INNER}|{_FIELD})*\}}"
+_FORMATTED = rf"""(?:[fFtT][rR]?|[rR][fFtT])(?:\"(?!\"\")(?>[^\"\\\n{{}}]|\\[\s\S]|\{{\{{|\}}\}}|{_FIELD})*\"|'(?!'')(?>[^'\\\n{{}}]|\\[\s\S]|\{{\{{|\}}\}}|{_FIELD})*')"""
 TOKEN = re.compile(
-    rf"(?:[ \t\f]|\\\n)*(\n[ \t\f]*|#[^\n]*|{_STRING}|[^\W\d]\w*|{_NUMBER}|\.\.\.|\*\*=|//=|>>=|<<=|->|:=|[+\-*/%@&|^=<>!]=|\*\*|//|<<|>>|[()\[\]{{}},:.;@=+\-*/%|&^~<>]|\Z|[\s\S])"
+    rf"(?:[ \t\f]|\\\n)*(\n[ \t\f]*|#[^\n]*|{_FORMATTED}|{_STRING}|[^\W\d]\w*|{_NUMBER}|\.\.\.|\*\*=|//=|>>=|<<=|->|:=|[+\-*/%@&|^=<>!]=|\*\*|//|<<|>>|[()\[\]{{}},:.;@=+\-*/%|&^~<>]|\Z|[\s\S])"
 )
 _BAD_NUMBER = re.compile(r"0\d*[1-9]\d*$|0_?\d*[1-9][\d_]*$")
 _AFTER_NUMBER = re.compile(r"and|else|for|if|in|is|or|not")
@@ -140,11 +146,12 @@ _ASYNC, _AT = KINDS["async"], KINDS["@"]
 #: Lines remembered by a worker before it starts afresh.
 MEMO_LINES = 200_000
 _memo: dict[tuple[str, bytes], bool] = {}
+_names: dict[str, int] = {}
 
 
 @lru_cache(maxsize=1)
 def grammar() -> Grammar:
-    return Grammar(GRAMMAR, KINDS, frozenset())
+    return Grammar(GRAMMAR, KINDS, [frozenset()])
 
 
 class Broken(Exception):
@@ -157,7 +164,7 @@ def _derives(rule: str, kinds: bytes) -> bool:
     if known is None:
         if len(_memo) >= MEMO_LINES:
             _memo.clear()
-        known = _memo[key] = (not rule or grammar().accepts(rule, kinds + b"\0")[0]) and _well_placed(kinds)
+        known = _memo[key] = (not rule or grammar().accepts(rule, kinds + b"\0")[0] > 0) and _well_placed(kinds)
     return known
 
 
@@ -352,12 +359,14 @@ def lines_of(text: str) -> tuple[list, list[bytes]]:
     lines: list[bytes] = []
     line = bytearray()
     indents, alternate, closers = [0], [0], []
-    fixed = _FIXED.get
+    fixed, named = _FIXED.get, _names.get
     pending = _measure(re.match(r"[ \t\f]*", text).group())
     fresh = True
     tokens = TOKEN.findall(text)
-    for i, token in enumerate(tokens):
+    for token in tokens:
         kind = fixed(token)
+        if kind is None:
+            kind = named(token)
         if kind is None:
             if not token:
                 break
@@ -381,6 +390,8 @@ def lines_of(text: str) -> tuple[list, list[bytes]]:
                     _check_prefix(token)
                 elif token.isidentifier():
                     kind = _NAME
+                    if len(_names) < MEMO_LINES:
+                        _names[token] = kind
                 else:
                     raise Broken
             elif c in "\"'":
@@ -445,7 +456,7 @@ def _check_prefix(token: str) -> None:
     prefix = re.match(r"[A-Za-z]*", token).group().lower()
     if prefix not in _PREFIXES:
         raise Broken
-    if "f" in prefix and "{" in token:
+    if ("f" in prefix or "t" in prefix) and ("{" in token or "}" in token):
         body = token[len(prefix) :]
         quotes = 3 if body[:3] in ('"""', "'''") else 1
         _fields(body[quotes:-quotes], "r" in prefix)
@@ -522,7 +533,7 @@ def parses(text: str) -> bool:
     try:
         layout, lines = lines_of(text)
     except (Broken, RecursionError):
-        return _nested_quotes(text)
+        return False
     stream = bytearray()
     for k, entry in enumerate(layout):
         if entry < 0:
@@ -534,31 +545,29 @@ def parses(text: str) -> bool:
             kind = line[1]
         if kind in _SOFT:
             if not _derives("", line):
-                return _nested_quotes(text)
+                return False
             stream += line
             continue
         head = _HEAD_BY_KIND.get(kind)
         if head is not None:
             if k + 1 < len(layout) and layout[k + 1] == -_INDENT:
                 if not _derives(head[0], line[:-1]):
-                    return _nested_quotes(text)
+                    return False
                 stream.append(head[1])
             else:
                 if not _derives("", line):
-                    return _nested_quotes(text)
+                    return False
                 stream += line
         elif kind == _AT:
             if not _derives("HeadDecorator", line):
-                return _nested_quotes(text)
+                return False
             stream.append(KINDS["DECORATOR"])
         else:
             if not _derives("LineOnly", line):
-                return _nested_quotes(text)
+                return False
             stream.append(KINDS["LINE"])
     stream.append(0)
-    if not grammar().accepts("File", bytes(stream))[0]:
-        return _nested_quotes(text)
-    return _numbers_end(text)
+    return bool(grammar().accepts("File", bytes(stream))[0]) and _numbers_end(text)
 
 
 _STRING_OR_COMMENT = re.compile(rf"{_STRING}|#[^\n]*")
@@ -571,39 +580,3 @@ def _numbers_end(text: str) -> bool:
         return True
     bare = _STRING_OR_COMMENT.sub(" ", text)
     return all(_AFTER_NUMBER.match(bare, m.end()) for m in _GLUED.finditer(bare))
-
-
-_NESTED = re.compile(r"""(?i)\b(?:f|rf|fr)(["'])(?!\1)""")
-
-
-def _nested_quotes(text: str) -> bool:
-    """Second reading of a refused text: formatted strings that reuse their own quotes inside a field."""
-    out, at = [], 0
-    for m in _NESTED.finditer(text):
-        if m.start() < at:
-            continue
-        quote, i, depth, reused = m.group(1), m.end(), 0, False
-        while i < len(text) and text[i] != "\n":
-            c = text[i]
-            if c == "\\" and not depth:
-                i += 2
-                continue
-            if text[i : i + 2] in ("{{", "}}") and not depth:
-                i += 2
-                continue
-            depth += (c == "{") - (c == "}")
-            if c == quote:
-                if not depth:
-                    break
-                reused = True
-            i += 1
-        else:
-            continue
-        if i < len(text) and reused:
-            inner = text[m.end() : i].replace(quote, '"' if quote == "'" else "'")
-            out += [text[at : m.end()], inner]
-            at = i
-    if not out:
-        return False
-    changed = "".join([*out, text[at:]])
-    return changed != text and parses(changed)

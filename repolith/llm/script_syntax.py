@@ -176,7 +176,9 @@ TypeIndex = '[' Id ':' Type ']' TypeNote SEP
 Mapped = (('+' | '-') MOD)? '[' Id 'in' Type (AS Type)? ']' (('+' | '-')? '?')? (':' Type)? SEP
 """
 
-_DIALECTS = {"js": frozenset(), "jsx": frozenset({"jsx"}), "ts": frozenset({"ts"}), "tsx": frozenset({"ts", "jsx"})}
+DIALECTS = {"js": frozenset(), "jsx": frozenset({"jsx"}), "ts": frozenset({"ts"}), "tsx": frozenset({"ts", "jsx"})}
+_BIT = {d: 1 << i for i, d in enumerate(DIALECTS)}
+_MARKUP, _TYPED = _BIT["jsx"] | _BIT["tsx"], _BIT["ts"] | _BIT["tsx"]
 
 _BLANK = r"(?:\s|﻿|//[^\n\r  ]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)*"
 _IDENT = r"(?:[A-Za-z_$]|[^\x00-\x7f]|\\u)(?:[A-Za-z0-9_$]|[^\x00-\x7f\s]|\\u)*"
@@ -194,6 +196,8 @@ _GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\s|=(?!=
 _K = KINDS
 _PUNCT_KIND = {p: KINDS[p] for p in PUNCTUATORS}
 _WORD_KIND = {w: KINDS[w] for w in RESERVED}
+#: Punctuators that need no look at their neighbours.
+_PLAIN = {p: KINDS[p] for p in PUNCTUATORS if p not in ("(", ")", "[", "]", "{", "}", "<", "++", "--", "!", ";")}
 _CONTEXT = frozenset(CONTEXTUAL)
 #: After these words an operand is to come.
 _BEFORE_OPERAND = frozenset("break case continue delete do else extends in instanceof new return throw typeof void default await yield const let var export import".split())
@@ -202,20 +206,21 @@ _STATEMENT_PAREN = frozenset(("if", "while", "for", "with"))
 _BLOCK_WORDS = frozenset(("else", "try", "finally", "do"))
 #: Longer statements are parsed in place.
 MEMO_TOKENS, MEMO_ENTRIES = 48, 200_000
-_memo: dict[tuple[str, tuple], bool] = {}
+_memo: dict[tuple, int] = {}  # token kinds -> dialects
 
 
 class Broken(Exception):
     """Raised with the offset of a lexical error."""
 
 
-@lru_cache(maxsize=4)
-def grammar(dialect: str) -> Grammar:
-    return Grammar(GRAMMAR, KINDS, _DIALECTS[dialect])
+@lru_cache(maxsize=1)
+def grammar() -> Grammar:
+    return Grammar(GRAMMAR, KINDS, list(DIALECTS.values()))
 
 
-def lex(text: str, dialect: str) -> tuple[list[int], list[bool], list[tuple[int, int]], list[int]]:
-    """(kinds, line break before, spans that look like simple statements, offsets)."""
+def lex(text: str, dialect: str) -> tuple[list[int], list[bool], list[tuple[int, int]], list[int], int]:
+    """(kinds, line break before, spans that look like simple statements, offsets, the dialects whose tokens are the same)."""
+    alike = 15  # loses the dialects that would have read some token otherwise
     markup = dialect.endswith("x")
     typed = dialect.startswith("ts")
     kinds: list[int] = []
@@ -331,11 +336,10 @@ def lex(text: str, dialect: str) -> tuple[list[int], list[bool], list[tuple[int,
         if operand and k > 4:
             k += 1
         # 2 word, 3 number, 4 string, 5 regular expression, 6 punctuator, 7 template, 8 private name
-        if k == 6 or k == 5 and not token.startswith("/") :
-            if token == ">" or token == ">=" or token == ">>=" or token == ">>>=":
-                kind = _PUNCT_KIND[token]
-                operand = False
-            elif token == "(":
+        if (k == 6 or k == 5 and token[0] != "/") and (kind := _PLAIN.get(token)) is not None:
+            operand = False
+        elif k == 6 or k == 5 and token[0] != "/":
+            if token == "(":
                 previous = words[-1] if words else ""
                 opens.append((")", previous in _STATEMENT_PAREN and not _after_dot(kinds) or previous == "await" and len(words) > 1 and words[-2] == "for", len(kinds), body_next))
                 body_next = False
@@ -385,7 +389,7 @@ def lex(text: str, dialect: str) -> tuple[list[int], list[bool], list[tuple[int,
                 operand = what == "object"
                 start = len(kinds) if what != "object" else extra
                 continue
-            elif token == "<" and markup and not operand and (not typed or not _GENERIC.match(text, where)):
+            elif token == "<" and not operand and (alike := alike & _as_markup(text, where, dialect)) and markup and (not typed or not _GENERIC.match(text, where)):
                 put(_K["JOPEN"], "<", line_break, where)
                 mode.append("tag")
                 names.append("")
@@ -395,6 +399,8 @@ def lex(text: str, dialect: str) -> tuple[list[int], list[bool], list[tuple[int,
                     put(_K[";"], ";", False, where)
                     line_break = operand = False
                 kind = _PUNCT_KIND[token]
+                if operand and token == "!":
+                    alike &= _TYPED if typed else ~_TYPED
                 operand = operand and (token != "!" or typed)
             else:
                 kind = _PUNCT_KIND[token]
@@ -412,7 +418,7 @@ def lex(text: str, dialect: str) -> tuple[list[int], list[bool], list[tuple[int,
             if kind is None:
                 kind = 1
                 operand = True
-                if "\\" in token and not re.fullmatch(r"(?:[^\\]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})+", token):
+                if token not in _SEEN and not _seen(token) and not re.fullmatch(r"(?:[^\\]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})+", token):
                     raise Broken(where)
             elif dotted:
                 operand = True
@@ -420,11 +426,16 @@ def lex(text: str, dialect: str) -> tuple[list[int], list[bool], list[tuple[int,
                 operand = token not in _BEFORE_OPERAND
                 if token == "class" or token == "enum":
                     body_next = True
+            if not dotted and token == "interface":
+                alike &= _TYPED if typed else ~_TYPED
             if not dotted and (token == "interface") and typed:
                 body_next = _word_follows(text, at) or body_next
             if line_break and words and words[-1] in _NO_LINE_BREAK and not _after_dot(kinds):
                 put(_K[";"], ";", False, where)
-            put(kind, token, line_break, where)
+            put_kind(kind)
+            put_word(token)
+            put_break(line_break)
+            put_offset(where)
             continue
         elif k == 7:
             m = _TEMPLATE.match(text, at)
@@ -443,12 +454,34 @@ def lex(text: str, dialect: str) -> tuple[list[int], list[bool], list[tuple[int,
             operand = True
         if line_break and words and words[-1] in _NO_LINE_BREAK and not _after_dot(kinds):
             put(_K[";"], ";", False, where)
-        put(kind, token if k != 4 else "", line_break, where)
+        put_kind(kind)
+        put_word(token if k != 4 else "")
+        put_break(line_break)
+        put_offset(where)
     if opens or mode:
         raise Broken(n)
     put(0, "", True, n)
-    _contextual(kinds, words, breaks, pairs, typed)
-    return kinds, breaks, spans, offsets
+    if _contextual(kinds, words, breaks, pairs, typed):
+        alike &= _TYPED if typed else ~_TYPED
+    return kinds, breaks, spans, offsets, alike
+
+
+def _as_markup(text: str, at: int, dialect: str) -> int:
+    """The dialects that read the ``<`` where an operand is to come as ``dialect`` does."""
+    if _GENERIC.match(text, at):
+        return _BIT[dialect] if dialect == "jsx" else ~_BIT["jsx"]
+    return _MARKUP if dialect.endswith("x") else ~_MARKUP
+
+
+_SEEN: set[str] = set()  # names without escapes, up to a bound
+
+
+def _seen(name: str) -> bool:
+    if "\\" in name:
+        return False
+    if len(_SEEN) < MEMO_ENTRIES:
+        _SEEN.add(name)
+    return True
 
 
 def _after_dot(kinds: list[int]) -> bool:
@@ -482,18 +515,21 @@ _ENDS_OPERAND = frozenset(KINDS[k] for k in ("IDENT", "NUM", "STR", "TEMPLATE",
 _BEFORE_LABEL = frozenset((-1, KINDS[";"], KINDS["{"], KINDS["}"], KINDS[":"]))
 
 
-def _contextual(kinds: list[int], words: list[str], breaks: list[bool], pairs: dict[int, int], typed: bool) -> None:
+def _contextual(kinds: list[int], words: list[str], breaks: list[bool], pairs: dict[int, int], typed: bool) -> bool:
     """Second pass: contextual words and arrow parentheses, from their neighbours."""
     K = _K
     arrow, colon, ident = K["=>"], K[":"], K["IDENT"]
     original = kinds[:]
+    decided = False  # whether types or their absence decided something
     for opened, closed in pairs.items():
         if original[opened] == K["("]:
             follow = original[closed + 1]
             if follow == arrow and not breaks[closed + 1]:
                 kinds[opened] = K["LPARROW"]
-            elif follow == colon and typed:
-                kinds[opened] = K["LPMAYBE"]
+            elif follow == colon:
+                decided = True
+                if typed:
+                    kinds[opened] = K["LPMAYBE"]
     for i, word in enumerate(words):
         kind = original[i]
         if kind == ident:
@@ -518,8 +554,10 @@ def _contextual(kinds: list[int], words: list[str], breaks: list[bool], pairs: d
                     kinds[i] = K["ASYNCARROW"]
                 elif follow == K["("] and kinds[i + 1] == K["LPMAYBE"]:
                     kinds[i] = K["ASYNCMAYBE"]
-                elif follow == K["<"] and typed and previous not in (K["{"], K[","], K[";"]):
-                    kinds[i] = K["ASYNCARROW"]
+                elif follow == K["<"] and previous not in (K["{"], K[","], K[";"]):
+                    decided = True
+                    if typed:
+                        kinds[i] = K["ASYNCARROW"]
                 elif (starts_name or follow == K["*"]) and not breaks[i + 1]:
                     kinds[i] = K["MOD"]
             elif word == "get" or word == "set":
@@ -539,7 +577,7 @@ def _contextual(kinds: list[int], words: list[str], breaks: list[bool], pairs: d
             elif word == "as":
                 if (previous in _ENDS_OPERAND or previous in (K["*"], K["default"])) and follow not in (K[","], K[")"], K[";"], K["="]) or words[i - 1] == "as" and follow != K["}"]:
                     kinds[i] = K["AS"]
-            elif not typed:
+            elif (decided := True) and not typed:
                 continue
             elif word in _MODIFIERS:
                 if word == "declare" and previous in (K[";"], K["}"], -1, K["export"], K["{"], K[")"]) and follow in (K["const"], K["let"], K["var"], K["function"], K["class"], K["enum"], ident) and not (follow == ident and original[i + 2] in (colon, K["?"], K["="], K["("], K[";"])):
@@ -581,10 +619,11 @@ def _contextual(kinds: list[int], words: list[str], breaks: list[bool], pairs: d
         elif kind == K["with"]:
             if i and original[i - 1] == K["STR"]:
                 kinds[i] = K["WITHATTR"]
+    return decided
 
 
-def _reduce(kinds: list[int], breaks: list[bool], spans: list[tuple[int, int]], dialect: str) -> tuple[list[int], list[bool], list[int]]:
-    """Replaces statements whose kinds are known to form a statement by one token."""
+def _reduce(kinds: list[int], breaks: list[bool], spans: list[tuple[int, int]], mask: int) -> tuple[list[int], list[bool], list[int]]:
+    """Replaces statements whose kinds are known to form a statement, in all dialects of ``mask``, by one token."""
     out: list[int] = []
     lines: list[bool] = []
     origin: list[int] = []
@@ -593,13 +632,12 @@ def _reduce(kinds: list[int], breaks: list[bool], spans: list[tuple[int, int]],
         if kinds[end] == _K["else"]:
             continue  # the end of a branch, not of the statement
         part = tuple(kinds[start:end])
-        key = (dialect, part)
-        good = _memo.get(key)
+        good = _memo.get(part)
         if good is None:
             if len(_memo) >= MEMO_ENTRIES:
                 _memo.clear()
-            good = _memo[key] = grammar(dialect).accepts("StatementOnly", [*part, 0])[0]
-        if good:
+            good = _memo[part] = grammar().accepts("StatementOnly", [*part, 0], mask=15)[0]
+        if good & mask == mask:
             out += kinds[at:start]
             lines += breaks[at:start]
             origin += range(at, start)
@@ -613,17 +651,44 @@ def _reduce(kinds: list[int], breaks: list[bool], spans: list[tuple[int, int]],
     return out, lines, origin
 
 
+def read(text: str, dialect: str, *, all_of_them: bool = False) -> tuple[list[str], int, int | None]:
+    """(dialects that accept ``text``, bits of those that were asked, offset of the first token that no reading in ``dialect`` gets past).
+
+    Asked are all dialects that read the same tokens as ``dialect``, in one pass;
+    once ``dialect`` itself accepts, the others are left undecided unless ``all_of_them`` are wanted.
+    """
+    own = _BIT[dialect]
+    try:
+        kinds, breaks, spans, offsets, alike = lex(text, dialect)
+    except Broken as broken:
+        return [], own, broken.args[0] if broken.args else 0
+    short, lines, origin = _reduce(kinds, breaks, spans, alike)
+    good, furthest = grammar().accepts("Program", short, lines.__getitem__, mask=alike, wanted=alike if all_of_them else own)
+    return [d for d, bit in _BIT.items() if good & bit], alike, None if good & own else offsets[origin[furthest]]
+
+
+def accepted_by(text: str, dialect: str) -> tuple[list[str], int | None]:
+    """(``dialect`` and those found with it, or, if it refuses ``text``, all that accept it; offset as in ``read``)."""
+    good, asked, offset = read(text, dialect)
+    return good if offset is None else good + accepting(text, asked), offset
+
+
+def accepting(text: str, asked: int = 0) -> list[str]:
+    """All dialects that accept ``text``, without those ``asked`` already."""
+    out: list[str] = []
+    for dialect, bit in _BIT.items():
+        if not asked & bit:
+            good, group, _ = read(text, dialect, all_of_them=True)
+            out += [d for d in good if not asked & _BIT[d]]
+            asked |= group
+    return out
+
+
 def parses(text: str, dialect: str) -> bool:
     """Whether ``text`` is a module in ``dialect`` (js, jsx, ts or tsx)."""
-    return error_offset(text, dialect) is None
+    return read(text, dialect)[2] is None
 
 
 def error_offset(text: str, dialect: str) -> int | None:
     """Offset of the first token that no reading of ``text`` gets past; None if it parses."""
-    try:
-        kinds, breaks, spans, offsets = lex(text, dialect)
-    except Broken as broken:
-        return broken.args[0] if broken.args else 0
-    short, lines, origin = _reduce(kinds, breaks, spans, dialect)
-    good, furthest = grammar(dialect).accepts("Program", short, lines.__getitem__)
-    return None if good else offsets[origin[furthest]]
+    return read(text, dialect)[2]

@@ -2,9 +2,11 @@
 
 Every newest text of a file is parsed by a generalised LL recogniser with a
 graph-structured stack (``gll``) in the dialect that the suffix of its path
-promises. A file that this dialect refuses is then read in all other dialects,
-which share one grammar, so that a wrong extension can be told from a broken
-text (``accepted_by``). Nothing is taken from the flag that an older parser left.
+promises, together with all dialects that read the same tokens: they share one
+grammar and one graph-structured stack, whose descriptors carry the dialects they
+hold for. What the promised dialect refuses is also read in those whose tokens
+differ, so that a wrong extension (``accepted_by`` another dialect) can be told
+from a text that every dialect refuses. Nothing is taken from the flag that an older parser left.
 
 Defined results: an empty file parses; a null content gives a null flag and is
 no case; paths with backslashes count like others; rows without a file_id are
@@ -16,34 +18,33 @@ parsed all the same, there is no size limit.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.llm import python_syntax, script_syntax
-from repolith.runtime import cpu_partitions
+from repolith.runtime import cpu_partitions, input_bytes
 
 #: suffix -> (dialect, language)
 DIALECTS = {".py": ("py", "Python"), ".js": ("js", "JavaScript"), ".jsx": ("jsx", "JavaScript"), ".ts": ("ts", "TypeScript"), ".tsx": ("tsx", "TypeScript")}
-_ALL = ("py", "js", "jsx", "ts", "tsx")
 
 
-@lru_cache(maxsize=256)
-def accepts(text: str, dialect: str) -> bool:
-    """Whether ``text`` is derived by the grammar of ``dialect``."""
+def judged(text: str, dialect: str) -> tuple[list[str], int | None]:
+    """(dialects that derive ``text``, line of the error in ``dialect``: 0 where it has no place, None if it parses)."""
     if dialect == "py":
-        return python_syntax.parses(text)
-    return script_syntax.parses(text, dialect)
+        if python_syntax.parses(text):
+            return ["py"], None
+        return script_syntax.accepting(text), 0
+    good, offset = script_syntax.accepted_by(text, dialect)
+    if offset is None:
+        return good, None
+    return good + (["py"] if python_syntax.parses(text) else []), text.count("\n", 0, offset) + 1
 
 
-def error_line(text: str, dialect: str) -> int | None:
-    """Line of the furthest token that no reading gets past (1 for Python, whose lines are checked as wholes)."""
-    if dialect == "py":
-        return None
-    offset = script_syntax.error_offset(text, dialect)
-    return None if offset is None else text.count("\n", 0, offset) + 1
+def accepts(text: str, dialect: str) -> bool:
+    """Whether ``text`` is derived by the grammar of ``dialect``."""
+    return dialect in judged(text, dialect)[0]
 
 
 def latest_files(files: DataFrame) -> DataFrame:
@@ -63,13 +64,10 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         flags, others, lines = [], [], []
         for dialect, text in zip(batch.column("dialect").to_pylist(), batch.column("content").to_pylist()):
-            if text is None:
-                good = None
-            else:
-                good = accepts(text, dialect)
-            flags.append(None if good is None else not good)
-            others.append([d for d in _ALL if d != dialect and accepts(text, d)] if good is False else [])
-            lines.append(error_line(text, dialect) if good is False else None)
+            good, line = judged(text, dialect) if text is not None else ([], None)
+            flags.append(None if text is None else dialect not in good)
+            others.append(good if line is not None else [])
+            lines.append(line or None)
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in ("project_id", "file_id", "relative_path", "dialect")), pa.array(flags, pa.bool_()), pa.array(lines, pa.int32()), pa.array(others, pa.list_(pa.string()))],
             names=["project_id", "file_id", "relative_path", "dialect", "has_syntax_errors", "error_line", "accepted_by"],
@@ -85,7 +83,7 @@ def check_files(files: DataFrame, sources: DataFrame) -> DataFrame:
     wanted = latest_files(files).where(F.col("suffix").isin(list(DIALECTS))).select("project_id", "file_id", "relative_path", dialect[F.col("suffix")].alias("dialect"))
     texts = sources.where("file_id is not null").select(F.col("file_id").cast("long").alias("file_id"), F.col("content").cast("string").alias("content"))
     # Both sides are placed by the join key once, in as many partitions as parsing wants.
-    n = cpu_partitions(files.sparkSession)
+    n = cpu_partitions(files.sparkSession, input_bytes(sources))
     joined = wanted.repartition(n, "file_id").join(texts.repartition(n, "file_id").hint("merge"), "file_id").select("project_id", "file_id", "relative_path", "dialect", "content")
     checked = joined.mapInArrow(_check, _DDL)
     # Repeated rows of a file stand in one partition already; a refusal wins over an acceptance, that over null.

@@ -16,7 +16,7 @@ warnings.simplefilter("ignore")
 
 def test_ambiguous_and_recursive_grammars():
     kinds = {"END": 0, "a": 1, "b": 2}
-    g = Grammar("S~ = 'a' S 'b' | 'a' S |\nT = S END", kinds, frozenset())
+    g = Grammar("S~ = 'a' S 'b' | 'a' S |\nT = S END", kinds, [frozenset()])
     accepts = lambda word: g.accepts("T", [*(kinds[c] for c in word), 0])[0]
     assert accepts("") and accepts("aaabb") and accepts("a" * 60 + "b" * 30) and not accepts("abb") and not accepts("ba")
 
@@ -122,3 +122,21 @@ def test_files_and_rates(spark):
     wrong = syntax_check.check_files(spark.createDataFrame([(1, 9, "x.js", None, 1, 1)], files.schema), spark.createDataFrame([(9, "let a: number = 1")], sources.schema)).first()
     assert wrong.accepted_by == ["ts", "tsx"] and wrong.error_line == 1
     assert syntax_check.check_files(files.limit(0), sources.limit(0)).count() == 0
+
+
+def test_dialects_run_together():
+    kinds = {c: i for i, c in enumerate(["END", "a", "b", "c"])}
+    g = Grammar("S = 'a' T END\nT = @x 'b' | @y 'b' 'c' | 'c' T |", kinds, [frozenset("x"), frozenset("y"), frozenset("xy")])
+    accepts = lambda word, **kw: g.accepts("S", [*(kinds[c] for c in word), 0], mask=7, **kw)[0]
+    assert [accepts(w) for w in ("a", "ab", "abc", "acb", "accbc", "b", "abb")] == [7, 5, 6, 5, 6, 0, 0]
+    for text in ("let a: number = 1", "const x = <T,>(a) => a", "a = b!", "let a = <b/>;", "const f = (a): T => a", "var a = 1", "type A = B", "x = <T>y", "async <T>(x) => x", "var ="):
+        for dialect in script_syntax.DIALECTS:
+            good, asked, _ = script_syntax.read(text, dialect, all_of_them=True)
+            alone = [d for d in script_syntax.DIALECTS if script_syntax.parses(text, d)]
+            assert [d for d in alone if asked & 1 << list(script_syntax.DIALECTS).index(d)] == good, (text, dialect)
+            assert sorted({*good, *script_syntax.accepting(text, asked)}) == sorted(alone), (text, dialect)
+
+
+@pytest.mark.parametrize("text,good", [('x = f"{d["a"]}"', True), ("x = f'{d['a']!r:>{w}}'", True), ('x = f"{"".join(f"{y}" for y in z)}"', True), ('x = f"{a"', False), ('x = f"}"', False), ('x = f"{d["a]}"', False), ('x = f"{{a}}"', True)])
+def test_strings_inside_fields(text, good):
+    assert python_syntax.parses(text + "\n") is good
