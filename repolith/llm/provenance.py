@@ -70,6 +70,7 @@ WORK = re.compile(r"\b(?:def|class|function|func|return|if|for|while|switch|case
 INSERT = re.compile(r"(?is)^\s*(?:insert\s+into\s+[\w.\"`]+\s*(?:\([^()]*\)\s*)?values\s*\(.*\)\s*(?:,\s*\(.*\)\s*)*)$")
 _FOLD_TEXT = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _FOLD_NUMBER = re.compile(r"(?<![A-Za-z])[0-9a-f]{6,}(?![A-Za-z])|(?<=_)[0-9a-f]{6,}|\d+")
+_ANY_DIGIT = re.compile(r"\d")
 _PADDED = re.compile(r"(?<!\d)0\d{2,5}(?!\d)")
 _QUOTED_NAME = re.compile(r"[\"'](\$?[A-Za-z_][\w.\-$]{0,60})[\"']")
 
@@ -177,25 +178,23 @@ def features(path: str, suffix: str, text: str) -> dict:
     package = folder.group("package") if folder else None
     code = [line for line in lines if not COMMENT_LINE.match(line)]
     body = "\n".join(code)
-    literal_chars = literals = 0
-    for m in LITERAL.finditer(body):
-        literals += 1
-        literal_chars += m.end() - m.start()
-    bare = LITERAL.sub(" ", body)
-    distinct = {x for x in NAME.findall(NAMELESS[suffix].sub(" ", text)) if not _DIGEST.fullmatch(x)}
+    bare, literals = LITERAL.subn(" ", body)
+    literal_chars = len(body) - len(bare) + literals
+    distinct = {x for x in NAME.findall(NAMELESS[suffix].sub(" ", text)) if len(x) < 24 or not _DIGEST.fullmatch(x)}
     quoted = set(_QUOTED_NAME.findall(body))
     everything = distinct | quoted
-    templates = Counter(folded(x) for x in everything if any(c.isdigit() for c in x))
+    numbered = [x for x in everything if _ANY_DIGIT.search(x)]
+    templates = Counter(folded("\n".join(numbered)).split("\n")) if numbered else Counter()
     in_series = sum(n for n in templates.values() if n >= 4)
-    padded = sum(1 for x in everything if _PADDED.search(x))
-    shapes = Counter(_FOLD_NUMBER.sub("0", _FOLD_TEXT.sub("S", line)) for line in code)
+    padded = sum(1 for x in numbered if _PADDED.search(x))
+    shapes = Counter(_FOLD_NUMBER.sub("0", _FOLD_TEXT.sub("S", body)).split("\n")) if len(code) >= 8 else Counter()  # fewer lines do not repeat
     # Lines of a shape that at least five others share; brackets alone say nothing.
     repeated = sum(n for s, n in shapes.items() if n > 5 and NAME.search(s))
     weighty = sum(n for s, n in shapes.items() if NAME.search(s) or "S" in s or "0" in s)
     rows = sum(n for s, n in shapes.items() if n > 5 and ("S" in s or "0" in s))
     statements = [s for s in body.split(";") if s.strip()] if suffix == ".sql" else []
     inserts = sum(1 for s in statements if INSERT.match(s))
-    blanks = sum(map(len, re.findall(r"[\s,\[\](){}:;=]+", bare)))
+    blanks = sum(map(bare.count, " \t\r\n,[](){}:;="))
     return {
         "tool": tool,
         "notice": notice,
@@ -217,11 +216,11 @@ def features(path: str, suffix: str, text: str) -> dict:
         "rows": rows / max(1, weighty),
         "literals": literals,
         "literal_share": (literal_chars + min(blanks, literals * 4)) / max(1, len(body)),
-        "work": len(WORK.findall(bare)),
+        "work": int(WORK.search(bare) is not None),
         "only_data": suffix not in (".css", ".sql") and only_data(body),
         "inserts": inserts / len(statements) if statements else 0.0,
-        "snake": sum(1 for x in distinct if _SNAKE.fullmatch(x)),
-        "camel": sum(1 for x in distinct if _CAMEL.fullmatch(x)),
+        "snake": sum(1 for x in distinct if "_" in x and x.islower() and _SNAKE.fullmatch(x)),
+        "camel": sum(1 for x in distinct if x[0].islower() and not x.islower() and _CAMEL.fullmatch(x)),
         "identifiers": "\0".join(sorted(distinct)) + "\0" if distinct else "",
     }
 

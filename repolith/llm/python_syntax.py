@@ -147,6 +147,8 @@ _ASYNC, _AT = KINDS["async"], KINDS["@"]
 MEMO_LINES = 200_000
 _memo: dict[tuple[str, bytes], bool] = {}
 _names: dict[str, int] = {}
+_lines: dict[str, bytes] = {}  # kinds of lines that stand for themselves
+_LINE_END = bytes([KINDS["NEWLINE"]])
 
 
 @lru_cache(maxsize=1)
@@ -353,84 +355,118 @@ def _with_targets(line: bytes, pairs: dict[int, int], a: int, b: int) -> bool:
     return True
 
 
-def lines_of(text: str) -> tuple[list, list[bytes]]:
-    """Layout entries (INDENT / DEDENT kinds as int, lines as index) and the lines' kinds."""
-    layout: list = []
-    lines: list[bytes] = []
-    line = bytearray()
-    indents, alternate, closers = [0], [0], []
+def _kind_of(token: str) -> int:
+    """Kind of a token that is no keyword, operator or name seen before."""
+    c = token[0]
+    if c.isalpha() or c == "_" or c > "\x7f":
+        if token[-1] in "\"'":
+            _check_prefix(token)
+            return _STRING_KIND
+        if token.isidentifier():
+            if len(_names) < MEMO_LINES:
+                _names[token] = _NAME
+            return _NAME
+    elif c in "\"'" and len(token) > 1:
+        return _STRING_KIND
+    elif (c.isdigit() or c == "." and len(token) > 1) and not (c == "0" and _BAD_NUMBER.match(token)):
+        return _NUMBER_KIND
+    raise Broken
+
+
+def _read_line(tokens, closers: list[str]) -> bytearray:
+    """Kinds of ``tokens`` up to the end of the logical line; what is still open is left in ``closers``."""
     fixed, named = _FIXED.get, _names.get
-    pending = _measure(re.match(r"[ \t\f]*", text).group())
-    fresh = True
-    tokens = TOKEN.findall(text)
+    out = bytearray()
     for token in tokens:
-        kind = fixed(token)
-        if kind is None:
-            kind = named(token)
+        kind = fixed(token) or named(token)
         if kind is None:
             if not token:
                 break
-            c = token[0]
-            if c == "\n":
+            if token[0] == "\n":
                 if closers:
                     continue
-                if line:
-                    line.append(_NEWLINE)
-                    layout.append(len(lines))
-                    lines.append(bytes(line))
-                    line = bytearray()
-                pending = _measure(token[1:])
-                fresh = True
-                continue
-            if c == "#":
+                break
+            if token[0] == "#":
                 continue
-            if c.isalpha() or c == "_" or c > "\x7f":
-                if token[-1] in "\"'":
-                    kind = _STRING_KIND
-                    _check_prefix(token)
-                elif token.isidentifier():
-                    kind = _NAME
-                    if len(_names) < MEMO_LINES:
-                        _names[token] = kind
-                else:
-                    raise Broken
-            elif c in "\"'":
-                if len(token) == 1:
-                    raise Broken
-                kind = _STRING_KIND
-            elif c.isdigit() or c == "." and len(token) > 1:
-                kind = _NUMBER_KIND
-                if c == "0" and _BAD_NUMBER.match(token):
-                    raise Broken
-            else:
-                raise Broken
+            kind = _kind_of(token)
         elif token in _OPEN:
             closers.append(_OPEN[token])
         elif token in _CLOSE and (not closers or closers.pop() != token):
             raise Broken
-        if fresh:
-            fresh = False
-            column, alt = pending
-            if column > indents[-1]:
-                if alt <= alternate[-1]:
-                    raise Broken
-                indents.append(column)
-                alternate.append(alt)
-                layout.append(-_INDENT)
+        out.append(kind)
+    return out
+
+
+def _logical_line(text: str, at: int, end: int) -> tuple[bytes, int]:
+    """(kinds, where the next line begins) of the logical line that begins at ``at``, whose first line ends at ``end``."""
+    if text[end - 1] != "\\":
+        line = text[at:end]
+        if '"""' not in line and "'''" not in line:
+            closers: list[str] = []
+            kinds = _read_line(TOKEN.findall(line), closers)
+            if not closers:
+                kinds = bytes(kinds)
+                if len(line) <= 120 and len(_lines) < MEMO_LINES:
+                    _lines[line] = kinds
+                return kinds, end + 1
+    closers, stop = [], [len(text) + 1]
+
+    def tokens() -> Iterator[str]:
+        for m in TOKEN.finditer(text, at):
+            if text[m.start(1) : m.start(1) + 1] == "\n":
+                stop[0] = m.start(1) + 1
             else:
-                while column < indents[-1]:
-                    indents.pop()
-                    alternate.pop()
-                    layout.append(-_DEDENT)
-                if column != indents[-1] or alt != alternate[-1]:
-                    raise Broken
-        line.append(kind)
+                stop[0] = len(text) + 1
+            yield m.group(1)
+
+    kinds = _read_line(tokens(), closers)
     if closers:
         raise Broken
-    if line:
-        line.append(_NEWLINE)
+    return bytes(kinds), stop[0]
+
+
+_BLANKS = re.compile(r"[ \t\f]*")
+
+
+def lines_of(text: str) -> tuple[list, list[bytes]]:
+    """Layout entries (INDENT / DEDENT kinds as int, lines as index) and the lines' kinds."""
+    layout: list = []
+    lines: list[bytes] = []
+    indents, alternate = [0], [0]
+    known = _lines.get
+    at, size = 0, len(text)
+    while at < size:
+        first = _BLANKS.match(text, at).end()
+        end = text.find("\n", first)
+        if end < 0:
+            end = size
+        if end == first:
+            at = end + 1
+            continue
+        blanks = text[at:first]
+        kinds = known(text[first:end])
+        if kinds is None:
+            kinds, at = _logical_line(text, first, end)
+        else:
+            at = end + 1
+        if not kinds:
+            continue
+        column, alt = _measure(blanks)
+        if column > indents[-1]:
+            if alt <= alternate[-1]:
+                raise Broken
+            indents.append(column)
+            alternate.append(alt)
+            layout.append(-_INDENT)
+        elif column != indents[-1] or alt != alternate[-1]:
+            while column < indents[-1]:
+                indents.pop()
+                alternate.pop()
+                layout.append(-_DEDENT)
+            if column != indents[-1] or alt != alternate[-1]:
+                raise Broken
         layout.append(len(lines))
-        lines.append(bytes(line))
+        lines.append(kinds + _LINE_END)
     layout += [-_DEDENT] * (len(indents) - 1)
     return layout, lines
 

@@ -240,6 +240,7 @@ def lex(text: str, dialect: str) -> tuple[list[int], list[bool], list[tuple[int,
         at = text.find("\n", at) if "\n" in text else len(text)
     n = len(text)
     put_kind, put_word, put_break, put_offset = kinds.append, words.append, breaks.append, offsets.append
+    plain, reserved = _PLAIN.get, _WORD_KIND.get
 
     def put(kind: int, word: str, line_break: bool, where: int) -> None:
         put_kind(kind)
@@ -329,15 +330,47 @@ def lex(text: str, dialect: str) -> tuple[list[int], list[bool], list[tuple[int,
                 break
             raise Broken(rest)
         k = m.lastindex
-        where = m.start(k)
-        line_break = where > at and ("\n" in (blank := m.group(1)) or "\r" in blank or " " in blank)
-        at = m.end()
-        token = m.group(k)
+        where, end = m.span(k)
+        line_break = where > at and ("\n" in (blank := text[at:where]) or "\r" in blank or "\u2028" in blank)
+        at = end
+        token = text[where:end]
+        if k == 2:
+            kind = reserved(token)
+            dotted = kinds and words[-1] in (".", "?.")
+            if kind is None:
+                kind = 1
+                operand = True
+                if token not in _SEEN and not _seen(token) and not re.fullmatch(r"(?:[^\\]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})+", token):
+                    raise Broken(where)
+            elif dotted:
+                operand = True
+            else:
+                operand = token not in _BEFORE_OPERAND
+                if token == "class" or token == "enum":
+                    body_next = True
+            if not dotted and token == "interface":
+                alike &= _TYPED if typed else ~_TYPED
+            if not dotted and (token == "interface") and typed:
+                body_next = _word_follows(text, at) or body_next
+            if line_break and words and words[-1] in _NO_LINE_BREAK and not _after_dot(kinds):
+                put(_K[";"], ";", False, where)
+            put_kind(kind)
+            put_word(token)
+            put_break(line_break)
+            put_offset(where)
+            continue
         if operand and k > 4:
             k += 1
         # 2 word, 3 number, 4 string, 5 regular expression, 6 punctuator, 7 template, 8 private name
-        if (k == 6 or k == 5 and token[0] != "/") and (kind := _PLAIN.get(token)) is not None:
+        if (k == 6 or k == 5 and token[0] != "/") and (kind := plain(token)) is not None:
             operand = False
+            put_kind(kind)
+            put_word(token)
+            put_break(line_break)
+            put_offset(where)
+            if line_break and words[-2:-1] and words[-2] in _NO_LINE_BREAK:
+                _break_before(kinds, words, breaks, offsets)
+            continue
         elif k == 6 or k == 5 and token[0] != "/":
             if token == "(":
                 previous = words[-1] if words else ""
@@ -412,31 +445,6 @@ def lex(text: str, dialect: str) -> tuple[list[int], list[bool], list[tuple[int,
                             spans.append((start, len(kinds)))
                     start = len(kinds)
                     continue
-        elif k == 2:
-            kind = _WORD_KIND.get(token)
-            dotted = kinds and words[-1] in (".", "?.")
-            if kind is None:
-                kind = 1
-                operand = True
-                if token not in _SEEN and not _seen(token) and not re.fullmatch(r"(?:[^\\]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})+", token):
-                    raise Broken(where)
-            elif dotted:
-                operand = True
-            else:
-                operand = token not in _BEFORE_OPERAND
-                if token == "class" or token == "enum":
-                    body_next = True
-            if not dotted and token == "interface":
-                alike &= _TYPED if typed else ~_TYPED
-            if not dotted and (token == "interface") and typed:
-                body_next = _word_follows(text, at) or body_next
-            if line_break and words and words[-1] in _NO_LINE_BREAK and not _after_dot(kinds):
-                put(_K[";"], ";", False, where)
-            put_kind(kind)
-            put_word(token)
-            put_break(line_break)
-            put_offset(where)
-            continue
         elif k == 7:
             m = _TEMPLATE.match(text, at)
             if m is None:
@@ -473,6 +481,16 @@ def _as_markup(text: str, at: int, dialect: str) -> int:
     return _MARKUP if dialect.endswith("x") else ~_MARKUP
 
 
+def _break_before(kinds: list[int], words: list[str], breaks: list[bool], offsets: list[int]) -> None:
+    """Ends the statement before the last token, which stands behind a line end that ``return`` and its like do not reach over."""
+    if len(kinds) > 2 and kinds[-3] in (_K["."], _K["?."]):
+        return
+    kinds.insert(-1, _K[";"])
+    words.insert(-1, ";")
+    breaks.insert(-1, False)
+    offsets.insert(-1, offsets[-1])
+
+
 _SEEN: set[str] = set()  # names without escapes, up to a bound
 
 
