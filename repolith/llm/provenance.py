@@ -60,15 +60,15 @@ SOURCE_MAP = re.compile(r"(?m)^\s*(?://|/\*)[#@] sourceMappingURL=")
 
 COMMENT_LINE = re.compile(r"^\s*(?://|#(?!\w*[{;])|--|/\*|\*|<!--|\"\"\"|''')")
 NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
-LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<![\w$.])[+\-]?(?:0x[0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][+\-]?\d+)?)")
-_TRIPLE = r"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''"
+LITERAL = re.compile(r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`|(?<![\w$.])[+\-]?(?:0x[0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][+\-]?\d+)?)")
+_TRIPLE = r"\"\"\"(?:[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]++|\\.|'(?!''))*+'''"
 _REMARK = {".py": r"\#[^\n]*", ".sql": r"--[^\n]*|/\*(?s:.*?)\*/", ".css": r"/\*(?s:.*?)\*/"}
 #: What holds no names of the program: literals (also those of many lines) and comments, by suffix.
 NAMELESS = {suffix: re.compile("|".join([*([_TRIPLE] if suffix == ".py" else []), _REMARK.get(suffix, r"//[^\n]*|/\*(?s:.*?)\*/"), LITERAL.pattern])) for suffix in SUFFIXES}
 _DIGEST = re.compile(r"(?=\w*\d)[0-9a-f]{24,}")
 WORK = re.compile(r"\b(?:def|class|function|func|return|if|for|while|switch|case|try|import\s+\w+\s+from|select|create|update|delete|alter|throw|raise|new|interface|public|void)\b|=>", re.I)
 INSERT = re.compile(r"(?is)^\s*(?:insert\s+into\s+[\w.\"`]+\s*(?:\([^()]*\)\s*)?values\s*\(.*\)\s*(?:,\s*\(.*\)\s*)*)$")
-_FOLD_TEXT = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
+_FOLD_TEXT = re.compile(r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'")
 _FOLD_NUMBER = re.compile(r"(?<![A-Za-z])[0-9a-f]{6,}(?![A-Za-z])|(?<=_)[0-9a-f]{6,}|\d+")
 _ANY_DIGIT = re.compile(r"\d")
 _PADDED = re.compile(r"(?<!\d)0\d{2,5}(?!\d)")

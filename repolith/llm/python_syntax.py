@@ -120,7 +120,7 @@ HeadDecorator = '@' Named NEWLINE END
 Field = Value END
 """
 
-_STRING = r"""(?:[rRbBuUfFtT]{0,2}(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'))"""
+_STRING = r"""(?:[rRbBuUfFtT]{0,2}(?:\"\"\"(?:[^\"\\]++|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''|\"(?:[^\"\\\n]++|\\[\s\S])*+\"|'(?:[^'\\\n]++|\\[\s\S])*+'))"""
 _NUMBER = r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+\-]?\d(?:_?\d)*)?[jJ]?)"
 # A replacement field may hold strings with the quotes of the formatted string around it, and fields of its own.
 _INNER = r"""\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"""
@@ -129,7 +129,7 @@ for _ in range(4):
     _FIELD = rf"\{{(?!\{{)(?:[^{{}}\"'\n]|{_INNER}|{_FIELD})*\}}"
 _FORMATTED = rf"""(?:[fFtT][rR]?|[rR][fFtT])(?:\"(?!\"\")(?>[^\"\\\n{{}}]|\\[\s\S]|\{{\{{|\}}\}}|{_FIELD})*\"|'(?!'')(?>[^'\\\n{{}}]|\\[\s\S]|\{{\{{|\}}\}}|{_FIELD})*')"""
 TOKEN = re.compile(
-    rf"(?:[ \t\f]|\\\n)*(\n[ \t\f]*|#[^\n]*|{_FORMATTED}|{_STRING}|[^\W\d]\w*|{_NUMBER}|\.\.\.|\*\*=|//=|>>=|<<=|->|:=|[+\-*/%@&|^=<>!]=|\*\*|//|<<|>>|[()\[\]{{}},:.;@=+\-*/%|&^~<>]|\Z|[\s\S])"
+    rf"(?:[ \t\f]++|\\\n)*+(\n[ \t\f]*|#[^\n]*|{_FORMATTED}|{_STRING}|[^\W\d]\w*|{_NUMBER}|\.\.\.|\*\*=|//=|>>=|<<=|->|:=|[+\-*/%@&|^=<>!]=|\*\*|//|<<|>>|[()\[\]{{}},:.;@=+\-*/%|&^~<>]|\Z|[\s\S])"
 )
 _BAD_NUMBER = re.compile(r"0\d*[1-9]\d*$|0_?\d*[1-9][\d_]*$")
 _AFTER_NUMBER = re.compile(r"and|else|for|if|in|is|or|not")

@@ -180,15 +180,15 @@ DIALECTS = {"js": frozenset(), "jsx": frozenset({"jsx"}), "ts": frozenset({"ts"}
 _BIT = {d: 1 << i for i, d in enumerate(DIALECTS)}
 _MARKUP, _TYPED = _BIT["jsx"] | _BIT["tsx"], _BIT["ts"] | _BIT["tsx"]
 
-_BLANK = r"(?:\s|﻿|//[^\n\r  ]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)*"
-_IDENT = r"(?:[A-Za-z_$]|[^\x00-\x7f]|\\u)(?:[A-Za-z0-9_$]|[^\x00-\x7f\s]|\\u)*"
+_BLANK = r"(?:[\s﻿]++|//[^\n\r  ]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)*"
+_IDENT = r"(?:[A-Za-z_$]|[^\x00-\x7f]|\\u)(?:[A-Za-z0-9_$]++|[^\x00-\x7f\s]|\\u)*+"
 _NUM = r"(?:0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:(?:0|[1-9][0-9_]*)n(?![\w.])|(?:(?:0|[1-9][0-9_]*)(?:\.[0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+\-]?[0-9_]+)?))(?![A-Za-z0-9_$])"
-_STR = r"(?:\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')"
+_STR = r"(?:\"(?:[^\"\\\n\r]++|\\(?:\r\n|[\s\S]))*+\"|'(?:[^'\\\n\r]++|\\(?:\r\n|[\s\S]))*+')"
 _PUNCT = r"(?:\.\.\.|=>|===|!==|\*\*=|<<=|>>>=|>>=|&&=|\|\|=|\?\?=|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\*\*|<<|[{}()\[\];,<>+\-*/%&|^!~?:=.@])"
-_REGEX = r"(?:/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*)"
-OPERATOR_NEXT = re.compile(rf"({_BLANK})(?:({_IDENT})|({_NUM})|({_STR})|({_PUNCT})|(`)|(#{_IDENT}))")
-OPERAND_NEXT = re.compile(rf"({_BLANK})(?:({_IDENT})|({_NUM})|({_STR})|({_REGEX})|({_PUNCT})|(`)|(#{_IDENT}))")
-_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
+_REGEX = r"(?:/(?![*/])(?:[^/\\\[\n\r]++|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*)"
+OPERATOR_NEXT = re.compile(rf"({_BLANK})(?:({_IDENT})|([{{}}()\[\];,:~@])|({_NUM})|({_STR})|({_PUNCT})|(`)|(#{_IDENT}))")
+OPERAND_NEXT = re.compile(rf"({_BLANK})(?:({_IDENT})|([{{}}()\[\];,:~@])|({_NUM})|({_STR})|({_REGEX})|({_PUNCT})|(`)|(#{_IDENT}))")
+_TEMPLATE = re.compile(r"(?:[^`\\$]++|\\[\s\S]|\$(?!\{))*(`|\$\{)")
 _TAG = re.compile(rf"{_BLANK}(?:([A-Za-z_$][\w$.\-:]*)|(=)|(\"[^\"]*\"|'[^']*')|(/\s*>)|(>)|(\{{)|(<))")
 _TEXT = re.compile(r"[^<>{}]+")
 _GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\s|=(?!=))")
@@ -359,8 +359,10 @@ def lex(text: str, dialect: str) -> tuple[list[int], list[bool], list[tuple[int,
             put_break(line_break)
             put_offset(where)
             continue
-        if operand and k > 4:
-            k += 1
+        if k == 3:  # a punctuator that begins no longer one
+            k = 6
+        elif not operand or k < 6:
+            k -= 1
         # 2 word, 3 number, 4 string, 5 regular expression, 6 punctuator, 7 template, 8 private name
         if (k == 6 or k == 5 and token[0] != "/") and (kind := plain(token)) is not None:
             operand = False
