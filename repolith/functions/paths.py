@@ -31,11 +31,11 @@ def stem_path(path: Column) -> Column:
 
 
 def normalised(path: Column) -> Column:
-    """``a/./b/../c`` -> ``a/c``, for the few steps that import targets have (up to eight ``..``)."""
-    path = F.regexp_replace(F.regexp_replace(path, r"/(?:\./)+", "/"), r"^(?:\./)+", "")
-    for _ in range(8):
-        path = F.regexp_replace(path, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return path
+    """``a/./b/../c`` -> ``a/c``; ``..`` above the start stay."""
+    steps = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    up = lambda done: (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("..")) != "..")
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda done, p: F.when((p == "..") & up(done), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p))))
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(walked, "/"))
 
 
 def package_root(target: Column) -> Column:

@@ -5,6 +5,7 @@ Edges are (graph_id, src, dst, line); one table holds the graphs of all projects
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,47 +29,81 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def components_of(pairs: list[tuple]) -> list[list]:
-    """Strongly connected components with more than one node or a self-loop; no recursion."""
-    follow: dict = {}
-    for a, b in pairs:
-        follow.setdefault(a, []).append(b)
-        follow.setdefault(b, [])
-    order: dict = {}
-    low: dict = {}
-    on, stack, out = set(), [], []
-    for root in follow:
-        if root in order:
+    """Cycles of one graph: sets of nodes that reach each other, and single nodes with an edge to themselves.
+
+    Forward and backward reach over arrays: nodes without a way in or out are trimmed,
+    the first node left is taken, and what it reaches and is reached by is its
+    component; what remains falls into three parts that share no component.
+    """
+    names = sorted({n for pair in pairs for n in pair})
+    number = {n: i for i, n in enumerate(names)}
+    ends = np.array([(number[a], number[b]) for a, b in pairs], np.int64).reshape(-1, 2)
+    loops = set(ends[ends[:, 0] == ends[:, 1], 0].tolist())
+    ends = np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0)
+    n = len(names)
+    heads, tails = _neighbours(ends, n), _neighbours(ends[:, ::-1], n)
+    part = np.zeros(n, np.int64)  # nodes of one part may still be in one component; -1 is done
+    fresh, found, parts = 1, [], [np.arange(n)]
+    while parts:
+        inside = _trimmed(parts.pop(), part, heads, tails)
+        if not len(inside):
+            continue
+        label = part[inside[0]]
+        ahead, back = (_reach(int(inside[0]), label, part, step) for step in (heads, tails))
+        mutual = np.intersect1d(ahead, back)
+        if len(mutual) > 1:
+            found.append(mutual.tolist())
+        part[inside] = -1
+        for rest in (np.setdiff1d(ahead, mutual), np.setdiff1d(back, mutual), np.setdiff1d(inside, np.union1d(ahead, back))):
+            if len(rest):
+                part[rest] = fresh
+                fresh += 1
+                parts.append(rest)
+    joined = {i for group in found for i in group}
+    found += [[i] for i in sorted(loops - joined)]
+    return [[names[i] for i in sorted(group)] for group in found]
+
+
+def _neighbours(ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where the followers of each node begin, all followers)."""
+    order = np.argsort(ends[:, 0], kind="stable")
+    return np.searchsorted(ends[order, 0], np.arange(n + 1)), ends[order, 1]
+
+
+def _trimmed(nodes: np.ndarray, part: np.ndarray, heads: tuple, tails: tuple) -> np.ndarray:
+    """``nodes`` without those that nothing in their part leads to, or that lead to nothing in it."""
+    label = part[nodes[0]]
+    pending = list(nodes.tolist())
+    counts = {}
+    for side, (starts, others) in enumerate((heads, tails)):
+        for v in pending:
+            counts[v, side] = int((part[others[starts[v] : starts[v + 1]]] == label).sum())
+    pending = [v for v in pending if not counts[v, 0] or not counts[v, 1]]
+    while pending:
+        v = pending.pop()
+        if part[v] != label:
             continue
-        work = [(root, iter(follow[root]))]
-        order[root] = low[root] = len(order)
-        stack.append(root)
-        on.add(root)
-        while work:
-            node, rest = work[-1]
-            for nxt in rest:
-                if nxt not in order:
-                    order[nxt] = low[nxt] = len(order)
-                    stack.append(nxt)
-                    on.add(nxt)
-                    work.append((nxt, iter(follow[nxt])))
-                    break
-                if nxt in on:
-                    low[node] = min(low[node], order[nxt])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == order[node]:
-                    group = []
-                    while True:
-                        member = stack.pop()
-                        on.discard(member)
-                        group.append(member)
-                        if member == node:
-                            break
-                    if len(group) > 1 or node in follow[node]:
-                        out.append(sorted(group))
-    return out
+        part[v] = -1
+        for side, (starts, others) in ((1, heads), (0, tails)):  # who follows v loses a way in, who leads to v a way out
+            for w in others[starts[v] : starts[v + 1]].tolist():
+                if part[w] == label:
+                    counts[w, side] -= 1
+                    if not counts[w, side]:
+                        pending.append(w)
+    return nodes[part[nodes] == label]
+
+
+def _reach(start: int, label: int, part: np.ndarray, step: tuple) -> np.ndarray:
+    """Everything of the part that is reached from ``start``."""
+    starts, others = step
+    seen, work = {start}, [start]
+    while work:
+        v = work.pop()
+        for w in others[starts[v] : starts[v + 1]].tolist():
+            if w not in seen and part[w] == label:
+                seen.add(w)
+                work.append(w)
+    return np.array(sorted(seen), np.int64)
 
 
 def _grouped(edges: DataFrame) -> DataFrame:
@@ -159,9 +194,16 @@ def ranking(edges: DataFrame, components: DataFrame) -> DataFrame:
     return degrees(edges).join(inside, ["graph_id", "node"], "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False))).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
 
-def two_hops(edges: DataFrame) -> DataFrame:
-    """graph_id, node, caller: callers of callers, without direct callers and the node itself."""
+def two_hops(edges: DataFrame, *, salts: int = 16) -> DataFrame:
+    """graph_id, node, caller: callers of callers, without direct callers and the node itself.
+
+    A hub in the middle pairs all its callers with all it calls; its callers are
+    dealt out to ``salts`` parts, each of which meets a copy of what it calls, so
+    that no task gets the pairs of a whole hub.
+    """
     once = edges.select("graph_id", "src", "dst").where("src <> dst").distinct()
     direct = once.select("graph_id", F.col("dst").alias("node"), F.col("src").alias("via"))
-    far = direct.join(once.select("graph_id", F.col("dst").alias("via"), F.col("src").alias("caller")), ["graph_id", "via"]).where("caller <> node")
+    callers = once.select("graph_id", F.col("dst").alias("via"), F.col("src").alias("caller"), F.pmod(F.xxhash64("src"), F.lit(salts)).alias("salt"))
+    copies = direct.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    far = copies.join(callers, ["graph_id", "via", "salt"]).where("caller <> node")
     return far.select("graph_id", "node", "caller").distinct().join(direct.withColumnRenamed("via", "caller"), ["graph_id", "node", "caller"], "left_anti")

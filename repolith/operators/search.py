@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repolith.functions.scalars import bm25, code_scope, code_tokens, dot, unit_vector
-from repolith.runtime import materialise
+from repolith.runtime import TASK_BYTES, cpu_partitions, input_bytes, shared_folder
 
 CHUNK_LINES, CHUNK_STEP, CONTAINER_LINES, CHUNK_CHARS = 80, 68, 40, 16_000
 TEST_WORDS = ["test", "tests", "spec", "coverage", "测试", "用例", "覆盖率"]
@@ -51,23 +53,50 @@ def postings(passages: DataFrame) -> DataFrame:
     return flat.groupBy("project_id", "chunk_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def search(passages: DataFrame, query: str, *, test_focused: bool | None = None) -> DataFrame:
-    """BM25 over passages (project_id, chunk_id, path, symbol_name, text): every hit with its boosted score.
+#: Terms whose hash falls together share a folder of the index.
+INDEX_BUCKETS = 64
+
 
-    Corpus statistics are per project and over all of its passages. Only rows of
-    query terms leave the token step; documents without any of them score 0 and
-    do not appear.
+def build_index(passages: DataFrame) -> str:
+    """Writes the postings and lengths of passages (project_id, chunk_id, path, symbol_name, text) once; the folder they are in.
+
+    Postings stand in ``INDEX_BUCKETS`` folders by term hash and sorted by term, so that a
+    question reads the folders of its terms and there, by the statistics of the
+    files, little more than their rows. A term that stands in a third of all
+    passages is dealt out over the files of its folder by its chunks.
     """
     spark = passages.sparkSession
+    tokens = passages.select("project_id", "chunk_id", "path", "symbol_name", F.array_sort(code_tokens(F.col("text"))).alias("t"))
+    # Equal terms of a row are counted inside the row: its sorted tokens end where the next one differs.
+    last = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == F.size("t")) | (F.get("t", i - 1) != F.get("t", i)))
+    ended = tokens.withColumn("ends", F.when(F.size("t") > 0, last).otherwise(F.array().cast("array<int>")))
+    counted = F.transform("ends", lambda e, k: F.struct(F.get("t", e - 1).alias("term"), (e - F.coalesce(F.get("ends", k - 1), F.lit(0))).alias("tf")))
+    folder = f"{shared_folder(spark)}/index/{uuid.uuid4().hex}"
+    sized = ended.select("project_id", "chunk_id", "path", "symbol_name", F.size("t").alias("doc_len"), counted.alias("terms"))
+    sized.write.parquet(f"{folder}/passages")
+    flat = spark.read.parquet(f"{folder}/passages").select("project_id", "chunk_id", "path", "symbol_name", "doc_len", F.explode("terms").alias("x")).select("project_id", "chunk_id", "path", "symbol_name", "doc_len", "x.term", "x.tf")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int")
+    placed = flat.withColumn("bucket", bucket)
+    placed = placed.repartition(cpu_partitions(spark, input_bytes(placed)), "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, input_bytes(placed) // TASK_BYTES))))
+    placed.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    return folder
+
+
+def search(index: str | DataFrame, query: str, *, spark: SparkSession | None = None, test_focused: bool | None = None) -> DataFrame:
+    """BM25 over an index (a folder of ``build_index``, or passages that are indexed first): every hit with its boosted score.
+
+    Corpus statistics are per project and over all of its passages. Only postings
+    of the query's terms are read; documents without any of them score 0 and do
+    not appear.
+    """
+    if isinstance(index, DataFrame):
+        spark, index = index.sparkSession, build_index(index)
     terms = [r.t for r in spark.range(1).select(F.explode(F.array_distinct(code_tokens(F.lit(query)))).alias("t")).collect()]  # of one query
     wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    tokens = passages.select("project_id", "chunk_id", "path", "symbol_name", code_tokens(F.col("text")).alias("tokens"))
-    hit = F.filter("tokens", lambda t: F.array_contains(wanted, t))
-    # Texts are tokenised once; what is kept of a passage is its length and its query terms.
-    sized = materialise(tokens.select("project_id", "chunk_id", "path", "symbol_name", F.size("tokens").alias("doc_len"), hit.alias("t")))
-    corpus = sized.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    hits = sized.where(F.size("t") > 0)
-    counted = hits.select("*", F.explode("t").alias("term")).groupBy("project_id", "chunk_id", "path", "symbol_name", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    buckets = [r.b for r in spark.range(1).select(F.explode(wanted).alias("t")).select(F.pmod(F.xxhash64("t"), F.lit(INDEX_BUCKETS)).cast("int").alias("b")).distinct().collect()]
+    corpus = spark.read.parquet(f"{index}/passages").groupBy("project_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    postings_schema = "project_id bigint, chunk_id bigint, path string, symbol_name string, doc_len int, term string, tf int, bucket int"
+    counted = spark.read.schema(postings_schema).parquet(f"{index}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket")
     frequency = counted.groupBy("project_id", "term").agg(F.count(F.lit(1)).alias("df"))
     scored = counted.join(frequency, ["project_id", "term"]).join(corpus, "project_id")
     score = bm25(F.col("tf"), F.col("doc_len"), F.col("avg_len"), F.col("n_docs"), F.col("df"))

@@ -252,7 +252,11 @@ def qa05(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", start.cast("long").alias("first_line"), F.md5(F.array_join(F.slice("l", start, F.lit(24)), "\n")).alias("digest"))
 
 
-_IMPORTANT = {"readme.md": 0, "readme": 0, "package.json": 1, "pyproject.toml": 2, "docker-compose.yml": 3, "docker-compose.yaml": 3, "compose.yml": 3, "makefile": 4, "requirements.txt": 5, "index.ts": 6, "tank.env": 6, ".env": 7}
+# Files that describe a project, most telling first.
+_IMPORTANT = {
+    "readme.md": 0, "readme": 0, "package.json": 1, "pyproject.toml": 2, "docker-compose.yml": 3, "docker-compose.yaml": 3, "compose.yml": 3, "compose.yaml": 3,
+    "makefile": 4, "requirements.txt": 5, "vite.config.ts": 6, "vite.config.js": 6,
+}
 
 
 @register("qa06_important_files", with_views("f", f"""

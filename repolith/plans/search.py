@@ -32,6 +32,17 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("project_id", "chunk_id", "path", "symbol_name", "content", F.concat(meta, F.lit("\n"), F.col("content")).alias("text"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}  # (application, input) -> folder of the index
+
+
+def index_of(spark: SparkSession, d: str) -> str:
+    """The index of the passages of ``d``, built by the first question of an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = R.build_index(passages(spark, d))
+    return _INDEXES[key]
+
+
 @register("fn01_tokens", with_views("c", f"""
 WITH t AS (SELECT chunk_id, {_TOKENS.format(text='content')} AS t FROM c WHERE content IS NOT NULL)
 SELECT chunk_id, CAST(len(t) AS BIGINT) AS tokens, md5(array_to_string(t, ' ')) AS digest FROM t"""))
@@ -61,15 +72,15 @@ def txt02(spark: SparkSession, d: str) -> DataFrame:
 @register("txt04_postings", with_views("c fs", f"""
 WITH {_META}, {_SIZED} SELECT term, CAST(count(*) AS BIGINT) AS occurrences, count(DISTINCT chunk_id) AS chunks FROM (SELECT chunk_id, unnest(tokens) AS term FROM sized) GROUP BY term"""))
 def txt04(spark: SparkSession, d: str) -> DataFrame:
-    p = R.postings(passages(spark, d))
+    p = spark.read.parquet(f"{index_of(spark, d)}/postings")
     return p.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("chunks"))
 
 
 @register("agg12_corpus_statistics", with_views("c fs", f"""
 WITH {_META}, {_SIZED} SELECT project_id, count(*) AS documents, round(avg(len(tokens)), 4) AS avg_length FROM sized GROUP BY project_id"""))
 def agg12(spark: SparkSession, d: str) -> DataFrame:
-    sized = passages(spark, d).select("project_id", F.size(S.code_tokens(F.col("text"))).alias("n"))
-    return sized.groupBy("project_id").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("n"), 4).alias("avg_length"))
+    sized = spark.read.parquet(f"{index_of(spark, d)}/passages")
+    return sized.groupBy("project_id").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("doc_len"), 4).alias("avg_length"))
 
 
 _BM25 = f"""{_META}, {_SIZED}, q AS (SELECT DISTINCT unnest({_TOKENS.format(text=f"'{_QUERY}'")}) AS term), corpus AS (SELECT project_id, count(*) AS n, avg(len(tokens)) AS avgl FROM sized GROUP BY 1),
@@ -83,14 +94,14 @@ r AS (SELECT *, bm25 * CASE scope WHEN 'generated' THEN 0.15 WHEN 'test' THEN 0.
 @register("txt05_bm25_search", with_views("c fs", f"""
 WITH {_BM25} SELECT project_id, chunk_id, round(CASE WHEN named THEN boosted * 1.15 + 0.35 ELSE boosted END, 4) AS score FROM r"""))
 def txt05(spark: SparkSession, d: str) -> DataFrame:
-    return R.search(passages(spark, d), _QUERY).select("project_id", "chunk_id", "score")
+    return R.search(index_of(spark, d), _QUERY, spark=spark).select("project_id", "chunk_id", "score")
 
 
 @register("srt06_search_page", with_views("c fs", f"""
 WITH {_BM25}, k AS (SELECT chunk_id, path, round(CASE WHEN named THEN boosted * 1.15 + 0.35 ELSE boosted END, 4) AS score FROM r)
 SELECT chunk_id, score FROM k ORDER BY score DESC, path, chunk_id LIMIT 10"""))
 def srt06(spark: SparkSession, d: str) -> DataFrame:
-    hits = R.search(passages(spark, d), _QUERY)
+    hits = R.search(index_of(spark, d), _QUERY, spark=spark)
     return hits.orderBy(F.col("score").desc(), "path", "chunk_id").limit(10).select("chunk_id", "score")
 
 
@@ -185,7 +196,7 @@ p AS (SELECT chunk_id AS item, rn FROM k2 WHERE rn <= 64 UNION ALL SELECT vec_id
 SELECT item, round(sum(1.0 / (60 + rn)), 6) AS fused FROM p GROUP BY item"""))
 def fus01(spark: SparkSession, d: str) -> DataFrame:
     v = T.vectors(spark, d)
-    lexical = R.search(passages(spark, d), _QUERY).orderBy(F.col("score").desc(), "path", "chunk_id").limit(64)
+    lexical = R.search(index_of(spark, d), _QUERY, spark=spark).orderBy(F.col("score").desc(), "path", "chunk_id").limit(64)
     lexical = lexical.select(F.lit("lexical").alias("pool"), F.col("chunk_id").alias("item"), F.struct((-F.col("score")).alias("a"), F.col("path").alias("b"), F.col("chunk_id").alias("c")).alias("position"))
     dense = R.cosine_hits(v, v.where("vec_id = 0"), least=-2.0).withColumn("cosine", F.round("cosine", 5)).orderBy(F.col("cosine").desc(), "vec_id").limit(64)
     dense = dense.select(F.lit("dense").alias("pool"), F.col("vec_id").alias("item"), F.struct((-F.col("cosine")).alias("a"), F.lit("").alias("b"), F.col("vec_id").alias("c")).alias("position"))

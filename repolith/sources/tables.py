@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repolith.functions.paths import suffix, unix_path
-from repolith.runtime import cpu_partitions, read_table
+from repolith.functions.paths import parent, stem_path, suffix, unix_path
+from repolith.runtime import cpu_partitions, input_bytes, read_table
 
 
 def newest(df: DataFrame, key: list[str], *order) -> DataFrame:
@@ -36,13 +36,15 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = read_table(spark, sf_dir, "chunks")
     columns = ["project_id", "chunk_id", "file_id", "symbol_name", "kind", "start_line", "end_line", "content"]
-    placed = raw.select(*columns).repartition(cpu_partitions(spark), "chunk_id")  # texts are tokenised next: not to be coalesced by bytes
+    placed = raw.select(*columns).repartition(cpu_partitions(spark, input_bytes(raw)), "chunk_id")  # texts are tokenised next: not to be coalesced by bytes
     return newest(placed, ["chunk_id"], *[F.col(c).asc_nulls_last() for c in columns[2:]])
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols as the index has them: one row per chunk of a named kind."""
-    rows = chunks(spark, sf_dir).where("symbol_name is not null and kind in ('class', 'interface', 'function', 'method')")
+    # Rows that differ in their text only are one symbol: the texts are not read.
+    raw = read_table(spark, sf_dir, "chunks").select("project_id", "chunk_id", "file_id", "symbol_name", "kind", "start_line", "end_line")
+    rows = newest(raw, ["chunk_id"], *[F.col(c).asc_nulls_last() for c in raw.columns[2:]]).where("symbol_name is not null and kind in ('class', 'interface', 'function', 'method')")
     name = F.element_at(F.split("symbol_name", r"\."), -1)
     return rows.select("project_id", F.col("chunk_id").alias("symbol_id"), "file_id", name.alias("name"), F.col("symbol_name").alias("qualified_name"), "kind", "start_line", "end_line")
 
@@ -75,6 +77,32 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("project_id", "file_id", "source_path", "suffix", target.alias("target_module"), (F.col("n") + 1).alias("line_number")).where("target_module <> ''")
 
 
+def path_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import statements that follow from where files stand, in the form of ``imports``.
+
+    Every code file imports the first file of its folder (that one the last file of
+    its folder and the first one of the folder above) and the first file of its
+    project: trees, hubs and small cycles whose targets exist. Names are written as
+    each language has them, absolute for even file ids and for the file of the
+    project, relative for the others.
+    """
+    code = files(spark, sf_dir).where(F.col("suffix").isin(".py", ".js", ".jsx", ".ts", ".tsx"))
+    code = code.select("project_id", "file_id", F.col("path").alias("source_path"), "suffix", (F.col("suffix") == ".py").alias("py"), parent(F.col("path")).alias("dir"))
+    ends = code.groupBy("project_id", "py", "dir").agg(F.min("source_path").alias("first"), F.max("source_path").alias("last"))
+    placed = code.join(ends, ["project_id", "py", "dir"])
+    own = placed.select("*", F.when(F.col("source_path") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("target"), F.when(F.col("source_path") == F.col("first"), 2).otherwise(1).alias("line_number"))
+    above = ends.select("project_id", "py", F.col("dir").alias("up"), F.col("first").alias("target"))
+    outer = placed.where("source_path = first and dir <> ''").withColumn("up", parent(F.col("dir"))).join(above, ["project_id", "py", "up"]).withColumn("line_number", F.lit(3))
+    roots = code.groupBy("project_id", "py").agg(F.min("source_path").alias("target"))
+    common = placed.join(roots, ["project_id", "py"]).withColumn("line_number", F.lit(4))
+    stem = stem_path(F.col("target"))
+    name, absolute = F.element_at(F.split(stem, "/"), -1), (F.col("file_id") % 2 == 0) | (F.col("line_number") == 4)
+    dots = F.when(F.col("line_number") == 3, "..").otherwise(".")
+    written = F.when(F.col("py"), F.when(absolute, F.replace(stem, F.lit("/"), F.lit("."))).otherwise(F.concat(dots, name))).otherwise(F.when(absolute, F.concat(F.lit("/"), stem)).otherwise(F.concat(dots, F.lit("/"), name)))
+    rows = own.unionByName(common).where("source_path <> target").unionByName(outer.drop("up"))
+    return rows.select("project_id", "file_id", "source_path", "suffix", written.alias("target_module"), "line_number")
+
+
 _CYCLES = "struct<dependency:struct<cycles:array<struct<key:string,paths:array<string>>>>>"
 
 
