@@ -42,6 +42,11 @@ def list_directory(files: DataFrame, directory: Column | str = "") -> DataFrame:
     return folders.withColumn("is_dir", F.lit(True)).unionByName(leaves.withColumn("is_dir", F.lit(False)), allowMissingColumns=True)
 
 
+def tree_directory(given: Column) -> Column:
+    """A directory as it is looked up: slashes turned, none at the ends; null if a step of it is ``.`` or ``..``."""
+    steps = F.filter(F.split(F.replace(F.trim(given), F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
+    return F.when(~F.exists(steps, lambda p: p.isin(".", "..")), F.array_join(steps, "/"))
+
 
 def python_module_index(files: DataFrame) -> DataFrame:
     """alias -> file per project; a leading source folder may be left out, ambiguous aliases are dropped."""

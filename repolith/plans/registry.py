@@ -17,7 +17,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 #: Modules that register queries, in the order in which they are listed.
-MODULES = ("problems", "structure", "search", "graph", "history", "relations", "imports")
+MODULES = ("problems", "structure", "search", "graph", "history", "relations", "imports", "indexing")
 
 
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
