@@ -6,18 +6,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The terms that speak for an intent (weight 1), those that speak strongly for it (3), and the words a query is widened by.
-INTENTS = {
-    "startup": ("启动 运行 部署 start run serve install", ["如何启动", "怎么启动", "怎样运行", "how to start", "how to run"]),
-    "auth": ("登录 鉴权 认证 权限 login signin auth token session", ["登录功能", "鉴权流程", "认证流程", "login flow", "authentication"]),
-    "database": ("哪张表 数据库 数据表 持久化 table database sql model", ["哪张表", "数据表", "表名", "database table", "which table", "sql"]),
-    "impact": ("影响 修改 调用者 依赖 impact change caller reference", ["会影响", "影响什么", "修改", "调用者", "impact", "caller"]),
-    "api": ("接口 路由 端点 api route endpoint controller", ["接口在哪里", "路由在哪里", "which endpoint", "api route"]),
-    "config": ("配置 环境变量 密钥 端口 config environment env setting port", ["如何配置", "环境变量", "配置文件", "configuration file"]),
-    "test": ("测试 用例 覆盖率 test spec coverage", ["相关测试", "测试用例", "test case", "test coverage"]),
-    "error": ("报错 异常 错误 失败 error exception failed failure", ["为什么报错", "异常在哪里", "错误处理", "why does it fail"]),
-    "location": ("", []),
+# The terms that speak for an intent (weight 1).
+INTENT_TERMS = {
+    "startup": ["启动", "运行", "部署", "start", "run", "serve", "install"],
+    "auth": ["登录", "鉴权", "认证", "权限", "login", "signin", "auth", "token", "session"],
+    "database": ["哪张表", "数据库", "数据表", "持久化", "table", "database", "sql", "model"],
+    "impact": ["影响", "修改", "调用者", "依赖", "impact", "change", "caller", "reference"],
+    "api": ["接口", "路由", "端点", "api", "route", "endpoint", "controller"],
+    "config": ["配置", "环境变量", "密钥", "端口", "config", "environment", "env", "setting", "port"],
+    "test": ["测试", "用例", "覆盖率", "test", "spec", "coverage"],
+    "error": ["报错", "异常", "错误", "失败", "error", "exception", "failed", "failure"],
+    "location": [],
 }
+# The terms that speak strongly for an intent (weight 3).
+STRONG_TERMS = {
+    "startup": ["如何启动", "怎么启动", "怎样运行", "how to start", "how to run"],
+    "auth": ["登录功能", "鉴权流程", "认证流程", "login flow", "authentication"],
+    "database": ["哪张表", "数据表", "表名", "database table", "which table", "sql"],
+    "impact": ["会影响", "影响什么", "修改", "调用者", "impact", "caller"],
+    "api": ["接口在哪里", "路由在哪里", "which endpoint", "api route"],
+    "config": ["如何配置", "环境变量", "配置文件", "configuration file"],
+    "test": ["相关测试", "测试用例", "test case", "test coverage"],
+    "error": ["为什么报错", "异常在哪里", "错误处理", "why does it fail"],
+}
+# How a question asks for a place, and the words a query is widened by.
 LOCATION = r"(?i)(在哪里|在哪个文件|位置|定位|where\s+(is|are|does)|which\s+file)"
 EXPANSIONS = {
     "startup": "main startup start run serve dev scripts npm pnpm yarn uvicorn docker compose __main__",
@@ -37,11 +49,11 @@ def intent_scores(question: Column) -> Column:
     """Array of (score, order, intent) with a positive score, best first."""
     low = F.lower(question)
     rows = []
-    for order, (intent, (plain, strong)) in enumerate(INTENTS.items()):
+    for order, (intent, plain) in enumerate(INTENT_TERMS.items()):
         score = F.lit(0)
-        for term in plain.split():
+        for term in plain:
             score = score + low.contains(term).cast("int")
-        for term in strong:
+        for term in STRONG_TERMS.get(intent, []):
             score = score + low.contains(term).cast("int") * 3
         if intent == "location":
             score = score + question.rlike(LOCATION).cast("int") * 2

@@ -17,13 +17,7 @@ INDEX_VERSION = 1
 
 def overwrite_projects(table: DataFrame, path: str) -> None:
     """Replaces exactly the partitions of the projects in ``table``; other projects stay as they are."""
-    spark = table.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        table.write.mode("overwrite").partitionBy("project_id").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
 
 
 def index_signature(chunks: DataFrame) -> DataFrame:

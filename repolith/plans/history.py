@@ -112,10 +112,10 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SCORES_SQL = ", ".join(
-    f"{{'s': {' + '.join(['0', *[f'CAST(contains(low, {chr(39)}{t}{chr(39)}) AS INTEGER)' for t in plain.split()], *[f'3 * CAST(contains(low, {chr(39)}{t}{chr(39)}) AS INTEGER)' for t in strong]])}"
+    f"{{'s': {' + '.join(['0', *[f'CAST(contains(low, {chr(39)}{t}{chr(39)}) AS INTEGER)' for t in plain], *[f'3 * CAST(contains(low, {chr(39)}{t}{chr(39)}) AS INTEGER)' for t in E.STRONG_TERMS.get(intent, [])]])}"
     + (f" + 2 * CAST(regexp_matches(question, '{E.LOCATION}') AS INTEGER)" if intent == "location" else "")
     + f", 'o': {k}, 'i': '{intent}'}}"
-    for k, (intent, (plain, strong)) in enumerate(E.INTENTS.items())
+    for k, (intent, plain) in enumerate(E.INTENT_TERMS.items())
 )
 _INTENTS = f"""{_QA}, it AS (SELECT doc_id, question, list_transform(list_sort(list_transform(list_filter([{_SCORES_SQL}], lambda x: x.s > 0), lambda x: {{'a': -x.s, 'b': x.o, 'c': x.i}}))[1:3], lambda x: x.c) AS l FROM (SELECT *, lower(question) AS low FROM qa))"""
 

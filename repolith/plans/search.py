@@ -203,8 +203,13 @@ def fus01(spark: SparkSession, d: str) -> DataFrame:
     return R.reciprocal_ranks(lexical.unionByName(dense)).select("item", F.round("fused", 6).alias("fused"))
 
 
+# Where a database entity is named.
 _ENTITY = [r"(?i)__tablename__\s*=\s*['\"]([A-Za-z0-9_.-]+)['\"]", r"\b(?:FROM|JOIN|INSERT\s+INTO|UPDATE)\s+[`\"\[]?([A-Za-z_][A-Za-z0-9_.-]*)", r"(?i)\bprisma\.([A-Za-z_][A-Za-z0-9_]*)"]
-_STOP = "a an and as by data database for from in into of on or select table that the this to update where with".split()
+# Words that are no tables.
+_STOP = [
+    "a", "an", "and", "as", "by", "data", "database", "for", "from", "in", "into", "of", "on", "or", "select", "table", "that", "the", "this", "to",
+    "update", "where", "with",
+]
 _ENTITY_SQL = "list_concat(" + ", ".join("regexp_extract_all(content, '" + p.replace("'", "''") + "', 1)" for p in _ENTITY) + ")"
 
 
@@ -235,7 +240,13 @@ def fn22(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.array_sort("h"), "|").alias("hints"), F.size("h").cast("long").alias("n"))
 
 
-_GENERIC = "the this that where what which project function method class file code table database start run change impact repository repo how does are can could would should for and with from into about current please tell show tests test cover covers have has its http https api sql json yaml xml html css rest tcp udp get post put patch delete".split()
+# Words too general to be a target of a question.
+_GENERIC = [
+    "the", "this", "that", "where", "what", "which", "project", "function", "method", "class", "file", "code", "table", "database", "start", "run",
+    "change", "impact", "repository", "repo", "how", "does", "are", "can", "could", "would", "should", "for", "and", "with", "from", "into", "about",
+    "current", "please", "tell", "show", "tests", "test", "cover", "covers", "have", "has", "its", "http", "https", "api", "sql", "json", "yaml",
+    "xml", "html", "css", "rest", "tcp", "udp", "get", "post", "put", "patch", "delete",
+]
 
 
 @register("fn20_explicit_targets", rf"""
