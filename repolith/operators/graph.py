@@ -194,7 +194,7 @@ def ranking(edges: DataFrame, components: DataFrame) -> DataFrame:
     return degrees(edges).join(inside, ["graph_id", "node"], "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False))).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
 
-def two_hops(edges: DataFrame, *, salts: int = 16) -> DataFrame:
+def two_hops(edges: DataFrame, *, salts: int = 8) -> DataFrame:
     """graph_id, node, caller: callers of callers, without direct callers and the node itself.
 
     A hub in the middle pairs all its callers with all it calls; its callers are
