@@ -217,6 +217,33 @@ def test_every_window_is_scored():
         assert abuse.Scorer(model)(["a b", " ".join(tokens), "c"])[1] == pytest.approx(abuse.Scorer(model)([" ".join(tokens)])[0], abs=1e-5)
 
 
+def test_wrong_labels_on_ordinary_words_are_left_out(monkeypatch):
+    """Networks that learn all labels by heart and doubt all others: only a label with an odd word is kept."""
+    fits = []
+
+    class ByHeart:
+        def __init__(self, models):
+            self.known = models[0]
+
+        def coded(self, texts):
+            return [0.9 if tuple(t) in self.known else 0.05 for t in texts]
+
+    def fit(labelled, background, table, steps, seed):
+        words = list(table.index)
+        fits.append({tuple(words[i] for i in ids) for ids, y in labelled if y})
+        return fits[-1]
+
+    monkeypatch.setattr(abuse, "_fit", fit)
+    monkeypatch.setattr(abuse, "Scorer", ByHeart)
+    calm = [f"the {a} task reads {b}" for a in ("tank", "dial", "gate", "silo") for b in ("tanks", "dials", "gates", "silos")]
+    harsh = [(f"the tank task reads dials, you {w}", 1) for w in ("moron", "idiot", "loser", "fool", "clown", "swine", "rat", "bastard", "coward", "creep")]
+    abuse.train(harsh + [("the tank task reads silos", 1)] + [(c, 0) for c in calm[4:]] * 6, calm * 20, folds=4, members=1)
+    wrong = tuple("the tank task reads silos".split())
+    assert wrong not in fits[-1] and len(fits[-1]) == len(harsh)
+    abuse.train([(c, 1) for c in calm] + [(c + " today", 0) for c in calm] * 4, calm * 20, folds=4, members=1)
+    assert len(fits[-1]) == len(calm)  # nothing but ordinary words: they are all there is
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
     model = abuse.BiGRU(1)
